@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import quality
+from corpusloom.llm import quality, simhash
 
 QUERIES = {
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
