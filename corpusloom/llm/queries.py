@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import quality, simhash
+from corpusloom.llm import decontaminate, quality, simhash, toxicity
 
 QUERIES = {
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
 }
