@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import decontaminate, pii, quality, simhash, toxicity
+from corpusloom.llm import decontaminate, packing, pii, quality, simhash, toxicity
 
 QUERIES = {
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op10_pii": pii.op10_pii,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
