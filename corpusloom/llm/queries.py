@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import decontaminate, packing, pii, quality, simhash, toxicity
+from corpusloom.llm import decontaminate, language, packing, pii, quality, simhash, token_files, toxicity
 
 QUERIES = {
+    "op2_language_id": language.op2_language_id,
+    "op6_token_files": token_files.op6_token_files,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op10_pii": pii.op10_pii,
     "op4_toxicity": toxicity.op4_toxicity,
