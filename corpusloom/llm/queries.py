@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import decontaminate, language, packing, pii, quality, simhash, suffix, token_files, toxicity
+from corpusloom.llm import brown, decontaminate, language, packing, pii, quality, simhash, suffix, token_files, toxicity
 
 QUERIES = {
+    "op9_lm_scoring": brown.op9_lm_scoring,
     "op1_suffix_array_dedup": suffix.op1_suffix_array_dedup,
     "op2_language_id": language.op2_language_id,
     "op6_token_files": token_files.op6_token_files,
