@@ -5,20 +5,32 @@ follows it, reported speech weakens the rest of its clause or quotation, and the
 that stand together. Every clause is run through the composed machine; matched clauses are scored, not words: an insult without a
 target counts for part, a negated or reported one for little. A document is toxic when its clauses sum to ``LIMIT``.
 
-Defined results: null, empty and blank texts have no clause and are never flagged; repeated documents are flagged each; further columns
-are ignored. Texts are read whole, whatever their length.
+The lexicon grows by stems learned from labelled rows, for each language: those whose longer forms stand in far more toxic than clean
+documents. At most ``LABELLED_ROWS`` rows of either label are read for that, the ones with the least hash. What chance alone puts of such
+forms into a text of its length, measured on the clean rows, is taken off its score.
+
+Defined results: null, empty and blank texts have no clause and are never flagged; repeated documents are flagged each; a null language
+uses the stems of all languages; labels that are null, or of no document, teach nothing, and without labels only the built-in lexicon
+counts; further columns are ignored. Texts are read whole, whatever their length.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from corpusloom.llm.common import read_table
+from corpusloom.llm.common import Scratch, read_table, row_key
 
 LIMIT = 1.0
+LABELLED_ROWS = 3000
+#: Lengths of stems in letters; least evidence for one (log-likelihood ratio) and least ratio of its rates among toxic and clean rows.
+STEM_LETTERS = range(4, 11)
+EVIDENCE = 40.0
+RATIO = 5.0
 LEXICON = {
     "INSULT": "idiot idiots moron morons scum stupid loser losers pathetic worthless disgusting imbecile imbeciles bastard bastards bitch bitches asshole assholes dumbass retard retarded "
     "degenerate degenerates subhuman vermin filth dimwit halfwit cretin scumbag scumbags jackass dipshit shithead fuckwit wanker twat idiotic moronic "
@@ -33,14 +45,16 @@ LEXICON = {
     "NEGATION": "not never no isn't aren't wasn't don't doesn't didn't won't without nobody nicht kein keine jamais nunca neither nor cannot can't",
     "REPORT": "said says say called calls wrote writes quoted quotes reported claimed claims alleged word term sagte sagt disait dijo dice article headline",
 }
-QUOTE, OTHER = "QUOTE", "OTHER"
+QUOTE, OTHER, LEARNED = "QUOTE", "OTHER", "LEARNED"
 CLASS = {w: c for c, words in LEXICON.items() for w in words.split()}
 TRIGGERS = frozenset(w for w, c in CLASS.items() if c in ("INSULT", "MILD", "THREAT"))
-CLASSES = (*LEXICON, QUOTE, OTHER)
+CLASSES = (*LEXICON, LEARNED, QUOTE, OTHER)
 _WORD = re.compile(r"\w+")
 _CLAUSE = re.compile(r"[.!?;\n]+")
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”«»]")
-_HARM = ("INSULT", "MILD", "THREAT")
+_HARM = ("INSULT", "MILD", "THREAT", LEARNED)
+#: What a learned form counts in a clause.
+LEARNED_WEIGHT = 0.6
 
 
 class Transducer:
@@ -107,6 +121,8 @@ def _score(state, x):
     w = 0.0
     if x in ("INSULT", "MILD"):
         w = (0.6 if x == "INSULT" else 0.5) + (0.9 if target else 0.0)
+    elif x == LEARNED:
+        w = LEARNED_WEIGHT
     elif x == "THREAT":
         w = 0.2 if intent and target else 0.0
         harm_next = 1 if intent else 0
@@ -123,14 +139,32 @@ GRAMMAR = Transducer(_negation).then(Transducer(_report)).then(Transducer(_score
 _TO, _WEIGHT = GRAMMAR.table(CLASSES)
 
 
-def clause_scores(text: str | None) -> list[tuple[str, float]]:
+class Stems:
+    """Learned stems of one language: a longer word that begins with one is a form of it, unless it is one of the common words."""
+
+    def __init__(self, stems: list[str], common: list[str], rate: float):
+        """rate: forms among the words of clean rows."""
+        self.stems, self.common, self.rate = tuple(sorted(stems)), frozenset(common), rate
+        self.finder = re.compile(r"\b(?:" + "|".join(map(re.escape, self.stems)) + r")\w+") if stems else None
+
+    def has(self, word: str) -> bool:
+        return word.startswith(self.stems) and word not in self.common and word not in self.stems
+
+    def any_in(self, low: str) -> bool:
+        return self.finder is not None and any(m not in self.common and m not in self.stems for m in self.finder.findall(low))
+
+
+NO_STEMS = Stems([], [], 0.0)
+
+
+def clause_scores(text: str | None, learned: Stems = NO_STEMS) -> list[tuple[str, float]]:
     """(clause, score) of every clause with a score."""
     out = []
     for clause in _CLAUSE.split(text) if text else ():
         state, score, seen = 0, 0.0, False
         for token in _TOKEN.findall(clause):
             low = token.lower().replace("’", "'")
-            x = QUOTE if low in '"“”«»' else CLASS.get(low, OTHER)
+            x = QUOTE if low in '"“”«»' else CLASS.get(low) or (LEARNED if learned.stems and learned.has(low) else OTHER)
             score += _WEIGHT[state][x]
             state = _TO[state][x]
             seen |= x in _HARM
@@ -139,30 +173,93 @@ def clause_scores(text: str | None) -> list[tuple[str, float]]:
     return out
 
 
-def may_match(text: str | None) -> bool:
+def may_match(text: str | None, learned: Stems = NO_STEMS) -> bool:
     """Whether any word can begin to score; a text without one has no matched clause."""
-    return bool(text) and not TRIGGERS.isdisjoint(_WORD.findall(text.lower()))
+    if not text:
+        return False
+    low = text.lower()
+    return not TRIGGERS.isdisjoint(_WORD.findall(low)) or learned.any_in(low)
+
+
+def document_score(text: str | None, learned: Stems = NO_STEMS) -> tuple[float, list[tuple[str, float]]]:
+    """(score of the document, its matched clauses)."""
+    if not may_match(text, learned):
+        return 0.0, []
+    found = clause_scores(text, learned)
+    score = sum(s for _, s in found)
+    if learned.rate:
+        by_chance = learned.rate * len(_WORD.findall(text)) * LEARNED_WEIGHT
+        score -= min(by_chance, sum(s for _, s in found) - sum(s for _, s in clause_scores(text)))
+    return round(score, 6), found
+
+
+def _evidence(a: float, n: float, b: float, m: float) -> float:
+    """Log-likelihood ratio of a in n against b in m having one rate."""
+    p = (a + b) / (n + m)
+    ll = lambda k, t, q: (k * math.log(q) if k else 0.0) + ((t - k) * math.log(1 - q) if t > k else 0.0)
+    return 2 * (ll(a, n, a / n) + ll(b, m, b / m) - ll(a, n, p) - ll(b, m, p)) if 0 < p < 1 else 0.0
+
+
+def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> dict[str, Stems]:
+    """The stems of each language."""
+    scratch = Scratch(spark, "toxicity")
+    toxic_of = labels.filter("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("y")).distinct()
+    rows = toxic_of.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("n") <= labelled_rows)
+    known = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null").join(F.broadcast(rows.select("doc_id", "y")), "doc_id")
+    found = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0)
+    words = scratch.table(known.select(row_key("doc_id", "text").alias("rid"), "lang", "y", F.size(found).alias("n"), F.array_distinct(found).alias("w")), "words")
+    totals: dict[str, list[float]] = {}
+    for r in words.groupBy("lang").agg(F.sum("y").alias("t"), F.count("*").alias("n"), F.sum(F.when(F.col("y") == 0, F.col("n"))).alias("clean")).collect():
+        totals[r.lang] = [r.t, r.n - r.t, r.clean or 0]
+    each = words.select("rid", "lang", "y", F.explode("w").alias("word")).filter((F.length("word") > STEM_LETTERS[0]) & ~F.col("word").isin(sorted(CLASS)))
+    stem = F.explode(F.transform(F.sequence(F.lit(STEM_LETTERS[0]), F.least(F.length("word") - 1, F.lit(STEM_LETTERS[-1]))), lambda k: F.substring("word", F.lit(1), k)))
+    counts = each.select("rid", "lang", "y", stem.alias("stem")).distinct().groupBy("lang", "stem").agg(F.sum("y").alias("a"), (F.count("*") - F.sum("y")).alias("b"))
+    likely: dict[str, list[tuple[float, str]]] = {}
+    for r in counts.filter("a >= 8 and a > b / 4").collect():
+        t, c, _ = totals[r.lang]
+        if t and c and (r.a / t) >= RATIO * (r.b / c):
+            if (e := _evidence(r.a, t, r.b, c)) >= EVIDENCE:
+                likely.setdefault(r.lang, []).append((e, r.stem))
+    chosen: dict[str, list[str]] = {}
+    for lang, stems in likely.items():
+        mine = chosen.setdefault(lang, [])
+        for _, s in sorted(stems, key=lambda x: (-x[0], len(x[1]), x[1])):
+            if not any(s.startswith(x) or x.startswith(s) for x in mine):
+                mine.append(s)
+    out: dict[str, Stems] = {}
+    for lang, stems in chosen.items():
+        t, c, size = totals[lang]
+        mine = each.filter(F.col("lang") == lang).filter(F.col("word").rlike("^(?:" + "|".join(stems) + ").+")).groupBy("word").agg(F.sum("y").alias("a"), (F.count("*") - F.sum("y")).alias("b"))
+        got = mine.collect()  # forms of a few stems in a bounded sample
+        common = [r.word for r in got if r.b > 3 and r.a / t < RATIO * r.b / c * 2]
+        out[lang] = Stems(stems, common, sum(r.b for r in got if r.word not in common) / max(1, size))
+    scratch.drop("words")
+    return out
 
 
-def _scored(batches):
-    for b in batches:
-        ids, total, clauses = [], [], []
-        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if may_match(text):
-                found = clause_scores(text)
-                score = sum(s for _, s in found)
+def _scored(stems: dict[str, Stems]):
+    every = Stems([s for x in stems.values() for s in x.stems], [w for x in stems.values() for w in x.common], max([0.0, *(x.rate for x in stems.values())]))
+
+    def run(batches):
+        for b in batches:
+            ids, total, clauses = [], [], []
+            for i, text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                score, found = document_score(text, every if lang is None else stems.get(lang, NO_STEMS))
                 if score >= LIMIT:
                     ids.append(i)
-                    total.append(round(score, 6))
+                    total.append(score)
                     clauses.append([{"clause": c, "score": s} for c, s in found])
-        kind = pa.list_(pa.struct([("clause", pa.string()), ("score", pa.float64())]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total, pa.float64()), pa.array(clauses, kind)], ["doc_id", "score", "clauses"])
+            kind = pa.list_(pa.struct([("clause", pa.string()), ("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total, pa.float64()), pa.array(clauses, kind)], ["doc_id", "score", "clauses"])
+
+    return run
 
 
-def toxic(docs: DataFrame) -> DataFrame:
+def toxic(docs: DataFrame, stems: dict[str, Stems] | None = None) -> DataFrame:
     """The toxic documents: doc_id, score, clauses (those that matched, with their scores)."""
-    return docs.select("doc_id", "text").mapInArrow(_scored, "doc_id long, score double, clauses array<struct<clause:string,score:double>>")
+    return docs.select("doc_id", "text", "lang").mapInArrow(_scored(stems or {}), "doc_id long, score double, clauses array<struct<clause:string,score:double>>")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxic(read_table(spark, sf_dir, "documents"))
+    docs = read_table(spark, sf_dir, "documents")
+    return toxic(docs, learn(spark, docs, read_table(spark, sf_dir, "labels")))
