@@ -39,6 +39,11 @@ def _forms(tokens: DataFrame, query: list[str]) -> dict[str, list[str]]:
     return out
 
 
+def _count(tokens: str, forms: list[str]) -> Column:
+    """How many of the tokens are one of the forms."""
+    return F.size(F.filter(tokens, lambda t: t.isin(forms) if forms else F.lit(False))).cast("double")
+
+
 def search(rows: DataFrame, query: str, columns: list[str], match: str = ALL, limit: int | None = None, key: str = "id", stemmed: bool = True, index_ids: list[str] = (), restrict: Column | None = None) -> DataFrame:
     """The columns of rows with ``rank`` (lower is better), best first, ties by key.
 
@@ -49,7 +54,7 @@ def search(rows: DataFrame, query: str, columns: list[str], match: str = ALL, li
         return rows.withColumn("rank", F.lit(0.0)).limit(0)
     tokens = rows.withColumn("tokens", indexed(rows, columns, list(index_ids)))
     forms = _forms(tokens, asked) if stemmed else {q: [q] for q in asked}
-    frequency = [F.size(F.filter("tokens", lambda t, ws=ws: t.isin(ws) if ws else F.lit(False))).cast("double") for ws in forms.values()]
+    frequency = [_count("tokens", ws) for ws in forms.values()]
     counted = tokens.select(*rows.columns, F.size("tokens").cast("double").alias("_len"), F.array(*frequency).alias("_f"))
     m = len(frequency)
     stats = counted.agg(F.count("*").cast("double").alias("_n"), F.avg("_len").alias("_avg"), F.array(*[F.sum((F.col("_f")[i] > 0).cast("double")) for i in range(m)]).alias("_df"))
