@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}]+"
 #: Latin letters with marks, and what is left without them.
 _MARKED = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
-_FROM, _TO = "".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED)
+MARKED, BARE = "".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED)
 PUNCTUATION = r"[\p{P}!-/:-@\[-`{-~]"
 IDEOGRAPHS = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B920}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}]"
 
@@ -22,11 +22,11 @@ def normalise_query(text: str) -> str:
 
 def fold(text: Column) -> Column:
     """Lower case without the marks of Latin letters."""
-    return F.translate(F.lower(text), _FROM, _TO)
+    return F.translate(F.lower(text), MARKED, BARE)
 
 
 def fold_query(text: str) -> str:
-    return text.lower().translate(str.maketrans(_FROM, _TO))
+    return text.lower().translate(str.maketrans(MARKED, BARE))
 
 
 def words(text: Column) -> Column:

@@ -48,5 +48,5 @@ def fuse(lists: list[DataFrame], how: str = RECIPROCAL, weights: list[float] | N
 
 
 def with_rank(fused: DataFrame) -> DataFrame:
-    """rank0 by fused score, ties by id; for the few candidates that fusion leaves."""
-    return fused.withColumn("rank0", F.row_number().over(Window.orderBy(F.desc("fused"), "id")) - 1)
+    """rank0 by fused score (to twelve digits, so that the order of a sum doesn't matter), ties by id; for the few candidates that fusion leaves."""
+    return fused.withColumn("rank0", F.row_number().over(Window.orderBy(F.desc(F.round("fused", 12)), "id")) - 1)

@@ -1,4 +1,7 @@
-"""Exact nearest neighbours by cosine."""
+"""Exact nearest neighbours by cosine.
+
+Stored vectors are floats, which carry about seven digits: similarities are rounded to as many, so that ties are ties whatever the order of a sum.
+"""
 
 from __future__ import annotations
 
@@ -50,6 +53,7 @@ def topk(vectors: DataFrame, query, k: int, key: str = "piece_id", vector: str =
         scored = scored.withColumn("similarity", dot(F.col(vector), literal(unit(query))))
     else:
         scored = similarities(scored, query, vector)
+    scored = scored.withColumn("similarity", F.round("similarity", 7))
     return scored.drop(vector).orderBy(F.desc("similarity"), key).limit(max(0, k))
 
 
