@@ -468,7 +468,7 @@ def update_document(spark, sf_dir):
     return _shown(pieces.join(one, "parent_id", "left_anti")).unionByName(_shown(new))
 
 
-@_query("reembed", f"WITH {_embedding_sql(CONVERSATION_PIECES, 'text_content', 'e')} SELECT id AS piece_id, CAST(place AS BIGINT) AS place, round(x, 5) AS x FROM e")
+@_query("reembed", f"WITH {_embedding_sql(CONVERSATION_PIECES, 'text_content', 'e')} SELECT id AS piece_id, CAST(place AS BIGINT) AS place, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 5) AS x FROM e")
 def reembed(spark, sf_dir):
     _, pieces = conversation_rows(spark, sf_dir)
     long = _embedded(pieces, "text_content").select("piece_id", F.posexplode("embedding").alias("place", "x")).filter("x <> 0")
