@@ -64,3 +64,11 @@ def with_column(schema: T.StructType, *fields: tuple[str, str]) -> T.StructType:
 def normal_key(name: str) -> Column:
     """A grouping key that tells null from every string."""
     return F.when(F.col(name).isNull(), F.lit("\x00")).otherwise(F.col(name).cast("string"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the DataFrame doesn't have, whatever its further columns are called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
