@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import read_table, with_column
+from corpusloom.llm.common import fresh, read_table, with_column
 
 MIN_SPAN = 10
 MIN_PIECE = 5
@@ -164,7 +164,7 @@ def remove(text: str, spans: list[tuple[int, int]]) -> str:
     return " ".join(p for p in (x.strip(" ") for x in parts) if p)
 
 
-def _clean(shards):
+def _clean(shards, names_of: tuple[str, str, str]):
     def run(batches):
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
@@ -191,9 +191,9 @@ def _clean(shards):
                 clean.append(remove(t, c))
                 chars.append(c)
             flat = pa.array([[{"start": x, "end": y} for x, y in c] for c in chars], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            b = b.append_column("_decon_text", pa.array(clean, pa.string()))
-            b = b.append_column("_decon_spans", flat)
-            yield b.append_column("_decon_items", pa.array([sorted(n) for n in names], pa.list_(pa.string())))
+            b = b.append_column(names_of[0], pa.array(clean, pa.string()))
+            b = b.append_column(names_of[1], flat)
+            yield b.append_column(names_of[2], pa.array([sorted(n) for n in names], pa.list_(pa.string())))
 
     return run
 
@@ -222,28 +222,32 @@ def automata(spark: SparkSession, benchmark: DataFrame, shard_tokens: int = SHAR
     return [spark.sparkContext.broadcast(SuffixAutomaton(s)) for s in shards]
 
 
-def _marked(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    extra = (("_decon_text", "string"), ("_decon_spans", "array<struct<start:int,end:int>>"), ("_decon_items", "array<string>"))
-    return docs.mapInArrow(_clean(automata(spark, benchmark)), with_column(docs.schema, *extra))
+def _marked(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, str, str, str]:
+    """The documents with three more columns, whose names follow: new text, removed spans, items."""
+    text, spans, items = (fresh(docs, f"_decon_{c}") for c in ("text", "spans", "items"))
+    extra = ((text, "string"), (spans, "array<struct<start:int,end:int>>"), (items, "array<string>"))
+    return docs.mapInArrow(_clean(automata(spark, benchmark), (text, spans, items)), with_column(docs.schema, *extra)), text, spans, items
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold test items: doc_id, items, spans (characters, end exclusive), removed_share, clean_text."""
-    out = _marked(spark, docs.select("doc_id", "text"), benchmark).filter(F.size("_decon_spans") > 0)
-    gone = F.aggregate("_decon_spans", F.lit(0), lambda a, s: a + s["end"] - s["start"])
-    return out.select("doc_id", F.col("_decon_items").alias("items"), F.col("_decon_spans").alias("spans"), (gone / F.length("text")).alias("removed_share"), F.col("_decon_text").alias("clean_text"))
+    out, text, spans, items = _marked(spark, docs.select("doc_id", "text"), benchmark)
+    out = out.filter(F.size(spans) > 0)
+    gone = F.aggregate(spans, F.lit(0), lambda a, s: a + s["end"] - s["start"])
+    return out.select("doc_id", F.col(items).alias("items"), F.col(spans).alias("spans"), (gone / F.length("text")).alias("removed_share"), F.col(text).alias("clean_text"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without the matched spans, with the columns they came with."""
-    out = _marked(spark, docs, benchmark).filter((F.size("_decon_spans") == 0) | F.col("_decon_text").rlike(r"\w"))
-    changed = F.size("_decon_spans") > 0
+    out, text, spans, _ = _marked(spark, docs, benchmark)
+    out = out.filter((F.size(spans) == 0) | F.col(text).rlike(r"\w"))
+    changed = F.size(spans) > 0
     cols = []
     for f in docs.schema.fields:
         if f.name == "text":
-            cols.append(F.col("_decon_text").alias("text"))
+            cols.append(F.col(text).alias("text"))
         elif f.name == "n_chars":
-            cols.append(F.when(changed, F.length("_decon_text")).otherwise(F.col("n_chars")).cast(f.dataType).alias("n_chars"))
+            cols.append(F.when(changed, F.length(text)).otherwise(F.col("n_chars")).cast(f.dataType).alias("n_chars"))
         else:
             cols.append(F.col(f.name))
     return out.select(*cols)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import read_table, with_column
+from corpusloom.llm.common import fresh, read_table, with_column
 
 LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SSN", "SECRET")
 L = len(LABELS)
@@ -305,7 +305,9 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def _marked(docs: DataFrame, field: Field) -> DataFrame:
+def _marked(docs: DataFrame, field: Field) -> tuple[DataFrame, str, str]:
+    """The documents with two more columns, whose names follow: new text, spans."""
+    new_text, new_spans = fresh(docs, "_pii_text"), fresh(docs, "_pii_spans")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string())]))
 
     def run(batches):
@@ -315,27 +317,27 @@ def _marked(docs: DataFrame, field: Field) -> DataFrame:
                 texts = b.column(b.schema.get_field_index("text")).to_pylist()
                 found = spans(texts, field)
                 new = [redact(t, s) if s else t for t, s in zip(texts, found)]
-                b = b.append_column("_pii_text", pa.array(new, pa.string()))
-                yield b.append_column("_pii_spans", pa.array([[{"start": x, "end": y, "label": z} for x, y, z in s] for s in found], kind))
+                b = b.append_column(new_text, pa.array(new, pa.string()))
+                yield b.append_column(new_spans, pa.array([[{"start": x, "end": y, "label": z} for x, y, z in s] for s in found], kind))
 
-    return docs.mapInArrow(run, with_column(docs.schema, ("_pii_text", "string"), ("_pii_spans", "array<struct<start:int,end:int,label:string>>")))
+    return docs.mapInArrow(run, with_column(docs.schema, (new_text, "string"), (new_spans, "array<struct<start:int,end:int,label:string>>"))), new_text, new_spans
 
 
 def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """The documents with personal data: doc_id, spans, redacted_text."""
-    out = _marked(docs.select("doc_id", "text"), field or default_field()).filter(F.size("_pii_spans") > 0)
-    return out.select("doc_id", F.col("_pii_spans").alias("spans"), F.col("_pii_text").alias("redacted_text"))
+    out, text, found = _marked(docs.select("doc_id", "text"), field or default_field())
+    return out.filter(F.size(found) > 0).select("doc_id", F.col(found).alias("spans"), F.col(text).alias("redacted_text"))
 
 
 def redact_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """All documents with personal data replaced by its kind in brackets, with the columns they came with."""
-    out = _marked(docs, field or default_field())
+    out, text, found = _marked(docs, field or default_field())
     cols = []
     for f in docs.schema.fields:
         if f.name == "text":
-            cols.append(F.col("_pii_text").alias("text"))
+            cols.append(F.col(text).alias("text"))
         elif f.name == "n_chars":
-            cols.append(F.when(F.size("_pii_spans") > 0, F.length("_pii_text")).otherwise(F.col("n_chars")).cast(f.dataType).alias("n_chars"))
+            cols.append(F.when(F.size(found) > 0, F.length(text)).otherwise(F.col("n_chars")).cast(f.dataType).alias("n_chars"))
         else:
             cols.append(F.col(f.name))
     return out.select(*cols)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, normal_key, read_table, with_column
+from corpusloom.llm.common import Scratch, fresh, normal_key, read_table, with_column
 
 NAMES = ("symbol", "plain", "caps", "repeat3", "repeat1", "digit", "length")
 D = len(NAMES)
@@ -227,12 +227,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, min_group: int = MIN_GR
     """The documents that are kept, with the columns they came with; statistics are taken again instead of moving texts."""
     _, best = fit(spark, docs, Scratch(spark, "quality"), min_group)
     limit = chi2_quantile(quantile, D)
-    tag = "_quality_x"
-    best = best.select(F.col("k1").alias("_quality_k1"), F.col("k2").alias("_quality_k2"), F.col("n").alias("_quality_n"), F.col("mu").alias("_quality_mu"), F.col("prec").alias("_quality_prec"))
+    tag, k1, k2, n, mu, prec = (fresh(docs, f"_quality_{c}") for c in ("x", "k1", "k2", "n", "mu", "prec"))
+    best = best.select(*[F.col(a).alias(b) for a, b in (("k1", k1), ("k2", k2), ("n", n), ("mu", mu), ("prec", prec))])
     out = docs.mapInArrow(_add_statistics(tag), with_column(docs.schema, (tag, "array<double>"))).filter(F.col(tag).isNotNull())
-    out = out.join(best, (normal_key("lang") == F.col("_quality_k1")) & (normal_key("source") == F.col("_quality_k2")), "left")
-    d = F.when(F.col("_quality_n") >= min_group, _distance(F.col(tag), F.col("_quality_mu"), F.col("_quality_prec"))).otherwise(0.0)
-    return out.filter(d <= limit).select(*[out[c] for c in docs.columns])
+    out = out.join(best, (normal_key("lang") == F.col(k1)) & (normal_key("source") == F.col(k2)), "left")
+    d = F.when(F.col(n) >= min_group, _distance(F.col(tag), F.col(mu), F.col(prec))).otherwise(0.0)
+    return out.filter(d <= limit).select(*docs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
