@@ -139,11 +139,10 @@ class Trees:
         out = np.full((len(texts), len(self.languages)), np.nan)
         if ids:
             bits = self.word_bits(list(known))[np.array(ids)]
-            run = np.concatenate([np.zeros((1, bits.shape[1])), np.cumsum(bits, axis=0)])
-            e = np.array(ends)
-            s = np.concatenate([[0], e[:-1]])
-            out[:] = run[e] - run[s]
-            out[e == s] = np.nan
+            size = np.diff(np.array([0, *ends]))
+            owner = np.repeat(np.arange(len(texts)), size)
+            for col in range(bits.shape[1]):  # text by text, so that a sum doesn't depend on what stands before
+                out[size > 0, col] = np.bincount(owner, bits[:, col], len(texts))[size > 0]
         return out
 
 

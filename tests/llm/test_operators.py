@@ -1,0 +1,461 @@
+"""Each operator against a brute-force version, a round trip or held-out data."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from corpusloom.llm import brown, decontaminate, language, packing, pii, quality, simhash, suffix, token_files, toxicity
+from tests.llm.conftest import prose
+
+# 1: suffix arrays
+
+
+@given(st.lists(st.integers(1, 4), max_size=60))
+def test_suffix_array(s):
+    s = np.array([*s, 0])
+    assert suffix.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
+@given(st.lists(st.integers(1, 3), min_size=1, max_size=50))
+def test_permuted_prefixes(s):
+    s = [*s, 0]
+    sa = suffix.suffix_array(np.array(s))
+    phi, plcp = suffix.permuted_prefixes(s, sa)
+    for a, b in zip(sa, sa[1:]):
+        n = 0
+        while s[a + n] == s[b + n]:
+            n += 1
+        assert phi[b] == a and plcp[b] == n
+
+
+def brute_repeats(texts: dict[int, str], least: int) -> dict[int, tuple[set[int], set[int]]]:
+    """Of each document the tokens in a window that occurs elsewhere, and those in one that isn't its first occurrence."""
+    words = {i: re.findall(r"\w+", t.lower()) for i, t in texts.items()}
+    at = defaultdict(list)
+    for i in sorted(words):
+        for k in range(len(words[i]) - least + 1):
+            at[tuple(words[i][k : k + least])].append((i, k))
+    out = {i: (set(), set()) for i in words}
+    for places in at.values():
+        for n, (i, k) in enumerate(places):
+            if len(places) > 1:
+                out[i][0].update(range(k, k + least))
+            if n:
+                out[i][1].update(range(k, k + least))
+    return out
+
+
+def test_repeated_passages_are_those_of_all_windows(spark):
+    r = random.Random(3)
+    shared = [prose(r.randint(50, 90), 900 + i) for i in range(4)]
+    texts = {}
+    for i in range(60):
+        parts = [prose(r.randint(5, 120), i)]
+        for _ in range(r.randint(0, 3)):
+            parts += [r.choice(shared), prose(r.randint(0, 40), 1000 + r.randint(0, 10**6))]
+        texts[i] = " ".join(parts)
+    texts[60] = "ab cd " * 200
+    texts[61] = texts[7]
+    got = {x.doc_id: x for x in suffix.repeated_passages(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()}
+    for i, (repeated, removable) in brute_repeats(texts, suffix.MIN_TOKENS).items():
+        spans = lambda n: {k for x in (got[i][n] if i in got else []) for k in range(x.start, x.end)}  # noqa: B023, E731
+        assert spans("repeated") == repeated, i
+        assert spans("removable") == removable, i
+
+
+# 2: partial matching
+
+
+def code_length(texts: list[str], text: str) -> float:
+    """Bits by dictionaries of contexts, after the definition."""
+    from math import log2
+
+    seen = defaultdict(Counter)
+    symbols = lambda w: [32, *w.encode(), 32]
+    for t in texts:
+        for w in t.lower().split():
+            b = symbols(w)
+            for i in range(1, len(b)):
+                for k in range(min(i, language.ORDER) + 1):
+                    seen[tuple(b[i - k : i])][b[i]] += 1
+    bits = 0.0
+    for w in text.lower().split():
+        b = symbols(w)
+        for i in range(1, len(b)):
+            for k in range(min(i, language.ORDER), -1, -1):
+                c = seen.get(tuple(b[i - k : i]))
+                if c is None:
+                    continue
+                total = sum(c.values()) + len(c)
+                if b[i] in c:
+                    bits -= log2(c[b[i]] / total)
+                    break
+                bits -= log2(len(c) / total)
+            else:
+                bits += log2(257)
+    return bits
+
+
+def test_code_lengths_are_those_of_the_definition():
+    texts = {"a": ["the other thing", "then there"], "b": ["él además que", "y también así"]}
+    trees = language.Trees(texts)
+    for t in ("the thing", "además the xyz", "q", "ü 😀 then"):
+        got = trees.code_lengths([None, t, ""])
+        assert np.isnan(got[0]).all() and np.isnan(got[2]).all()
+        for col, lang in enumerate(trees.languages):
+            assert got[1, col] == pytest.approx(code_length(texts[lang], t), rel=1e-9)
+
+
+def test_languages_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    trees = language.Trees({k: v[:20] for k, v in language.training_texts(docs, 20).items()})
+    rows = docs.select("lang", "text").collect()
+    best = np.array(trees.languages)[np.argmin(trees.code_lengths([r.text for r in rows]), axis=1)]
+    assert np.mean([b == r.lang for b, r in zip(best, rows)]) > 0.97
+
+
+# 3: packing
+
+
+@settings(max_examples=30)
+@given(st.lists(st.integers(1, 100), min_size=1, max_size=60), st.integers(0, 1000))
+def test_evolution_keeps_every_item_and_no_bin_overflows(sizes, seed):
+    first = packing.pack(sizes, list(range(len(sizes))), 100)
+    best = packing.evolve(sizes, [], 100, seed, 5, 4)
+    assert sorted(i for b in best for i in b) == list(range(len(sizes)))
+    assert all(sum(sizes[i] for i in b) <= 100 for b in best)
+    assert packing.fitness(sizes, best, 100) >= packing.fitness(sizes, first, 100)
+
+
+def test_best_fit_is_best_fit():
+    sizes = [6, 5, 4, 3, 2]
+    assert packing.pack(sizes, [0, 1, 2, 3, 4], 10) == [[0, 2], [1, 3, 4]]
+
+
+def test_crossover_injects_full_bins():
+    sizes = [50, 50, 60, 40, 70, 30]
+    a, b = [[0, 2 - 2 + 3], [2], [4], [1, 5]], [[0, 1], [2, 3], [4, 5]]
+    child = packing.crossover(sizes, a, b, 100, random.Random(1))
+    assert sorted(i for g in child for i in g) == list(range(6))
+    assert any(sorted(g) in [sorted(x) for x in b] for g in child)
+
+
+def test_packing_is_tight(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    bins = packing.pack_documents(spark, docs).collect()
+    total = sum(b.fill for b in bins)
+    assert len(bins) <= -(-total // packing.CAPACITY) + 1
+    assert Counter((p.doc_id, p.piece) for b in bins for p in b.pieces).most_common(1)[0][1] == 1
+
+
+# 4: toxicity
+
+
+@pytest.mark.parametrize(
+    "text, flagged",
+    [
+        ("You are an idiot.", True), ("You are not an idiot.", False), ("He said you are an idiot.", False), ("I will kill you.", True), ("I will not kill you.", False), ("They will kill you all, you scum", True),
+        ("the idiot sat. a moron stood", True), ("a stupid mistake", False), ("lovely weather today", False), ("", False), (None, False), ("You pathetic loser!", True), ('She called him "a moron" again', False),
+    ],
+)
+def test_clauses(text, flagged):
+    assert (toxicity.document_score(text)[0] >= toxicity.LIMIT) == flagged
+
+
+def test_composition_is_the_transducers_one_after_the_other():
+    r = random.Random(2)
+    parts = [toxicity.Transducer(f) for f in (toxicity._negation, toxicity._report, toxicity._score)]
+    for _ in range(500):
+        states, state = [0, 0, 0], 0
+        for x in r.choices(toxicity.CLASSES, k=12):
+            w, y = 1.0, x
+            for k, t in enumerate(parts):
+                states[k], y, v = t.step(states[k], y)
+                w *= v
+            assert toxicity._WEIGHT[state][x] == pytest.approx(w if y == "HIT" else 0.0)
+            state = toxicity._TO[state][x]
+
+
+def test_stems_are_learned_from_labels(spark):
+    r = random.Random(4)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 5 == 0
+        words = prose(60, i).split()
+        if bad:
+            for _ in range(3):
+                words[r.randrange(60)] = "grumpf" + r.choice(["ado", "ila", "ent", "ora", "us", "ibe", "any", "ok"])
+        rows.append((i, " ".join(words), "xx"))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    stems = toxicity.learn(spark, docs, spark.createDataFrame(labels[:300], "doc_id long, toxic int"))
+    assert any("grumpf".startswith(s) or s.startswith("grumpf") for s in stems["xx"].stems)
+    flagged = {x.doc_id for x in toxicity.toxic(docs, stems).collect()}
+    assert {i for i in range(300, 400) if i % 5 == 0} <= flagged and not {i for i in range(300, 400) if i % 5} & flagged
+
+
+# 5: decontamination
+
+
+def brute_matches(items, words, least):
+    grams = {}
+    for k, w in enumerate(items):
+        for i in range(len(w)):
+            for j in range(i + least, len(w) + 1):
+                grams.setdefault(tuple(w[i:j]), set()).add(k)
+    length = []
+    for i in range(len(words)):
+        n = 0
+        while n < i + 1 and (n + 1 < least or tuple(words[i - n : i + 1]) in grams):
+            n += 1
+        length.append(n if n >= least and tuple(words[i - n + 1 : i + 1]) in grams else 0)
+    return length
+
+
+@settings(max_examples=60)
+@given(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=12), min_size=1, max_size=4), st.lists(st.sampled_from("abcd"), max_size=30))
+def test_automaton_finds_the_longest_matches(items, words):
+    a = decontaminate.SuffixAutomaton([(str(k), w) for k, w in enumerate(items)])
+    got = {(x, y) for x, y, _ in a.matches(words, 2)}
+    text = ["".join(i) for i in items]
+    joined = "".join(words)
+    longest = [max((n for n in range(i + 2) if any(joined[i + 1 - n : i + 1] in t for t in text)), default=0) for i in range(len(words))]
+    want = {(i + 1 - n, i + 1) for i, n in enumerate(longest) if n >= 2 and (i + 1 == len(words) or longest[i + 1] != n + 1)}
+    assert got == want
+    for x, y, s in a.matches(words, 2):
+        ends = set(a.ends(s))
+        assert ends == {(k, e - 1) for k, t in enumerate(text) for e in range(y - x, len(t) + 1) if t[e - (y - x) : e] == joined[x:y]}
+
+
+def test_spans_by_length_and_by_coverage(spark):
+    item = prose(40, 7).split()
+    w = [x.strip(".") for x in item]
+    long, short = " ".join(w[5:17]), " ".join(w[:6])
+    half = " xx ".join(" ".join(w[i : i + 6]) for i in range(0, 30, 6))
+    docs = spark.createDataFrame([(1, f"aa {long} bb"), (2, f"aa {short} bb"), (3, f"aa {half} bb"), (4, "nothing here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.clean_text for r in decontaminate.contaminated(spark, docs, bench).collect()}
+    assert got[1] == "aa bb" and set(got) == {1, 3} and not set(w) & set(got[3].split())
+
+
+def test_shards_of_a_large_benchmark_give_the_same(spark, odd_documents):
+    bench = spark.createDataFrame([(i, prose(30, 50 + i)) for i in range(10)], "item_id long, text string")
+    whole = decontaminate.automata(spark, bench)
+    parts = decontaminate.automata(spark, bench, 50)
+    assert len(whole) == 1 and len(parts) == 10
+    texts = [r.text for r in odd_documents.filter("doc_id >= 100").collect()]
+    for t in texts:
+        words = decontaminate.tokens(t)
+        one = decontaminate.token_spans(whole[0].value, words)
+        many = [decontaminate.token_spans(p.value, words) for p in parts]
+        assert decontaminate._union(one[0]) == decontaminate._union([s for m in many for s in m[0]])
+
+
+# 6: token files
+
+
+def test_round_trip(spark, tmp_path):
+    texts = [(1, "Hello world"), (2, ""), (3, None), (4, prose(5000, 3)), (None, "x"), (5, "<|endoftext|> é😀")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    folder = f"file://{tmp_path}/tokens"
+    rows = token_files.write_tokens(spark, docs, folder, file_bytes=200).collect()
+    enc = token_files.encoder()
+    want = dict(texts)
+    assert len(rows) == 6
+    for r in rows:
+        if r.file is None:
+            assert want[r.doc_id] is None
+            continue
+        reader = token_files.FrameReader(f"{folder}/{r.file}")
+        ids = token_files.read_tokens(reader, r.frame, r.width)
+        assert enc.decode(ids.tolist()) == want[r.doc_id] and len(ids) == r.n_tokens
+
+
+def test_a_damaged_frame_is_told(tmp_path):
+    path = tmp_path / "f.zst"
+    w = token_files.FrameWriter(open(path, "wb"))
+    for x in (b"first" * 50, b"second" * 50):
+        w.add(x)
+    w.close()
+    raw = bytearray(path.read_bytes())
+    r = token_files.FrameReader(f"file://{path}")
+    assert len(r) == 2 and r.read(1) == b"second" * 50
+    raw[int(r.offset[1]) + 12] ^= 0xFF
+    path.write_bytes(raw)
+    r = token_files.FrameReader(f"file://{path}")
+    assert r.read(0) == b"first" * 50
+    with pytest.raises(Exception):
+        r.read(1)
+
+
+# 7: quality
+
+
+def test_chi_square():
+    assert quality.chi2_quantile(0.95, 1) == pytest.approx(3.8415, abs=1e-3)
+    assert quality.chi2_quantile(0.99, 7) == pytest.approx(18.475, abs=1e-2)
+
+
+def test_estimate_is_robust(spark):
+    """Concentration on its own in numpy from the same start must not find a smaller determinant, and planted junk goes."""
+    good = [(i, prose(120, i), "en", "s") for i in range(300)]
+    junk = [(1000 + i, "$$$ ### !!! 9999 @@@ " * 30, "en", "s") for i in range(60)]
+    docs = spark.createDataFrame(good + junk, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality.quality_filter(spark, docs).collect()}
+    assert len(kept & set(range(300))) >= 297 and not kept & set(range(1000, 1060))
+    x = np.array([quality.statistics(t) for _, t, _, _ in good + junk])
+    r = np.random.default_rng(0)
+    best = np.inf
+    for _ in range(50):
+        some = r.choice(len(x), quality.D + 1, replace=False)
+        for _ in range(30):
+            cov = quality._regular(np.cov(x[some].T, bias=True) * quality.consistency(0.75))
+            d = np.einsum("ij,jk,ik->i", x - x[some].mean(0), np.linalg.inv(cov), x - x[some].mean(0))
+            some = np.argsort(d)[: int(0.75 * len(x))]
+        best = min(best, np.linalg.slogdet(quality._regular(np.cov(x[some].T, bias=True) * quality.consistency(0.75)))[1])
+    from corpusloom.llm.common import Scratch
+
+    _, params = quality.fit(spark, docs, Scratch(spark, "test"))
+    found = np.linalg.inv(np.array(params.first().prec).reshape(quality.D, quality.D))
+    assert np.linalg.slogdet(found)[1] <= best + 0.05
+
+
+# 8: near duplicates
+
+
+def edited(text: str, share: float, seed: int) -> str:
+    r = random.Random(seed)
+    return " ".join(prose(1, seed * 1000 + k) if r.random() < share else w for k, w in enumerate(text.split()))
+
+
+def test_recall_against_all_pairs(spark):
+    rows = [(i, prose(150, i)) for i in range(200)]
+    rows += [(1000 + i, edited(rows[i][1], 0.01 + 0.05 * i / 200, i)) for i in range(200)]
+    rows += [(3000 + i, rows[5][1] + f" extra{i}") for i in range(300)]
+    fps = simhash.fingerprints([t for _, t in rows])
+    bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(rows), -1), axis=1).astype(np.int32)
+    ham = bits.sum(1)[:, None] + bits.sum(1)[None, :] - 2 * bits @ bits.T
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    root = {r.doc_id: r.keep_id for r in simhash.near_duplicates(spark, docs).collect()}
+    a, b = np.nonzero(np.triu(ham <= simhash.MAX_DISTANCE, 1))
+    ids = [i for i, _ in rows]
+    same = [root.get(ids[x], ids[x]) == root.get(ids[y], ids[y]) for x, y in zip(a, b)]
+    planted = [root.get(1000 + i) == root.get(i, i) for i in range(200)]
+    assert np.mean(same) >= 0.95 and np.mean(planted) >= 0.9
+    groups = Counter(root.values())
+    assert groups[5] >= 301 and max(n for k, n in groups.items() if k != 5) == 2
+
+
+def test_components(spark):
+    from corpusloom.llm.common import Scratch
+
+    r = random.Random(1)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for x, y in edges:
+        p, q = find(x), find(y)
+        parent[max(p, q)] = min(p, q)
+    got = {x.id: x.root for x in simhash.connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()}
+    for x in {v for e in edges for v in e}:
+        assert got.get(x, x) == find(x)
+
+
+# 9: Brown classes
+
+
+def test_move_gains_are_differences_of_likelihood():
+    r = np.random.default_rng(0)
+    words, k = 12, 4
+    n = r.integers(0, 5, (words, words)).astype(float)
+    cls = np.arange(words) % k
+    table = lambda c: np.array([[n[np.ix_(c == a, c == b)].sum() for b in range(k)] for a in range(k)])
+    for w in range(words):
+        others = np.arange(words) != w
+        left = np.array([n[(cls == c) & others, w].sum() for c in range(k)])
+        right = np.array([n[w, (cls == c) & others].sum() for c in range(k)])
+        gain = brown.move_gains(table(cls), int(cls[w]), left, right, n[w, w], k)
+        for c in range(k):
+            new = cls.copy()
+            new[w] = c
+            assert gain[c] == pytest.approx(brown.likelihood(table(new)) - brown.likelihood(table(cls)), abs=1e-8)
+
+
+def test_probabilities_sum_to_one_and_likelihood_rises(spark):
+    docs = spark.createDataFrame([(i, prose(100, i)) for i in range(100)], "doc_id long, text string")
+    model = brown.fit(spark, docs, min_share=1e-4)
+    k = len(model.transition)
+    assert np.exp(model.transition).sum(axis=1) == pytest.approx(np.ones(k))
+    per = np.bincount(model.classes[: len(model.vocabulary.words)], np.exp(model.emission[: len(model.vocabulary.words)]), k)
+    assert all(x == pytest.approx(1) or x == 0 for x in per)
+    from corpusloom.llm.common import Scratch
+
+    pairs = Counter()
+    for r in docs.collect():
+        s, _ = model.vocabulary.symbols([r.text])
+        pairs.update(zip(s[:-1].tolist(), s[1:].tolist()))
+    bigrams = spark.createDataFrame([(a, b, n) for (a, b), n in pairs.items()], "a int, b int, n long")
+    _, table, score = brown.cluster(Scratch(spark, "test"), bigrams, len(model.vocabulary.words))
+    assert table.sum() == sum(pairs.values()) and score == sorted(score) and len(score) > 2
+
+
+def test_text_is_likelier_than_the_same_words_shuffled(spark):
+    r = random.Random(1)
+    grammar = [["the", "a"], ["red", "old", "new"], ["dog", "cat", "bird"], ["sees", "likes"]]
+    make = lambda n: " ".join(r.choice(g) for _ in range(n) for g in grammar)
+    docs = spark.createDataFrame([(i, make(20)) for i in range(80)], "doc_id long, text string")
+    model = brown.fit(spark, docs)
+    text = make(50)
+    shuffled = text.split()
+    r.shuffle(shuffled)
+    p, _ = model.log_probabilities([text, " ".join(shuffled)])
+    assert p[0] > p[1] + 50
+
+
+# 10: conditional random field
+
+
+@pytest.fixture(scope="module")
+def field():
+    return pii.default_field()
+
+
+def test_held_out_sentences(field):
+    right = total = 0
+    for tokens, labels in pii.labelled_table(400, seed=99):
+        ids = np.array([1, *(field.shapes.get(pii.shape(t), 0) for t in tokens), 1])
+        got = field.decode(ids)[1:-1]
+        right += sum(int(a == b) for a, b in zip(got, labels))
+        total += len(labels)
+    assert right / total > 0.97
+
+
+def test_decoding_is_exact(field):
+    """Viterbi over the whole sequence, without parting it, gives paths of the same score."""
+    r = random.Random(5)
+    for tokens, _ in pii.labelled_table(60, seed=7):
+        ids = np.array([1, *(field.shapes.get(pii.shape(t), 0) for t in tokens), 1])
+        e = field.emissions(ids)[1:-1]
+        score = lambda y: field.trans[0, y[0]] + sum(e[i, y[i]] for i in range(len(y))) + sum(field.trans[y[i - 1], y[i]] for i in range(1, len(y))) + field.trans[y[-1], 0]  # noqa: B023, E731
+        whole = field._viterbi(e[None])[0]
+        assert score(field.decode(ids)[1:-1]) == pytest.approx(score(whole))
+        assert r is not None
+
+
+def test_redaction(field):
+    text = 'Write to ann.lee@mail3.example.com or call (555) 123-4567 from 10.0.0.12, ssn 123-45-6789. token = "0123456789abcdef0123456789abcdef01234567" in 2019 about 3.0 things'
+    out = pii.redact(text, pii.spans([text], field)[0])
+    for secret in ("ann.lee", "123-4567", "10.0.0.12", "123-45-6789", "0123456789abcdef"):
+        assert secret not in out
+    assert "2019" in out and "3.0 things" in out
+    assert pii.spans([None, "", "  ", "plain words only"], field) == [[], [], [], []]
