@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import bert
 from corpusloom.functions.text import BARE, MARKED, WORD, basic_tokens, clean_text, normalise_query, pad_ideographs, words
-from corpusloom.operators import chunking, fusion, lexical, vectors
+from corpusloom.operators import chunking, fusion, lexical, paged, statistics, vectors
 from corpusloom.operators.embedding import HashingProvider, embed_column
 from corpusloom.plans import reads
 from corpusloom.plans import search as hybrid
-from corpusloom.schema import describe_anchor
+from corpusloom.schema import ANCHOR, describe_anchor, with_defaults
 from corpusloom.sources.reader import digest_html_column
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -312,12 +312,12 @@ def piece_count(spark, sf_dir):
 # chunks
 
 
-def _chunks_sql(context: int, prefix: str) -> str:
+def _chunks_sql(context: int, prefix: str, rows: str = "documents") -> str:
     """Chunk after chunk by recursion: st is the first sentence of a chunk, least the sentence up to which it goes at least."""
     room = f"greatest({context} - length({prefix}), 1)"
     return f"""WITH RECURSIVE s AS (
       SELECT doc_id, replace(text, chr(13) || chr(10), chr(10)) AS text, {prefix} AS prefix, {room} AS room, CAST(floor({room} * 0.05) AS BIGINT) AS overlap,
-        list_filter(regexp_extract_all(replace(text, chr(13) || chr(10), chr(10)), '[^.!?\\n]*(?:[.!?]+[ \\t\\r\\n\\f]*|\\n|$)'), lambda x: length(x) > 0) AS parts FROM documents),
+        list_filter(regexp_extract_all(replace(text, chr(13) || chr(10), chr(10)), '[^.!?\\n]*(?:[.!?]+[ \\t\\r\\n\\f]*|\\n|$)'), lambda x: length(x) > 0) AS parts FROM {rows}),
     p AS (SELECT doc_id, text, prefix, room, overlap, list_prepend(0, list_transform(range(1, len(parts) + 1), lambda i: list_sum(list_transform(parts[1:i], lambda x: length(x))))) AS run FROM s WHERE len(parts) > 0 AND len(parts) <= 1500
       UNION ALL SELECT doc_id, text, prefix, room, overlap, run FROM (
         SELECT doc_id, list(x ORDER BY i) AS run FROM (SELECT doc_id, i, sum(CASE WHEN i = 0 THEN 0 ELSE length(parts[i]) END) OVER (PARTITION BY doc_id ORDER BY i) AS x FROM (SELECT doc_id, parts, unnest(range(0, len(parts) + 1)) AS i FROM s WHERE len(parts) > 1500)) GROUP BY doc_id) JOIN s USING (doc_id)),
@@ -348,6 +348,19 @@ def sentence_chunks_prefixed(spark, sf_dir):
     return _chunks(spark, sf_dir, 300, F.concat("source", F.lit(": ")))
 
 
+@_query(
+    "paged_chunks",
+    f"""SELECT doc_id // 1000 AS doc_id, doc_id % 1000 AS page, text_content, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id, sequence_index) - 1 AS sequence_index,
+      count(*) OVER (PARTITION BY doc_id // 1000) AS document_length, lower, upper FROM ({_chunks_sql(60, "''", "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)")})""",
+)
+def paged_chunks(spark, sf_dir):
+    """Turns as the pages of a document, numbered over all of them."""
+    c = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")
+    long = lambda x: F.col(x).cast("long")
+    out = paged.paged_chunks(c, context_size=60)
+    return out.select("doc_id", long("page").alias("page"), "text_content", long("sequence_index").alias("sequence_index"), long("document_length").alias("document_length"), long("anchor.char_range.lower").alias("lower"), long("anchor.char_range.upper").alias("upper"))
+
+
 @_query("section_chunks_html")
 def section_chunks_html(spark, sf_dir):
     """Pages by header; tests hold the walker against written pages."""
@@ -445,6 +458,46 @@ def hybrid_search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["hybrid_search_documents"] = hybrid_search_documents
 FLAGSHIP = hybrid_search_documents
 
+# smaller operators
+
+
+@_query("surfaced_pieces", f"WITH {_top(0, 40)}, {_top(1, 40)} SELECT piece_id FROM top0 UNION SELECT piece_id FROM top1")
+def surfaced_pieces(spark, sf_dir):
+    """Ids of two ranked lists, once each."""
+    rows = _pieces_of_vectors(spark, sf_dir)
+    a, b = (vectors.topk(rows, _vector(spark, sf_dir, v), 40).select("piece_id") for v in (0, 1))
+    return a.union(b).distinct()
+
+
+@_query("sample_statistics", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(var_samp(value), 5) AS variance, round(stddev_samp(value), 6) AS deviation, round(stddev_samp(value) / avg(value), 6) AS relative FROM events GROUP BY event_type")
+def sample_statistics(spark, sf_dir):
+    s = statistics.summary(_table(spark, sf_dir, "events"), "value", "event_type")
+    return s.select("event_type", "n", _round("mean").alias("mean"), _round("variance", 5).alias("variance"), _round("deviation").alias("deviation"), _round("relative").alias("relative"))
+
+
+@_query(
+    "legacy_defaults",
+    "SELECT conv_id * 1000 + turn AS id, CAST(0 AS BIGINT) AS sequence_index, CAST(1 AS BIGINT) AS document_length, 'characters 0 to ' || length(text) AS anchor FROM conversations",
+)
+def legacy_defaults(spark, sf_dir):
+    """Pieces from before places were stored."""
+    _, pieces = conversation_rows(spark, sf_dir)
+    nothing = F.lit(None)
+    old = pieces.withColumns({"sequence_index": nothing.cast("int"), "document_length": nothing.cast("int"), "anchor": nothing.cast(ANCHOR)})
+    d = with_defaults(old)
+    return d.select("id", F.col("sequence_index").cast("long").alias("sequence_index"), F.col("document_length").cast("long").alias("document_length"), describe_anchor(F.col("anchor")).alias("anchor"))
+
+
+@_query("context_by_window", f"WITH p AS ({CONVERSATION_PIECES}) SELECT id, CAST(count(*) OVER (PARTITION BY parent_id ORDER BY sequence_index RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS n_around FROM p")
+def context_by_window(spark, sf_dir):
+    """How many pieces stand around each, by place."""
+    from pyspark.sql import Window
+
+    _, pieces = conversation_rows(spark, sf_dir)
+    around = Window.partitionBy("parent_id").orderBy("sequence_index").rangeBetween(-1, 1)
+    return pieces.select("id", F.count("*").over(around).alias("n_around"))
+
+
 # changes, as transforms of the tables
 
 
