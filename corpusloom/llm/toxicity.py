@@ -6,8 +6,9 @@ that stand together. Every clause is run through the composed machine; matched c
 target counts for part, a negated or reported one for little. A document is toxic when its clauses sum to ``LIMIT``.
 
 The lexicon grows by stems learned from labelled rows, for each language: those whose longer forms stand in far more toxic than clean
-documents. At most ``LABELLED_ROWS`` rows of either label are read for that, the ones with the least hash. What chance alone puts of such
-forms into a text of its length, measured on the clean rows, is taken off its score.
+documents. At most ``LABELLED_ROWS`` rows of either label are read for that, the ones with the least hash; near copies among them share one
+vote, and a stem must have ``FORMS`` different forms, so that a text which was copied often teaches no more than one that wasn't. What chance
+alone puts of such forms into a text of its length, measured on the clean rows, is taken off its score.
 
 Defined results: null, empty and blank texts have no clause and are never flagged; repeated documents are flagged each; a null language
 uses the stems of all languages; labels that are null, or of no document, teach nothing, and without labels only the built-in lexicon
@@ -31,6 +32,7 @@ LABELLED_ROWS = 3000
 STEM_LETTERS = range(4, 11)
 EVIDENCE = 40.0
 RATIO = 5.0
+FORMS = 4
 LEXICON = {
     "INSULT": "idiot idiots moron morons scum stupid loser losers pathetic worthless disgusting imbecile imbeciles bastard bastards bitch bitches asshole assholes dumbass retard retarded "
     "degenerate degenerates subhuman vermin filth dimwit halfwit cretin scumbag scumbags jackass dipshit shithead fuckwit wanker twat idiotic moronic "
@@ -207,18 +209,29 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled_rows
     rows = toxic_of.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("n") <= labelled_rows)
     known = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null").join(F.broadcast(rows.select("doc_id", "y")), "doc_id")
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0)
-    words = scratch.table(known.select(row_key("doc_id", "text").alias("rid"), "lang", "y", F.size(found).alias("n"), F.array_distinct(found).alias("w")), "words")
+    words = known.select(row_key("doc_id", "text").alias("rid"), "lang", "y", found.alias("all"))
+    four = lambda seed: F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size("all") - 3, F.lit(1))), lambda i: F.xxhash64(F.lit(seed), F.concat_ws(" ", F.slice("all", i, 4)))))
+    words = scratch.table(words.select("rid", "lang", "y", F.size("all").alias("n"), F.array_distinct("all").alias("w"), *[four(k).alias(f"m{k}") for k in range(3)]), "words")
+    # near copies have the same least hash of four words in a row: the middle of three counts is how many share a vote
+    shares = [F.count("*").over(Window.partitionBy("lang", f"m{k}")).alias(f"c{k}") for k in range(3)]
+    votes = words.select("rid", "lang", "y", "n", "w", *shares).withColumn("v", 1.0 / F.array_sort(F.array("c0", "c1", "c2"))[1]).drop("c0", "c1", "c2")
+    votes = scratch.table(votes, "votes")
+    bad, good = F.sum(F.col("v") * F.col("y")).alias("a"), F.sum(F.col("v") * (1 - F.col("y"))).alias("b")
     totals: dict[str, list[float]] = {}
-    for r in words.groupBy("lang").agg(F.sum("y").alias("t"), F.count("*").alias("n"), F.sum(F.when(F.col("y") == 0, F.col("n"))).alias("clean")).collect():
-        totals[r.lang] = [r.t, r.n - r.t, r.clean or 0]
-    each = words.select("rid", "lang", "y", F.explode("w").alias("word")).filter((F.length("word") > STEM_LETTERS[0]) & ~F.col("word").isin(sorted(CLASS)))
-    stem = F.explode(F.transform(F.sequence(F.lit(STEM_LETTERS[0]), F.least(F.length("word") - 1, F.lit(STEM_LETTERS[-1]))), lambda k: F.substring("word", F.lit(1), k)))
-    counts = each.select("rid", "lang", "y", stem.alias("stem")).distinct().groupBy("lang", "stem").agg(F.sum("y").alias("a"), (F.count("*") - F.sum("y")).alias("b"))
+    for r in votes.groupBy("lang").agg(bad, good, F.sum(F.col("v") * (1 - F.col("y")) * F.col("n")).alias("clean")).collect():
+        totals[r.lang] = [r.a, r.b, r.clean]
+    each = votes.select("rid", "lang", "y", "v", F.explode("w").alias("word")).filter((F.length("word") > STEM_LETTERS[0]) & ~F.col("word").isin(sorted(CLASS)))
+    forms = scratch.table(each.groupBy("lang", "word").agg(bad, good), "forms")
+    lengths = F.sequence(F.lit(STEM_LETTERS[0]), F.least(F.length("word") - 1, F.lit(STEM_LETTERS[-1])))
+    stem = F.explode(F.transform(lengths, lambda k: F.substring("word", F.lit(1), k))).alias("stem")
+    # only stems of enough forms, most of them among toxic rows, are worth counting by document
+    several = forms.filter("a > b").select("lang", stem).groupBy("lang", "stem").agg(F.count("*").alias("k")).filter(F.col("k") >= FORMS).select("lang", "stem")
+    counts = each.select("rid", "lang", "y", "v", stem).distinct().join(several, ["lang", "stem"]).groupBy("lang", "stem").agg(bad, good)
     likely: dict[str, list[tuple[float, str]]] = {}
     for r in counts.filter("a >= 8 and a > b / 4").collect():
         t, c, _ = totals[r.lang]
         if t and c and (r.a / t) >= RATIO * (r.b / c):
-            if (e := _evidence(r.a, t, r.b, c)) >= EVIDENCE:
+            if (e := _evidence(min(r.a, t), t, min(r.b, c), c)) >= EVIDENCE:
                 likely.setdefault(r.lang, []).append((e, r.stem))
     chosen: dict[str, list[str]] = {}
     for lang, stems in likely.items():
@@ -229,11 +242,11 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled_rows
     out: dict[str, Stems] = {}
     for lang, stems in chosen.items():
         t, c, size = totals[lang]
-        mine = each.filter(F.col("lang") == lang).filter(F.col("word").rlike("^(?:" + "|".join(stems) + ").+")).groupBy("word").agg(F.sum("y").alias("a"), (F.count("*") - F.sum("y")).alias("b"))
-        got = mine.collect()  # forms of a few stems in a bounded sample
+        got = forms.filter(F.col("lang") == lang).filter(F.col("word").rlike("^(?:" + "|".join(stems) + ").+")).collect()  # forms of a few stems in a bounded sample
         common = [r.word for r in got if r.b > 3 and r.a / t < RATIO * r.b / c * 2]
         out[lang] = Stems(stems, common, sum(r.b for r in got if r.word not in common) / max(1, size))
-    scratch.drop("words")
+    for name in ("words", "votes", "forms"):
+        scratch.drop(name)
     return out
 
 
