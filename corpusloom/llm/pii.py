@@ -107,6 +107,7 @@ def labelled_table(rows: int = TRAIN_ROWS, seed: int = 1) -> list[tuple[list[str
         lambda: "@" + word(), lambda: word() + "-" + word(), lambda: f"{word()}/{word()}", lambda: f"https://{word()}.org/{word()}", lambda: f"{word()}.{word()}", lambda: f"{digits(2)}/{digits(2)}/{digits(4)}",
         lambda: f"{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"({digits(1)})", lambda: "3.0", lambda: "1.0.2", lambda: f"{word()}{digits(2)}", lambda: f"({digits(4)})", lambda: "=" + word(), lambda: "token", lambda: f"key = {word()}",
         lambda: "(" + word() + ")", lambda: word() + ".", lambda: word().upper() + "!!", lambda: word() + "%%%", lambda: "| " + word() + " |", lambda: f"{digits(3)} {digits(3)}", lambda: f'"{word()}"', lambda: f"+{digits(1)}",
+        lambda: " ".join([f"{word()}.{word()}"] * r.randint(1, 6)), lambda: " ".join([f"{word().capitalize()}.{word()}"] * r.randint(1, 6)), lambda: " ".join([r.choice([f"{digits(2)}-{word()}", f"{word()}-{word()}", f"{word()}:{word()}", digits(2)])] * r.randint(1, 6)),
     ]
     out = []
     for _ in range(rows):
