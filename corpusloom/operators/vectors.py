@@ -73,42 +73,54 @@ def check_query(query, dimension: int) -> None:
         raise DimensionMismatch(f"the query has dimension {len(query)}, not {dimension}")
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, blocks: int = 8, key: str = "piece_id", vector: str = "embedding") -> DataFrame:
-    """The k nearest vectors of every query, exactly: query, neighbour, similarity, rank0.
+BLOCK_ROWS = 20_000
+
+
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the rows that have a vector, their unit vectors)."""
+    lists = column.combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    some = np.flatnonzero(size)
+    if not len(some):
+        return some, np.empty((0, 0))
+    m = lists.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(some), -1)
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return some, np.divide(m, n, out=m, where=n > 0)
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int, blocks: int | None = None, key: str = "piece_id", vector: str = "embedding") -> DataFrame:
+    """The k nearest vectors of every query, exactly: query, neighbour, similarity, rank0. All vectors have one dimension.
 
     Queries and vectors are cut into blocks; each pair of blocks is one matrix product in a task, which passes on only k rows a query. What
-    a task holds is two blocks, so ``blocks`` grows with the data; the shuffle carries each row ``blocks`` times.
+    a task holds is two blocks, so unless it is given, their number follows from how many rows there are; the shuffle carries each row that many times.
     """
+    if blocks is None:
+        blocks = max(1, -(-max(queries.count(), vectors.count()) // BLOCK_ROWS))
     q = queries.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("qb"), F.col(key).alias("id"), F.col(vector).alias("v"), F.lit(True).alias("is_query"))
     v = vectors.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("vb"), F.col(key).alias("id"), F.col(vector).alias("v"), F.lit(False).alias("is_query"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     both = q.withColumn("vb", F.explode(every)).unionByName(v.withColumn("qb", F.explode(every)))
 
     def product(t: pa.Table) -> pa.Table:
+        out_q, out_n, out_s = [], [], []
         ask = t.column("is_query").to_numpy()
         ids = t.column("id").to_numpy()
-        rows = t.column("v").to_pylist()
-        a, b = [i for i in range(len(ids)) if ask[i] and rows[i]], [i for i in range(len(ids)) if not ask[i] and rows[i]]
-        if not a or not b:
-            return pa.table({"query": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        x, y = (np.array([rows[i] for i in s], float) for s in (a, b))
-        for m in (x, y):
-            n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-            np.divide(m, n, out=m, where=n > 0)
-        b_ids = ids[b]
-        out_q, out_n, out_s = [], [], []
-        for at in range(0, len(a), 512):
-            s = x[at : at + 512] @ y.T
-            for i, row in enumerate(s, at):
-                best = np.lexsort((b_ids, -row))[:k] if len(row) <= 4 * k else None
-                if best is None:
-                    least = np.partition(row, -k)[-k]
-                    some = np.flatnonzero(row >= least)
+        rows, units = _matrix(t.column("v"))
+        a, b = np.flatnonzero(ask[rows]), np.flatnonzero(~ask[rows])
+        if len(a) and len(b):
+            a_ids, b_ids, y = ids[rows[a]], ids[rows[b]], units[b].T
+            for at in range(0, len(a), 256):
+                s = units[a[at : at + 256]] @ y
+                least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                for i, row in enumerate(s):
+                    some = np.flatnonzero(row >= least[i])
                     best = some[np.lexsort((b_ids[some], -row[some]))][:k]
-                out_q += [ids[a[i]]] * len(best)
-                out_n += b_ids[best].tolist()
-                out_s += row[best].tolist()
-        return pa.table({"query": pa.array(out_q, pa.int64()), "neighbour": pa.array(out_n, pa.int64()), "similarity": pa.array(out_s, pa.float64())})
+                    out_q.append(np.full(len(best), a_ids[at + i]))
+                    out_n.append(b_ids[best])
+                    out_s.append(row[best])
+        one = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+        return pa.table({"query": pa.array(one(out_q, np.int64), pa.int64()), "neighbour": pa.array(one(out_n, np.int64), pa.int64()), "similarity": pa.array(one(out_s, float), pa.float64())})
 
     from pyspark.sql import Window
 
