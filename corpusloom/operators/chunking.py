@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 from itertools import accumulate
 
 import pyarrow as pa
@@ -61,8 +62,8 @@ def chunks(text: str | None, context_size: int, prefix: str = "") -> list[tuple[
 _SPANS = "array<struct<lower:int,upper:int>>"
 
 
-def sentence_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", context_size: int = CONTEXT, prefix: str | Column | None = None, sequence_offset: int = 0) -> DataFrame:
-    """key, text_content, sequence_index, document_length, anchor; one row a chunk."""
+def sentence_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", context_size: int = CONTEXT, prefix: str | Column | None = None, sequence_offset: int = 0, anchor_maker: Callable[[Column, Column], Column] = text_anchor) -> DataFrame:
+    """key, text_content, sequence_index, document_length, anchor; one row a chunk. The anchor is made of the range's lower and upper bound."""
     head = F.lit("") if prefix is None else F.lit(prefix) if isinstance(prefix, str) else F.coalesce(prefix, F.lit(""))
     rows = docs.select(F.col(key), F.regexp_replace(text, "\r\n", "\n").alias("_text"), head.alias("_head"))
 
@@ -82,5 +83,5 @@ def sentence_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", co
         F.concat("_head", F.substring("_text", lower + 1, upper - lower)).alias("text_content"),
         (F.col("_at") + sequence_offset).alias("sequence_index"),
         F.col("_n").alias("document_length"),
-        text_anchor(lower, upper).alias("anchor"),
+        anchor_maker(lower, upper).alias("anchor"),
     )

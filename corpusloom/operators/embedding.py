@@ -19,9 +19,10 @@ from corpusloom.schema import TEXT
 
 
 class Provider(ABC):
-    """A model: its dimension, and vectors for batches of texts. Loaded once a worker, in ``load``."""
+    """A model: its dimension and language, and vectors for batches of texts. Loaded once a worker, in ``load``."""
 
     dimension: int
+    language: str = "en"
 
     def load(self) -> None:
         """Called before the first batch, on the worker."""

@@ -81,3 +81,11 @@ def test_rows(spark):
     for i, t in texts:
         want = chunks((t or "").replace("\r\n", "\n"), 30, "p: ")
         assert sorted(got.get(i, [])) == [(100 + k, len(want), c, a, b, "text") for k, (c, a, b) in enumerate(want)]
+
+
+def test_anchors_are_made_by_the_caller(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "One. Two.")], "doc_id long, text string")
+    rows = sentence_chunks(df, context_size=5, anchor_maker=lambda lower, upper: F.struct(lower.alias("from"), (upper - lower).alias("size"))).orderBy("sequence_index").collect()
+    assert [tuple(r.anchor) for r in rows] == [(0, 4), (5, 4)]
