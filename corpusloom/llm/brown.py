@@ -91,24 +91,49 @@ class Vocabulary:
         return np.array(out, np.int64), size
 
 
-def _count_bigrams(vocabulary):
+def _encode(vocabulary):
+    """Texts as symbols, each with a boundary at its end; a text without words has none."""
+
     def run(batches):
         v: Vocabulary = vocabulary.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                s, size = v.symbols(b.column(1).to_pylist())
+                ends = np.concatenate([[0], np.cumsum(size + (size > 0))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(s[1:].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), lists], ["doc_id", "n", "s"])
+
+    return run
+
+
+SYMBOLS = "doc_id long, n long, s array<int>"
+
+
+def _values(batch: pa.RecordBatch, boundary: int) -> np.ndarray:
+    """The symbols of a batch's texts in a row, after a boundary."""
+    flat = batch.column(batch.schema.get_field_index("s")).flatten().to_numpy(zero_copy_only=False)
+    return np.concatenate([[boundary], flat]).astype(np.int64)
+
+
+def _count_bigrams(boundary: int):
+    n_symbols = boundary + 1
+
+    def run(batches):
         held, n = [], 0
 
         def flush():
             code, count = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array((code // v.size).astype(np.int32)), pa.array((code % v.size).astype(np.int32)), pa.array(count.astype(np.int64))], ["a", "b", "n"])
+            return pa.RecordBatch.from_arrays([pa.array((code // n_symbols).astype(np.int32)), pa.array((code % n_symbols).astype(np.int32)), pa.array(count.astype(np.int64))], ["a", "b", "n"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                s, _ = v.symbols(b.slice(at, 1000).column(0).to_pylist())
-                if len(s) > 1:
-                    held.append(s[:-1] * v.size + s[1:])
-                    n += len(s)
-                if n > 6_000_000:
-                    yield flush()
-                    held, n = [], 0
+            s = _values(b, boundary)
+            if len(s) > 1:
+                held.append(s[:-1] * n_symbols + s[1:])
+                n += len(s)
+            if n > 6_000_000:
+                yield flush()
+                held, n = [], 0
         if held:
             yield flush()
 
@@ -271,16 +296,24 @@ class Model:
     def log_probabilities(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(natural log-probability of each text with its end, number of words)."""
         s, size = self.vocabulary.symbols(texts)
-        out = np.zeros(len(texts))
-        if len(s) > 1:
-            c = self.classes[s]
-            has = np.flatnonzero(size)
-            owner = np.repeat(has, size[has] + 1)  # text by text, so that a sum doesn't depend on what stands before
-            out = np.bincount(owner, self.transition[c[:-1], c[1:]] + self.emission[s[1:]], len(texts))
-        return out, size
+        return self.of_symbols(s, size), size
+
+    def of_symbols(self, s: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The same for texts as symbols in a row, after a boundary; size: words of each text."""
+        if len(s) < 2:
+            return np.zeros(len(size))
+        c = self.classes[s]
+        has = np.flatnonzero(size)
+        owner = np.repeat(has, size[has] + 1)  # text by text, so that a sum doesn't depend on what stands before
+        return np.bincount(owner, self.transition[c[:-1], c[1:]] + self.emission[s[1:]], len(size))
 
 
 def fit(spark: SparkSession, docs: DataFrame, min_share: float = MIN_SHARE, rounds: int = ROUNDS) -> Model:
+    return _fit(spark, docs, min_share, rounds)[0]
+
+
+def _fit(spark: SparkSession, docs: DataFrame, min_share: float = MIN_SHARE, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """(model, the documents as symbols): texts are split into words once to count them and once to write their symbols, never again."""
     scratch = Scratch(spark, "brown")
     texts = docs.select("text")
     unigrams = scratch.table(texts.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
@@ -298,30 +331,34 @@ def fit(spark: SparkSession, docs: DataFrame, min_share: float = MIN_SHARE, roun
         kinds[k] = n
     vocabulary = Vocabulary([r[0] for r in rows])
     sent = spark.sparkContext.broadcast(vocabulary)
-    bigrams = texts.mapInArrow(_count_bigrams(sent), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    symbols = scratch.table(docs.select("doc_id", "text").mapInArrow(_encode(sent), SYMBOLS), "symbols")
+    bigrams = symbols.select("s").mapInArrow(_count_bigrams(vocabulary.boundary), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     bigrams = scratch.table(bigrams, "bigrams")
     classes, table, _ = cluster(scratch, bigrams, len(rows), rounds)
     for name in ("unigrams", "bigrams", "both"):
         scratch.drop(name)
-    return Model(vocabulary, classes, table, np.array([r[1] for r in rows], float), kinds)
+    return Model(vocabulary, classes, table, np.array([r[1] for r in rows], float), kinds), symbols
 
 
 def perplexity(spark: SparkSession, docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Every document: doc_id, n_tokens, log_prob, perplexity."""
-    sent = spark.sparkContext.broadcast(model or fit(spark, docs))
+    if model is None:
+        model, symbols = _fit(spark, docs)
+    else:
+        symbols = docs.select("doc_id", "text").mapInArrow(_encode(spark.sparkContext.broadcast(model.vocabulary)), SYMBOLS)
+    sent, boundary = spark.sparkContext.broadcast(model), model.vocabulary.boundary
 
     def run(batches):
         m = sent.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                p, n = m.log_probabilities(b.column(1).to_pylist())
-                with np.errstate(over="ignore"):
-                    per = np.exp(-p / (n + 1))
-                none = n == 0
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(p, pa.float64(), mask=none), pa.array(per, pa.float64(), mask=none)], ["doc_id", "n_tokens", "log_prob", "perplexity"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, perplexity double")
+        for b in batches:
+            n = b.column(1).to_numpy()
+            p = m.of_symbols(_values(b, boundary), n)
+            with np.errstate(over="ignore"):
+                per = np.exp(-p / (n + 1))
+            none = n == 0
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(p, pa.float64(), mask=none), pa.array(per, pa.float64(), mask=none)], ["doc_id", "n_tokens", "log_prob", "perplexity"])
+
+    return symbols.mapInArrow(run, "doc_id long, n_tokens long, log_prob double, perplexity double")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
