@@ -77,7 +77,7 @@ CONVERSATION_PIECES = "SELECT conv_id * 1000 + turn AS id, conv_id AS parent_id,
 def _sim(vec_id: int) -> str:
     return f"""sim{vec_id} AS (
       SELECT e.vec_id AS piece_id, e.label AS parent_id,
-        list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) AS similarity
+        round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 7) AS similarity
       FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {vec_id}) q)"""
 
 
@@ -85,25 +85,25 @@ def _top(vec_id: int, k: int, where: str = "true") -> str:
     return f"{_sim(vec_id)}, top{vec_id} AS (SELECT * FROM sim{vec_id} WHERE {where} ORDER BY similarity DESC, piece_id LIMIT {k})"
 
 
-_SHOWN = "piece_id, CAST(parent_id AS BIGINT) AS parent_id, round(similarity, 6) AS similarity"
+_SHOWN = "piece_id, CAST(parent_id AS BIGINT) AS parent_id, similarity"
 
 
 @_query("vector_topk", f"WITH {_top(0, 10)} SELECT {_SHOWN} FROM top0")
 def vector_topk(spark, sf_dir):
     hits = vectors.topk(_pieces_of_vectors(spark, sf_dir), _vector(spark, sf_dir, 0), 10)
-    return hits.select("piece_id", "parent_id", _round("similarity").alias("similarity"))
+    return hits.select("piece_id", "parent_id", "similarity")
 
 
 @_query("vector_topk_in_collection", f"WITH {_top(1, 10, 'parent_id = 3')} SELECT {_SHOWN} FROM top1")
 def vector_topk_in_collection(spark, sf_dir):
     mine = _pieces_of_vectors(spark, sf_dir).filter("parent_id = 3")
-    return vectors.topk(mine, _vector(spark, sf_dir, 1), 10).select("piece_id", "parent_id", _round("similarity").alias("similarity"))
+    return vectors.topk(mine, _vector(spark, sf_dir, 1), 10).select("piece_id", "parent_id", "similarity")
 
 
 @_query("vector_cutoff", f"WITH {_top(0, 40)} SELECT {_SHOWN} FROM top0 WHERE similarity > 0.2")
 def vector_cutoff(spark, sf_dir):
     hits = vectors.above(vectors.topk(_pieces_of_vectors(spark, sf_dir), _vector(spark, sf_dir, 0), 40), 0.2)
-    return hits.select("piece_id", "parent_id", _round("similarity").alias("similarity"))
+    return hits.select("piece_id", "parent_id", "similarity")
 
 
 @_query("vector_normalised", "SELECT vec_id AS piece_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))))), 6) AS total FROM embeddings")
@@ -125,10 +125,10 @@ def vector_knn_all(spark, sf_dir):
     return vectors.knn(v, v, 5).select("query", F.col("rank0").cast("long").alias("rank0"), _round("similarity", 5).alias("similarity"))
 
 
-@_query("doc_rollup_max", f"WITH {_top(0, 50)} SELECT CAST(parent_id AS BIGINT) AS parent_id, round(max(similarity), 6) AS best FROM top0 GROUP BY parent_id ORDER BY best DESC, parent_id")
+@_query("doc_rollup_max", f"WITH {_top(0, 50)} SELECT CAST(parent_id AS BIGINT) AS parent_id, max(similarity) AS best FROM top0 GROUP BY parent_id ORDER BY best DESC, parent_id")
 def doc_rollup_max(spark, sf_dir):
     hits = vectors.topk(_pieces_of_vectors(spark, sf_dir), _vector(spark, sf_dir, 0), 50)
-    return hits.groupBy("parent_id").agg(_round(F.max("similarity")).alias("best")).orderBy(F.desc("best"), "parent_id")
+    return hits.groupBy("parent_id").agg(F.max("similarity").alias("best")).orderBy(F.desc("best"), "parent_id")
 
 
 @_query(
@@ -448,15 +448,19 @@ def hybrid_search_explained(spark, sf_dir):
     return hybrid.search(documents, pieces, _embedded(pieces, "text_content"), "the and", _ask("the and"), 10, 0.2, ranking=fusion.RELATIVE, explain=True)
 
 
-def hybrid_search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document of the documents table is one piece."""
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search where each document of the documents table is one piece."""
     rows = document_rows(spark, sf_dir)
     pieces = rows.select("id", F.col("id").alias("parent_id"), F.col("text").alias("text_content"))
-    return hybrid.search(rows, pieces, _embedded(pieces, "text_content"), "the and", _ask("the and"), 10, 0.1)
+    return hybrid.search(rows, pieces, _embedded(pieces, "text_content"), "the and", _ask("the and"), 10, 0.1, stemmed=False)
 
 
-QUERIES["hybrid_search_documents"] = hybrid_search_documents
-FLAGSHIP = hybrid_search_documents
+FLAGSHIP = flagship
+
+
+@_query("hybrid_search_documents", _hybrid_sql(DOCUMENTS_SQL, "SELECT doc_id AS id, doc_id AS parent_id, text AS text_content FROM documents", "text_content", "the and", 10, 0.1))
+def hybrid_search_documents(spark, sf_dir):
+    return flagship(spark, sf_dir).select("document_rank", "document_id", "piece_id", "piece_rank")
 
 # smaller operators
 
