@@ -55,7 +55,9 @@ def search(rows: DataFrame, query: str, columns: list[str], match: str = ALL, li
     tokens = rows.withColumn("tokens", indexed(rows, columns, list(index_ids)))
     forms = _forms(tokens, asked) if stemmed else {q: [q] for q in asked}
     frequency = [_count("tokens", ws) for ws in forms.values()]
-    counted = tokens.select(*rows.columns, F.size("tokens").cast("double").alias("_len"), F.array(*frequency).alias("_f"))
+    # a generated column: the filter on hits stays above it, where below it would split each text once more for every word asked
+    once = F.explode(F.array(F.struct(F.size("tokens").cast("double").alias("len"), F.array(*frequency).alias("f")))).alias("_c")
+    counted = tokens.select(*rows.columns, once).select(*rows.columns, F.col("_c.len").alias("_len"), F.col("_c.f").alias("_f"))
     m = len(frequency)
     stats = counted.agg(F.count("*").cast("double").alias("_n"), F.avg("_len").alias("_avg"), F.array(*[F.sum((F.col("_f")[i] > 0).cast("double")) for i in range(m)]).alias("_df"))
     joined = counted.crossJoin(F.broadcast(stats))  # one row
