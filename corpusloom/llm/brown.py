@@ -1,11 +1,14 @@
 """Perplexity under a Brown class-based bigram model of the corpus itself.
 
-P(w | v) = P(class of w | class of v) * P(w | class of w). Unigrams are counted over all documents; words whose share of all tokens is
-``MIN_SHARE`` or more are the clustered vocabulary, so its size is bounded by the threshold at any corpus size. Their classes come from
+P(w | v) = P(class of w | class of v) * P(w | class of w). Unigrams are counted over all documents; all words seen ``MIN_COUNT`` times or
+more are the clustered vocabulary, which grows with the corpus. Their classes come from
 exchange clustering on the bigram counts of all documents: in each round every word's best class is found in parallel on
 the executors, where the counts lie, against one small class-by-class table, half of the words move, and a round that doesn't raise the
-likelihood is taken back. Rarer words have classes by length, each word of which is as likely as any other kind of the class. Transitions are
-smoothed after Witten and Bell; the kinds of each class count one more than were seen, for unknown words.
+likelihood is taken back. Words seen less often have classes by length, in which each has its own count; one count more of each such class is set
+aside for all words never seen. Transitions are smoothed after Witten and Bell.
+
+Workers know words by 64-bit keys, 12 bytes a clustered word; two words with the same key would count as one (of ten million seen words, a
+chance of one in 400,000 that any two have).
 
 Defined results: null, empty and blank texts have no perplexity (null) and 0 tokens; an empty table gives an empty result; repeated rows count as often
 as they occur, and get the same score each; further columns are ignored; texts are read whole.
@@ -15,18 +18,25 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Scratch, read_table
 
-MIN_SHARE = 2e-5
+#: Of a clustered word. Words below it were seen once, so that what they are counted as loses nothing.
+MIN_COUNT = 2
 CLASSES = 64
 ROUNDS = 8
 _WORD = re.compile(r"\w+")
+#: Entries of a pack of bigrams, and words whose moves are weighed at once.
+PACK, AT_ONCE = 1_000_000, 1024
+#: Seed of Spark's xxhash64.
+_SEED = 42
 #: Classes of rare words by length, and one for those with digits; then the boundary of documents.
 RARE = 6
 _LENGTHS = (3, 5, 7, 10)
@@ -61,45 +71,75 @@ def _pairs(count: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(count.keys()), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
 
 
-class Vocabulary:
-    """Symbols: clustered words first, then the classes of rare words, then the boundary."""
+def keys_of(words: list[str]) -> np.ndarray:
+    """The keys that F.xxhash64 gives them."""
+    return np.fromiter((xxhash.xxh64_intdigest(w, _SEED) for w in words), np.uint64, len(words)).view(np.int64)
+
 
-    def __init__(self, words: list[str]):
-        self.words = words
-        self.index = {w: i for i, w in enumerate(words)}
-        self.boundary = len(words) + RARE
+class Vocabulary:
+    """Symbols: clustered words first, then the classes of rare words, once for each count that rare words have and once for words never seen, then the boundary."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, rare: tuple[np.ndarray, np.ndarray] | None = None):
+        """words: keys of the clustered words; counts: those that rare words have; rare: keys of the rare words and each one's place in counts, or
+        None where texts are known to hold no word that wasn't seen and all rare words have one count."""
+        self.words, self.counts = words, counts
+        self.order = np.argsort(words).astype(np.int32)
+        self.sorted = words[self.order]
+        if rare is None:
+            self.rare = None
+        else:
+            order = np.argsort(rare[0])
+            self.rare = rare[0][order], rare[1][order].astype(np.int32)
+        self.boundary = len(words) + RARE * (len(counts) + 1)
         self.size = self.boundary + 1
 
-    def symbols(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(symbols of all texts, each between boundaries; how many words each text has)."""
+    def of_words(self, words: list[str]) -> np.ndarray:
+        key = keys_of(words)
+        level = np.zeros(len(key), np.int64)
+        if self.rare is not None:
+            level[:] = len(self.counts)
+            if len(self.rare[0]):
+                at = np.minimum(np.searchsorted(self.rare[0], key), len(self.rare[0]) - 1)
+                level = np.where(self.rare[0][at] == key, self.rare[1][at], level)
+        out = len(self.words) + level * RARE + np.fromiter(map(rare_class, words), np.int64, len(words))
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.sorted, key), len(self.words) - 1)
+            out = np.where(self.sorted[at] == key, self.order[at], out)
+        return out
+
+    def symbols(self, texts: list[str | None], seen: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols of all texts, each between boundaries; how many words each text has). seen: symbols of words met before, which is added to."""
+        seen = {} if seen is None else seen
+        found = [_WORD.findall(t.lower()) if t else () for t in texts]
+        if new := list({w for f in found for w in f if w not in seen}):
+            seen.update(zip(new, self.of_words(new).tolist()))
         out: list[int] = [self.boundary]
         size = np.zeros(len(texts), np.int64)
-        index, rare = self.index, len(self.words)
-        seen: dict[str, int] = {}
-        for i, t in enumerate(texts):
-            found = _WORD.findall(t.lower()) if t else ()
-            if found:
-                size[i] = len(found)
-                for w in found:
-                    s = index.get(w)
-                    if s is None:
-                        s = seen.get(w)
-                        if s is None:
-                            s = seen[w] = rare + rare_class(w)
-                    out.append(s)
+        for i, f in enumerate(found):
+            if f:
+                size[i] = len(f)
+                out.extend(map(seen.__getitem__, f))
                 out.append(self.boundary)
         return np.array(out, np.int64), size
 
+    def joined(self, s: np.ndarray) -> np.ndarray:
+        """Symbols of which rare words have one a class; the boundary follows those."""
+        n = len(self.words)
+        return np.where(s < n, s, np.where(s == self.boundary, n + RARE, n + (s - n) % RARE))
+
 
 def _encode(vocabulary):
     """Texts as symbols, each with a boundary at its end; a text without words has none."""
 
     def run(batches):
         v: Vocabulary = vocabulary.value
+        seen: dict[str, int] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                s, size = v.symbols(b.column(1).to_pylist())
+                if len(seen) > 200_000:
+                    seen = {}
+                s, size = v.symbols(b.column(1).to_pylist(), seen)
                 ends = np.concatenate([[0], np.cumsum(size + (size > 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(s[1:].astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), lists], ["doc_id", "n", "s"])
@@ -116,10 +156,10 @@ def _values(batch: pa.RecordBatch, boundary: int) -> np.ndarray:
     return np.concatenate([[boundary], flat]).astype(np.int64)
 
 
-def _count_bigrams(boundary: int):
-    n_symbols = boundary + 1
-
+def _count_bigrams(vocabulary):
     def run(batches):
+        v: Vocabulary = vocabulary.value
+        n_symbols = len(v.words) + RARE + 1
         held, n = [], 0
 
         def flush():
@@ -127,7 +167,7 @@ def _count_bigrams(boundary: int):
             return pa.RecordBatch.from_arrays([pa.array((code // n_symbols).astype(np.int32)), pa.array((code % n_symbols).astype(np.int32)), pa.array(count.astype(np.int64))], ["a", "b", "n"])
 
         for b in batches:
-            s = _values(b, boundary)
+            s = v.joined(_values(b, v.boundary))
             if len(s) > 1:
                 held.append(s[:-1] * n_symbols + s[1:])
                 n += len(s)
@@ -154,122 +194,160 @@ def move_gains(table: np.ndarray, mine: int, left: np.ndarray, right: np.ndarray
 
     left[c], right[c]: how often members of class c stand before and after the word (the word itself not counted); own: the word after itself.
     """
-    t = table.astype(float).copy()
-    # take the word out
-    t[:, mine] -= left
-    t[mine, :] -= right
-    t[mine, mine] -= own
+    return all_gains(table, np.array([mine]), np.asarray(left, float)[None], np.asarray(right, float)[None], np.array([own], float), targets)[0]
+
+
+def all_gains(table: np.ndarray, mine: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray, targets: int) -> np.ndarray:
+    """The same for many words, a row each. Only cells where a word has counts change, and words of like counts share what they change."""
+    t, n = table.astype(float), len(mine)
+    every, to = np.arange(n), np.arange(targets)
     row, col = t.sum(axis=1), t.sum(axis=0)
-    wl, wr = left.sum() + own, right.sum() + own
-    out_row = t + right[None, :]  # row b if the word joins b; where row and column b cross is handled below
-    out_col = t + left[:, None]
-    cells = _h(t)
-    # margins: those of the neighbours get back what they lost, wherever the word goes; b's grows by all of the word's counts
-    margin = _h(row + left + wr) - _h(row + left) + _h(col + right + wl) - _h(col + right)
-    new_row, new_col = _h(out_row), _h(out_col)
-    old, corner = np.diag(cells), np.diag(t) + left + right + own
-    gain = new_row.sum(axis=1) - np.diag(new_row) - (cells.sum(axis=1) - old)
-    gain += new_col.sum(axis=0) - np.diag(new_col) - (cells.sum(axis=0) - old)
-    gain = (gain + _h(corner) - old - margin)[:targets]
-    return gain - gain[mine] if mine < targets else gain
-
-
-def _class_table(classes: np.ndarray, k: int):
+    wl, wr = left.sum(axis=1) + own, right.sum(axis=1) + own
+    gain = np.zeros((n, targets))
+    # cells of the row, then of the column, that the word's counts are added to
+    for side, cells in ((right, t[:targets].T), (left, t[:, :targets])):
+        w, c = np.nonzero(side)
+        pairs, which = np.unique((c.astype(np.int64) << 48) + side[w, c].astype(np.int64), return_inverse=True)
+        cell = cells[pairs >> 48]
+        added = (_h(cell + (pairs & (1 << 48) - 1)[:, None]) - _h(cell))[which]
+        if len(w):
+            first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            gain[w[first]] += np.add.reduceat(added, first, axis=0)
+        inside = c < targets
+        gain[w[inside], c[inside]] -= added[inside, c[inside]]  # where row and column cross
+    # cells of the old class lose the word first: so far they were taken as if it were still there
+    for side, back, cells in ((right, left, t.T), (left, right, t)):
+        cell, more, less = cells[mine][:, :targets], side[every, mine][:, None], back[:, :targets]
+        gain += np.where(more > 0, _h(cell - less + more) - _h(cell - less) - _h(cell + more) + _h(cell), 0.0)
+    d = np.diag(t)[:targets]
+    gain += _h(d + left[:, :targets] + right[:, :targets] + own[:, None]) - _h(d)
+    gain -= _h(row[:targets] + wr[:, None]) - _h(row[:targets]) + _h(col[:targets] + wl[:, None]) - _h(col[:targets])
+    # staying: what taking the word out costs
+    r, c = right.copy(), left.copy()
+    r[every, mine] = c[every, mine] = 0
+    stay = (_h(t[mine]) - _h(t[mine] - r)).sum(axis=1) + (_h(t.T[mine]) - _h(t.T[mine] - c)).sum(axis=1)
+    corner = t[mine, mine]
+    stay += _h(corner) - _h(corner - left[every, mine] - right[every, mine] - own)
+    stay -= _h(row[mine]) - _h(row[mine] - wr) + _h(col[mine]) - _h(col[mine] - wl)
+    home = mine < targets
+    gain[every[home], mine[home]] = stay[home]
+    gain[home] -= stay[home][:, None]
+    return gain
+
+
+_PACK = "w binary, other binary, n binary"
+
+
+def _pack(batches):
+    """Bigrams, which come sorted by word, as rows of arrays: symbol, neighbour * 2 + 1 if it follows, count. A word is in one row."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def row(parts):
+        cols = [pa.array([x.tobytes()], pa.binary()) for x in parts]
+        return pa.RecordBatch.from_arrays(cols, ["w", "other", "n"])
+
+    for b in batches:
+        w, side, other, n = (b.column(c).to_numpy() for c in ("w", "side", "other", "n"))
+        if not len(w):
+            continue
+        held.append((w.astype(np.int32), other.astype(np.int64) * 2 + side, n.astype(np.int64)))
+        size += len(w)
+        if size >= PACK:
+            whole = [np.concatenate(x) for x in zip(*held)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1], "left"))
+            if cut:
+                yield row([x[:cut] for x in whole])
+            held = [tuple(x[cut:] for x in whole)]
+            size = 0  # a word with many neighbours isn't looked at again before as many more
+    if held:
+        yield row([np.concatenate(x) for x in zip(*held)])
+
+
+def _unpacked(batches):
+    for b in batches:
+        for w, other, n in zip(*(b.column(c) for c in ("w", "other", "n"))):
+            w, other, n = np.frombuffer(w.as_buffer(), np.int32), np.frombuffer(other.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.int64)
+            yield w, other >> 1, (other & 1).astype(bool), n
+
+
+def _class_table(sent, k: int):
     """Sums of counts by class of both words, one row of k * k a partition."""
 
     def run(batches):
+        classes = sent.value
         total = np.zeros(k * k)
-        for b in batches:
-            code = classes[b.column("a").to_numpy()] * k + classes[b.column("b").to_numpy()]
-            total += np.bincount(code, b.column("n").to_numpy(), k * k)
+        for w, other, after, n in _unpacked(batches):
+            code = classes[w[after]].astype(np.int64) * k + classes[other[after]]
+            total += np.bincount(code, n[after], k * k)
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["t"])
 
     return run
 
 
-def _best_classes(classes: np.ndarray, table: np.ndarray, k: int, words: int):
-    """(word, class, gain) for each word that would rather be in another class. Rows come sorted by word, both directions of each bigram."""
+def _best_classes(sent, table: np.ndarray, k: int, words: int):
+    """(word, class, gain) for each word that would rather be in another class."""
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def emit(t: pa.Table):
-            w, side, other, n = (t.column(c).to_numpy() for c in ("w", "side", "other", "n"))
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(w)) + 1, [len(w)]])
-            out = []
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                x = int(w[lo])
-                o, s, c = other[lo:hi], side[lo:hi], n[lo:hi].astype(float)
-                self_ = o == x
-                own = float(c[self_ & (s == 1)].sum())
-                left = np.bincount(classes[o[(s == 0) & ~self_]], c[(s == 0) & ~self_], k)
-                right = np.bincount(classes[o[(s == 1) & ~self_]], c[(s == 1) & ~self_], k)
-                gain = move_gains(table, int(classes[x]), left, right, own, CLASSES)
-                best = int(gain.argmax())
-                if gain[best] > 1e-9 and best != classes[x]:
-                    out.append((x, best, float(gain[best])))
-            cols = list(zip(*out)) if out else [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.float64()))], ["w", "c", "gain"])
-
-        last = None
-        for b in batches:
-            w = b.column("w").to_numpy()
-            if not len(w):
-                continue
-            if last is not None and w[0] == last or not held:
-                same = int(np.searchsorted(w, w[0], "right")) if held else 0
-            else:
-                same = 0
-            if held:
-                if same:
-                    held.append(b.slice(0, same))
-                if same < len(w):
-                    yield emit(pa.Table.from_batches(held))
-                    held = []
-                    b, w = b.slice(same), w[same:]
-                else:
-                    last = w[-1]
-                    continue
-            start = int(np.searchsorted(w, w[-1], "left"))
-            if start:
-                yield emit(pa.Table.from_batches([b.slice(0, start)]))
-            held = [b.slice(start)]
-            last = w[-1]
-        if held:
-            yield emit(pa.Table.from_batches(held))
+        classes = sent.value
+        for w, other, after, n in _unpacked(batches):
+            last = int(np.searchsorted(w, words, "left"))
+            cuts = np.flatnonzero(np.r_[True, w[1:last] != w[: last - 1]]) if last else np.zeros(0, np.int64)
+            for at in range(0, len(cuts), AT_ONCE):
+                lo, hi = int(cuts[at]), int(cuts[at + AT_ONCE]) if at + AT_ONCE < len(cuts) else last
+                names = w[cuts[at : at + AT_ONCE]]
+                i, o, s, c = np.searchsorted(names, w[lo:hi]), other[lo:hi], after[lo:hi], n[lo:hi].astype(float)
+                self_ = o == w[lo:hi]
+                own = np.bincount(i[self_ & s], c[self_ & s], len(names))
+                code = i * k + classes[o]
+                before, behind = ~s & ~self_, s & ~self_
+                left = np.bincount(code[before], c[before], len(names) * k).reshape(-1, k)
+                right = np.bincount(code[behind], c[behind], len(names) * k).reshape(-1, k)
+                mine = classes[names].astype(np.int64)
+                gain = all_gains(table, mine, left, right, own, CLASSES)
+                best = gain.argmax(axis=1)
+                gain = gain[np.arange(len(names)), best]
+                to = np.flatnonzero((gain > 1e-6) & (best != mine))  # less may be rounding
+                yield pa.RecordBatch.from_arrays([pa.array(names[to]), pa.array(best[to].astype(np.int32)), pa.array(gain[to])], ["w", "c", "gain"])
 
     return run
 
 
-def cluster(scratch: Scratch, bigrams: DataFrame, words: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
+def cluster(scratch: Scratch, bigrams: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """(class of each symbol, class-by-class counts, likelihood after each round) by exchange."""
     k = CLASSES + RARE + 1
-    classes = np.concatenate([np.arange(words) % CLASSES, CLASSES + np.arange(RARE + 1)]).astype(np.int64)
+    classes = np.concatenate([np.arange(words) % CLASSES, CLASSES + np.arange(RARE + 1)]).astype(np.int16)
     both = bigrams.select(F.col("a").alias("w"), F.lit(1).alias("side"), F.col("b").alias("other"), "n").union(bigrams.select(F.col("b").alias("w"), F.lit(0).alias("side"), F.col("a").alias("other"), "n"))
-    both = scratch.table(both.filter(F.col("w") < words).repartition("w").sortWithinPartitions("w"), "both")
+    both = both.filter((F.col("w") < words) | (F.col("side") == 1)).repartition("w").sortWithinPartitions("w")
+    both = scratch.table(both.mapInArrow(_pack, _PACK), "both")
+    spark = scratch.spark
 
-    def table_of(c):
-        rows = bigrams.mapInArrow(_class_table(c, k), "t array<double>").collect()  # k * k numbers a partition
+    def table_of(sent):
+        rows = both.mapInArrow(_class_table(sent, k), "t array<double>").collect()  # k * k numbers a partition
         return np.sum([np.array(r[0]) for r in rows], axis=0).reshape(k, k) if rows else np.zeros((k, k))
 
-    table = table_of(classes)
+    sent = spark.sparkContext.broadcast(classes)
+    table = table_of(sent)
     score = [likelihood(table)]
     share = 2
-    for r in range(rounds):
-        moves = both.mapInArrow(_best_classes(classes, table, k, words), "w int, c int, gain double").toPandas() if words else []
+    for r in range(ROUNDS):
+        moves = both.mapInArrow(_best_classes(sent, table, k, words), "w int, c int, gain double").toArrow().to_pandas() if words else []
         if not len(moves):
             break
         turn = (moves.w.astype("int64") * 2654435761 // 65536 + r) % share == 0
         chosen = moves[turn]
         new = classes.copy()
         new[chosen.w.to_numpy()] = chosen.c.to_numpy()
-        new_table = table_of(new)
+        new_sent = spark.sparkContext.broadcast(new)
+        new_table = table_of(new_sent)
         now = likelihood(new_table)
         if now <= score[-1]:
+            new_sent.destroy()
             share *= 2  # too many moved at once against the same table
             continue
         gained = now - score[-1]
-        classes, table = new, new_table
+        sent.destroy()
+        classes, table, sent = new, new_table, new_sent
         score.append(now)
         if gained < 1e-5 * abs(now):
             break
@@ -277,20 +355,22 @@ def cluster(scratch: Scratch, bigrams: DataFrame, words: int, rounds: int = ROUN
 
 
 class Model:
-    def __init__(self, vocabulary: Vocabulary, classes: np.ndarray, table: np.ndarray, counts: np.ndarray, kinds: np.ndarray):
-        """counts: of the clustered words; kinds: different words of each rare class."""
-        self.vocabulary, self.classes = vocabulary, classes
+    def __init__(self, vocabulary: Vocabulary, classes: np.ndarray, table: np.ndarray, counts: np.ndarray):
+        """classes: of the clustered words, the rare classes and the boundary; counts: of the clustered words."""
+        n = len(counts)
+        self.vocabulary = vocabulary
+        self.classes = np.concatenate([classes[:n], np.tile(classes[n : n + RARE], len(vocabulary.counts) + 1), classes[n + RARE :]])
         k = len(table)
         after = table.sum(axis=1, keepdims=True)
         different = (table > 0).sum(axis=1, keepdims=True)
         share = (table.sum(axis=0) + 1) / (table.sum() + k)
         weight = np.where(after > 0, different / np.maximum(after + different, 1), 1.0)
         self.transition = np.log((1 - weight) * table / np.maximum(after, 1) + weight * share[None, :])
-        total = np.bincount(classes[: len(counts)], counts, k)
         emission = np.zeros(vocabulary.size)
-        if len(counts):
-            emission[: len(counts)] = np.log(counts / total[classes[: len(counts)]])
-        emission[len(counts) : len(counts) + RARE] = -np.log(kinds + 1.0)
+        if n:
+            emission[:n] = np.log(counts / np.bincount(classes[:n], counts, k)[classes[:n]])
+        of_class = table.sum(axis=0)[CLASSES : CLASSES + RARE]  # every word follows something
+        emission[n : vocabulary.boundary] = (np.log(np.append(vocabulary.counts, 1.0))[:, None] - np.log(of_class + 1)[None, :]).ravel()
         self.emission = emission
 
     def log_probabilities(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -308,36 +388,39 @@ class Model:
         return np.bincount(owner, self.transition[c[:-1], c[1:]] + self.emission[s[1:]], len(size))
 
 
-def fit(spark: SparkSession, docs: DataFrame, min_share: float = MIN_SHARE, rounds: int = ROUNDS) -> Model:
-    return _fit(spark, docs, min_share, rounds)[0]
+def fit(spark: SparkSession, docs: DataFrame, min_share: float | None = None) -> Model:
+    """min_share: of all tokens, for a clustered word, in place of MIN_COUNT. The model can tell words never seen."""
+    return _fit(spark, docs, min_share, True)[0]
 
 
-def _fit(spark: SparkSession, docs: DataFrame, min_share: float = MIN_SHARE, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """(model, the documents as symbols): texts are split into words once to count them and once to write their symbols, never again."""
+def _fit(spark: SparkSession, docs: DataFrame, min_share: float | None = None, unseen: bool = False) -> tuple[Model, DataFrame]:
+    """(model, the documents as symbols): texts are split into words once to count them and once to write their symbols, never again.
+
+    unseen: whether the model is for other documents too, so that it must have the keys of the rare words.
+    """
     scratch = Scratch(spark, "brown")
     texts = docs.select("text")
     unigrams = scratch.table(texts.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
-    total = unigrams.agg(F.sum("n")).first()[0] or 0
-    least = max(1, total * min_share)
-    rows = unigrams.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").collect()  # at most 1 / min_share words
-    w = F.col("word")
-    length = F.length(w)
-    kind = F.lit(RARE - 2)
-    for i, most in reversed(list(enumerate(_LENGTHS))):
-        kind = F.when(length <= most, i).otherwise(kind)
-    kind = F.when(w.rlike(r"^\p{L}+$"), kind).otherwise(RARE - 1)
-    kinds = np.zeros(RARE)
-    for k, n in unigrams.filter(F.col("n") < least).groupBy(kind.alias("k")).count().collect():
-        kinds[k] = n
-    vocabulary = Vocabulary([r[0] for r in rows])
+    least = MIN_COUNT if min_share is None else max(1, (unigrams.agg(F.sum("n")).first()[0] or 0) * min_share)
+    keyed = unigrams.select(F.xxhash64("word").alias("key"), "n")
+    rows = keyed.filter(F.col("n") >= least).toArrow()
+    keys, counts = (rows.column(c).to_numpy() for c in ("key", "n"))
+    order = np.lexsort([keys, -counts])
+    keys, counts = keys[order], counts[order]
+    levels, rare = np.ones(1), None
+    if unseen or least > 2:
+        rows = keyed.filter(F.col("n") < least).toArrow()
+        levels, place = np.unique(rows.column("n").to_numpy(), return_inverse=True)
+        rare = rows.column("key").to_numpy(), place
+    vocabulary = Vocabulary(keys, levels, rare)
     sent = spark.sparkContext.broadcast(vocabulary)
     symbols = scratch.table(docs.select("doc_id", "text").mapInArrow(_encode(sent), SYMBOLS), "symbols")
-    bigrams = symbols.select("s").mapInArrow(_count_bigrams(vocabulary.boundary), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    bigrams = symbols.select("s").mapInArrow(_count_bigrams(sent), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     bigrams = scratch.table(bigrams, "bigrams")
-    classes, table, _ = cluster(scratch, bigrams, len(rows), rounds)
+    classes, table, _ = cluster(scratch, bigrams, len(keys))
     for name in ("unigrams", "bigrams", "both"):
         scratch.drop(name)
-    return Model(vocabulary, classes, table, np.array([r[1] for r in rows], float), kinds), symbols
+    return Model(vocabulary, classes, table, counts.astype(float)), symbols
 
 
 def perplexity(spark: SparkSession, docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -346,7 +429,10 @@ def perplexity(spark: SparkSession, docs: DataFrame, model: Model | None = None)
         model, symbols = _fit(spark, docs)
     else:
         symbols = docs.select("doc_id", "text").mapInArrow(_encode(spark.sparkContext.broadcast(model.vocabulary)), SYMBOLS)
-    sent, boundary = spark.sparkContext.broadcast(model), model.vocabulary.boundary
+    boundary = model.vocabulary.boundary
+    model = copy(model)
+    model.vocabulary = None  # not needed for texts that are symbols
+    sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
         m = sent.value
