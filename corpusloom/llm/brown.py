@@ -3,8 +3,8 @@
 P(w | v) = P(class of w | class of v) * P(w | class of w). Unigrams are counted over all documents; all words seen ``MIN_COUNT`` times or
 more are the clustered vocabulary, which grows with the corpus. Their classes come from
 exchange clustering on the bigram counts of all documents: in each round every word's best class is found in parallel on
-the executors, where the counts lie, against one small class-by-class table, half of the words move, and a round that doesn't raise the
-likelihood is taken back. Words seen less often have classes by length, in which each has its own count; one count more of each such class is set
+the executors, where the counts lie, against one small class-by-class table, half of the words move, or fewer where that doesn't raise the
+likelihood, until a round gains next to nothing (``TOLERANCE``). Words seen less often have classes by length, in which each has its own count; one count more of each such class is set
 aside for all words never seen. Transitions are smoothed after Witten and Bell.
 
 Workers know words by 64-bit keys, 12 bytes a clustered word; two words with the same key would count as one (of ten million seen words, a
@@ -31,7 +31,8 @@ from corpusloom.llm.common import Scratch, read_table
 #: Of a clustered word. Words below it were seen once, so that what they are counted as loses nothing.
 MIN_COUNT = 2
 CLASSES = 64
-ROUNDS = 8
+#: Clustering ends when half of the words gain less than this share of the likelihood by moving.
+TOLERANCE = 1e-5
 _WORD = re.compile(r"\w+")
 #: Entries of a pack of bigrams, and words whose moves are weighed at once.
 PACK, AT_ONCE = 1_000_000, 1024
@@ -314,7 +315,7 @@ def _best_classes(sent, table: np.ndarray, k: int, words: int):
 
 
 def cluster(scratch: Scratch, bigrams: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """(class of each symbol, class-by-class counts, likelihood after each round) by exchange."""
+    """(class of each symbol, class-by-class counts, likelihood after each round that raised it) by exchange, until nothing is gained any more."""
     k = CLASSES + RARE + 1
     classes = np.concatenate([np.arange(words) % CLASSES, CLASSES + np.arange(RARE + 1)]).astype(np.int16)
     both = bigrams.select(F.col("a").alias("w"), F.lit(1).alias("side"), F.col("b").alias("other"), "n").union(bigrams.select(F.col("b").alias("w"), F.lit(0).alias("side"), F.col("a").alias("other"), "n"))
@@ -329,28 +330,34 @@ def cluster(scratch: Scratch, bigrams: DataFrame, words: int) -> tuple[np.ndarra
     sent = spark.sparkContext.broadcast(classes)
     table = table_of(sent)
     score = [likelihood(table)]
-    share = 2
-    for r in range(ROUNDS):
-        moves = both.mapInArrow(_best_classes(sent, table, k, words), "w int, c int, gain double").toArrow().to_pandas() if words else []
-        if not len(moves):
-            break
-        turn = (moves.w.astype("int64") * 2654435761 // 65536 + r) % share == 0
-        chosen = moves[turn]
-        new = classes.copy()
-        new[chosen.w.to_numpy()] = chosen.c.to_numpy()
-        new_sent = spark.sparkContext.broadcast(new)
-        new_table = table_of(new_sent)
-        now = likelihood(new_table)
-        if now <= score[-1]:
-            new_sent.destroy()
-            share *= 2  # too many moved at once against the same table
-            continue
-        gained = now - score[-1]
-        sent.destroy()
-        classes, table, sent = new, new_table, new_sent
-        score.append(now)
-        if gained < 1e-5 * abs(now):
+    share, r = 2, 0
+    while words:
+        moves = both.mapInArrow(_best_classes(sent, table, k, words), "w int, c int, gain double").toArrow().to_pandas()
+        gained = 0.0
+        while len(moves) and not gained:
+            # at last the best move alone, which can only fail by rounding
+            alone = share >= len(moves)
+            chosen = moves.nlargest(1, "gain") if alone else moves[(moves.w.astype("int64") * 2654435761 // 65536 + r) % share == 0]
+            new = classes.copy()
+            new[chosen.w.to_numpy()] = chosen.c.to_numpy()
+            new_sent = spark.sparkContext.broadcast(new)
+            new_table = table_of(new_sent)
+            now = likelihood(new_table)
+            if now > score[-1]:
+                gained = now - score[-1]
+                sent.destroy()
+                classes, table, sent = new, new_table, new_sent
+                score.append(now)
+            else:
+                new_sent.destroy()
+                if alone:
+                    break
+                share *= 2  # too many moved at once against the same table
+        # what half of the words would have gained counts, however few were let
+        if gained * share / 2 < TOLERANCE * abs(score[-1]):
             break
+        share = max(2, share // 2)
+        r += 1
     return classes, table, score
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from corpusloom.llm import brown
+from corpusloom.llm.common import Scratch
 
 
 def test_every_repeated_word_is_clustered_at_any_size(spark):
@@ -30,3 +31,20 @@ def test_own_texts_score_as_by_the_whole_model(spark, odd_documents):
     own = {(r.doc_id, r.n_tokens): r.log_prob for r in brown.perplexity(spark, odd_documents).collect()}
     whole = {(r.doc_id, r.n_tokens): r.log_prob for r in brown.perplexity(spark, odd_documents, brown.fit(spark, odd_documents)).collect()}
     assert own.keys() == whole.keys() and all(own[k] == pytest.approx(whole[k]) for k in own)
+
+
+def test_clustering_goes_on_until_no_move_gains(spark):
+    """The rounds needed are more than any small cap, and a round from the result gains less than the tolerance."""
+    r = np.random.default_rng(0)
+    kind, words = r.integers(0, 40, 600), 600
+    follows = r.permutation(40)
+    n: dict[tuple[int, int], int] = {}
+    a = 0
+    for _ in range(30_000):
+        b = int(r.choice(np.flatnonzero(kind == follows[kind[a]]))) if r.random() < 0.8 else int(r.integers(words))
+        n[a, b] = n.get((a, b), 0) + 1
+        a = b
+    bigrams = spark.createDataFrame([(a, b, c) for (a, b), c in n.items()], "a int, b int, n long").coalesce(2)
+    classes, table, score = brown.cluster(Scratch(spark, "test"), bigrams, words)
+    assert len(score) > 9 and score == sorted(score)
+    assert score[-1] - score[-2] < 1e-3 * (score[-1] - score[0])
