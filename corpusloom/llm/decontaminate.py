@@ -29,8 +29,13 @@ SHARD_TOKENS = 1_000_000
 _WORD = re.compile(r"\w+")
 
 
+def lower(text: str) -> str:
+    """In lower case and of the same length: the capital dotted I, the only letter whose lower case is longer, becomes a plain i."""
+    return text.replace("\u0130", "i").lower()
+
+
 def tokens(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    return _WORD.findall(lower(text)) if text else []
 
 
 class SuffixAutomaton:
@@ -164,7 +169,7 @@ def remove(text: str, spans: list[tuple[int, int]]) -> str:
     return " ".join(p for p in (x.strip(" ") for x in parts) if p)
 
 
-def _clean(shards, names_of: tuple[str, str, str]):
+def _clean(shards, names_of: tuple[str, str, str, str]):
     def run(batches):
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
@@ -186,24 +191,19 @@ def _clean(shards, names_of: tuple[str, str, str]):
                     clean.append(t)
                     chars.append([])
                     continue
-                at = [(m.start(), m.end()) for m in _lower_words(t)]
+                at = [(m.start(), m.end()) for m in _WORD.finditer(lower(t))]
                 c = [(at[x][0], at[y - 1][1]) for x, y in _union(s)]
                 clean.append(remove(t, c))
                 chars.append(c)
             flat = pa.array([[{"start": x, "end": y} for x, y in c] for c in chars], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             b = b.append_column(names_of[0], pa.array(clean, pa.string()))
             b = b.append_column(names_of[1], flat)
-            yield b.append_column(names_of[2], pa.array([sorted(n) for n in names], pa.list_(pa.string())))
+            b = b.append_column(names_of[2], pa.array([sorted(n) for n in names], pa.list_(pa.string())))
+            yield b.append_column(names_of[3], pa.array([not c or bool(_WORD.search(t)) for t, c in zip(clean, chars)], pa.bool_()))
 
     return run
 
 
-def _lower_words(text: str):
-    """Matches of words with places in the text itself; lower case may change a text's length."""
-    low = text.lower()
-    return _WORD.finditer(low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text))
-
-
 def automata(spark: SparkSession, benchmark: DataFrame, shard_tokens: int = SHARD_TOKENS) -> list:
     """Broadcast automata, each of a bounded number of item tokens."""
     items: dict[tuple[str, ...], str] = {}
@@ -222,16 +222,16 @@ def automata(spark: SparkSession, benchmark: DataFrame, shard_tokens: int = SHAR
     return [spark.sparkContext.broadcast(SuffixAutomaton(s)) for s in shards]
 
 
-def _marked(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, str, str, str]:
-    """The documents with three more columns, whose names follow: new text, removed spans, items."""
-    text, spans, items = (fresh(docs, f"_decon_{c}") for c in ("text", "spans", "items"))
-    extra = ((text, "string"), (spans, "array<struct<start:int,end:int>>"), (items, "array<string>"))
-    return docs.mapInArrow(_clean(automata(spark, benchmark), (text, spans, items)), with_column(docs.schema, *extra)), text, spans, items
+def _marked(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, str, str, str, str]:
+    """The documents with four more columns, whose names follow: new text, removed spans, items, whether they stay."""
+    names = tuple(fresh(docs, f"_decon_{c}") for c in ("text", "spans", "items", "stays"))
+    extra = zip(names, ("string", "array<struct<start:int,end:int>>", "array<string>", "boolean"))
+    return docs.mapInArrow(_clean(automata(spark, benchmark), names), with_column(docs.schema, *extra)), *names
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold test items: doc_id, items, spans (characters, end exclusive), removed_share, clean_text."""
-    out, text, spans, items = _marked(spark, docs.select("doc_id", "text"), benchmark)
+    out, text, spans, items, _ = _marked(spark, docs.select("doc_id", "text"), benchmark)
     out = out.filter(F.size(spans) > 0)
     gone = F.aggregate(spans, F.lit(0), lambda a, s: a + s["end"] - s["start"])
     return out.select("doc_id", F.col(items).alias("items"), F.col(spans).alias("spans"), (gone / F.length("text")).alias("removed_share"), F.col(text).alias("clean_text"))
@@ -239,8 +239,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without the matched spans, with the columns they came with."""
-    out, text, spans, _ = _marked(spark, docs, benchmark)
-    out = out.filter((F.size(spans) == 0) | F.col(text).rlike(r"\w"))
+    out, text, spans, _, stays = _marked(spark, docs, benchmark)
+    out = out.filter(F.col(stays))
     changed = F.size(spans) > 0
     cols = []
     for f in docs.schema.fields:

@@ -3,8 +3,9 @@
 import numpy as np
 import pytest
 
-from corpusloom.llm import brown
+from corpusloom.llm import brown, decontaminate
 from corpusloom.llm.common import Scratch
+from tests.llm.conftest import prose
 
 
 def test_every_repeated_word_is_clustered_at_any_size(spark):
@@ -48,3 +49,22 @@ def test_clustering_goes_on_until_no_move_gains(spark):
     classes, table, score = brown.cluster(Scratch(spark, "test"), bigrams, words)
     assert len(score) > 9 and score == sorted(score)
     assert score[-1] - score[-2] < 1e-3 * (score[-1] - score[0])
+
+
+def test_capital_dotted_i_doesnt_move_the_cut(spark):
+    passage = prose(30, 7).replace(".", "")
+    texts = [f"\u0130stanbul \u0130zmir {passage} and after", f"\u0130stanbul \u0130zmir {passage}", f"\u0130stanbul {passage} \u039f\u0394\u039f\u03a3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    got = {r.doc_id: r.clean_text for r in decontaminate.contaminated(spark, docs, bench).collect()}
+    assert got == {0: "\u0130stanbul \u0130zmir and after", 1: "\u0130stanbul \u0130zmir", 2: "\u0130stanbul \u039f\u0394\u039f\u03a3"}
+    assert all(len(decontaminate.lower(chr(c))) == 1 for c in range(0x110000))
+
+
+def test_remainders_in_any_script_stay(spark):
+    passage = prose(30, 7).replace(".", "")
+    left = ["\u043f\u0440\u0438\u0432\u0435\u0442", "\u4e2d\u6587", "\u00bd", "...", "word"]
+    docs = spark.createDataFrame([(i, f"{x} {passage}") for i, x in enumerate(left)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    got = {r.doc_id: r.text for r in decontaminate.decontaminate(spark, docs, bench).collect()}
+    assert got == {i: x for i, x in enumerate(left) if x != "..."}
