@@ -147,25 +147,28 @@ class Stems:
     def __init__(self, stems: list[str], common: list[str], rate: float):
         """rate: forms among the words of clean rows."""
         self.stems, self.common, self.rate = tuple(sorted(stems)), frozenset(common), rate
-        self.finder = re.compile(r"\b(?:" + "|".join(map(re.escape, self.stems)) + r")\w+") if stems else None
 
     def has(self, word: str) -> bool:
         return word.startswith(self.stems) and word not in self.common and word not in self.stems
 
-    def any_in(self, low: str) -> bool:
-        return self.finder is not None and any(m not in self.common and m not in self.stems for m in self.finder.findall(low))
+    def any_in(self, words: set[str]) -> bool:
+        return bool(self.stems) and any(map(self.has, words))
 
 
 NO_STEMS = Stems([], [], 0.0)
 
 
+def normal(token: str) -> str:
+    return token.lower().replace("’", "'")
+
+
 def clause_scores(text: str | None, learned: Stems = NO_STEMS) -> list[tuple[str, float]]:
     """(clause, score) of every clause with a score."""
     out = []
     for clause in _CLAUSE.split(text) if text else ():
         state, score, seen = 0, 0.0, False
         for token in _TOKEN.findall(clause):
-            low = token.lower().replace("’", "'")
+            low = normal(token)
             x = QUOTE if low in '"“”«»' else CLASS.get(low) or (LEARNED if learned.stems and learned.has(low) else OTHER)
             score += _WEIGHT[state][x]
             state = _TO[state][x]
@@ -179,8 +182,8 @@ def may_match(text: str | None, learned: Stems = NO_STEMS) -> bool:
     """Whether any word can begin to score; a text without one has no matched clause."""
     if not text:
         return False
-    low = text.lower()
-    return not TRIGGERS.isdisjoint(_WORD.findall(low)) or learned.any_in(low)
+    words = set(map(normal, set(_TOKEN.findall(text))))  # the tokens that the grammar reads; no clause ends within one
+    return not TRIGGERS.isdisjoint(words) or learned.any_in(words)
 
 
 def document_score(text: str | None, learned: Stems = NO_STEMS) -> tuple[float, list[tuple[str, float]]]:

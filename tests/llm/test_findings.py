@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from corpusloom.llm import brown, decontaminate
+from corpusloom.llm import brown, decontaminate, toxicity
 from corpusloom.llm.common import Scratch
 from tests.llm.conftest import prose
 
@@ -68,3 +68,12 @@ def test_remainders_in_any_script_stay(spark):
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
     got = {r.doc_id: r.text for r in decontaminate.decontaminate(spark, docs, bench).collect()}
     assert got == {i: x for i, x in enumerate(left) if x != "..."}
+
+
+def test_toxicity_filter_loses_no_clause():
+    stems = toxicity.Stems(["gruml"], ["grumlig"], 0.0)
+    texts = ["You are an _idiot_.", "__idiot__ you", "_grumlax_", "gruml's", "you idiot", "a grumlig day", "nothing here", "I_D"]
+    for t in texts:
+        found = toxicity.clause_scores(t, stems)
+        assert toxicity.document_score(t, stems) == (sum(s for _, s in found), found)
+    assert all(toxicity.document_score(t, stems)[0] > 0 for t in texts[:5])
