@@ -40,8 +40,8 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
@@ -51,11 +51,21 @@ class Scratch:
 
 
 def row_key(*cols: str) -> Column:
-    """64-bit key of a row from the named columns; nulls count as values of their own."""
+    """128-bit key of a row from the named columns, as two 64-bit hashes (``ROW_KEY``); nulls count as values of their own."""
     parts = []
     for c in cols:
         parts += [F.col(c).isNull(), F.col(c)]
-    return F.xxhash64(*parts)
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+
+
+ROW_KEY = "struct<a:bigint,b:bigint>"
+#: A table of keys with at most so many rows is sent to every worker (some 50 MB); a larger one is shuffled.
+SMALL_ROWS = 500_000
+
+
+def sent_if_small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """The table, which must be a written one, marked to be broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def with_column(schema: T.StructType, *fields: tuple[str, str]) -> T.StructType:
@@ -64,8 +74,9 @@ def with_column(schema: T.StructType, *fields: tuple[str, str]) -> T.StructType:
 
 
 def normal_key(name: str) -> Column:
-    """A grouping key that tells null from every string."""
-    return F.when(F.col(name).isNull(), F.lit("\x00")).otherwise(F.col(name).cast("string"))
+    """A grouping key that tells null from every string, and that can be joined with others without two pairs becoming one."""
+    s = F.col(name).cast("string")
+    return F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("-"))
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -148,13 +148,14 @@ class Trees:
 
 def training_texts(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict[str, list[str]]:
     """The bounded labelled sample: for each language the documents with the least hash."""
-    key = row_key("doc_id", "text")
-    labelled = docs.select("doc_id", "lang", "text").filter("lang is not null and text is not null")
-    ranked = labelled.select("lang", key.alias("key")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
-    chosen = ranked.filter(F.col("n") <= train_docs).select("key").distinct()
+    labelled = docs.filter("lang is not null and text is not null").select("lang", row_key("doc_id", "text").alias("key"), "text")
+    order = Window.partitionBy("lang").orderBy("key")
+    chosen = labelled.select("lang", "key").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= train_docs).select("lang", "key")
+    # rows that repeat are one row of the sample: each task passes on one of them at most
+    rows = labelled.join(F.broadcast(chosen), ["lang", "key"]).groupBy("lang", "key").agg(F.first("text").alias("text"))
     texts: dict[str, list[str]] = {}
-    for r in labelled.withColumn("key", key).join(F.broadcast(chosen), "key", "left_semi").select("lang", "text", "key").orderBy("key").collect():
-        texts.setdefault(r[0], []).append(r[1])
+    for r in rows.orderBy("key").collect():
+        texts.setdefault(r.lang, []).append(r.text)
     return texts
 
 

@@ -7,6 +7,9 @@ are represented by the first. Each shard of segments then gets a suffix array: s
 sorted by induction and recursively where two are alike, the array is induced in linear time, and permuted common prefixes give
 every position's longest repeat. Nothing is sampled or capped: the result is that of comparing all windows with all.
 
+No task holds more than a shard: where the different segments of one hash have more than ``HOT_TOKENS`` words, as with a passage in very many surroundings,
+their windows are counted one by one by hashes of 128 bits instead, which gives the same result.
+
 Defined results: null, empty and blank texts and texts of fewer than ``MIN_TOKENS`` words hold no passage; rows that repeat with the same
 doc_id and text are reported once, with all their passages as repeated; of equal occurrences the one with the least doc_id (null first), then the earlier place, counts as the first; a passage that
 repeats within one document is found too; further columns are ignored.
@@ -22,11 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, read_table, row_key
+from corpusloom.llm.common import ROW_KEY, Scratch, read_table, row_key, sent_if_small
 
 MIN_TOKENS = 50
 GRAM = 8
 SHARD_TOKENS = 60_000
+HOT_TOKENS = 300_000
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -167,30 +171,63 @@ def segments(h: np.ndarray, least: int = MIN_TOKENS) -> list[tuple[int, int, int
 
 
 def _segment_rows(batches):
-    kinds = [("doc_id", pa.int64()), ("rid", pa.int64()), ("anchor", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("content", pa.int64()), ("times", pa.int32())]
+    kinds = [("anchor", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("content", pa.int64()), ("times", pa.int32())]
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
             b = whole.slice(at, 1000)
-            rows = []
-            for d, r, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), token_hashes(b.column(2).to_pylist())):
-                rows += [(d, r, *x) for x in segments(h)]
-            cols = list(zip(*rows)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds)], [k for k, _ in kinds])
+            rows, owner = [], []
+            for i, h in enumerate(token_hashes(b.column(3).to_pylist())):
+                found = segments(h)
+                rows += found
+                owner += [i] * len(found)
+            cols = list(zip(*rows)) if rows else [[]] * len(kinds)
+            mine = [b.column(c).take(pa.array(owner, pa.int64())) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*mine, *[pa.array(c, t) for c, (_, t) in zip(cols, kinds)]], ["doc_id", "rid", "rows", *[k for k, _ in kinds]])
+
+
+_WANTED = "doc_id long, rid " + ROW_KEY + ", anchor long, content long, copies long, start int"
+
+
+def _cut(batches):
+    """(columns of the document repeated for each segment that is wanted of it, its segments, their token hashes)."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            b = whole.slice(at, 1000)
+            owner, segs, toks = [], [], []
+            for i, (own, h) in enumerate(zip(b.column("wanted").to_pylist(), token_hashes(b.column("text").to_pylist()))):
+                for x in own:
+                    owner.append(i)
+                    segs.append(x)
+                    toks.append(h[x["start"] : x["start"] + x["n"]])
+            yield [b.column(c).take(pa.array(owner, pa.int64())) for c in ("doc_id", "rid")], segs, toks
+
+
+def _columns(segs: list[dict]) -> list[pa.Array]:
+    return [pa.array([x[k] for x in segs], t) for k, t in (("anchor", pa.int64()), ("content", pa.int64()), ("copies", pa.int64()), ("start", pa.int32()))]
 
 
 def _segment_tokens(batches):
-    for b in batches:
-        anchors, contents, owner, toks = [], [], [], []
-        wanted = b.column("wanted").to_pylist()
-        for own, h in zip(wanted, token_hashes(b.column("text").to_pylist())):
-            for x in own:
-                anchors.append(x["anchor"])
-                contents.append(x["content"])
-                owner.append(x["copies"])
-                toks.append(h[x["start"] : x["start"] + x["n"]].view(np.int64))
+    for mine, segs, toks in _cut(batches):
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in toks])]).astype(np.int32)
-        flat = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(toks) if toks else np.empty(0, np.int64), pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(contents, pa.int64()), pa.array(owner, pa.int64()), flat], ["anchor", "content", "copies", "tokens"])
+        flat = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array((np.concatenate(toks) if toks else np.empty(0, np.uint64)).view(np.int64), pa.int64()))
+        yield pa.RecordBatch.from_arrays([*mine, *_columns(segs), flat], ["doc_id", "rid", "anchor", "content", "copies", "start", "tokens"])
+
+
+def _segment_windows(batches):
+    """A row for every window of the segments: two hashes of its words, and its place."""
+    for mine, segs, toks in _cut(batches):
+        owner, place, one, two = [], [], [], []
+        for i, t in enumerate(toks):
+            raw = t.tobytes()
+            for k in range(len(t) - MIN_TOKENS + 1):
+                part = raw[8 * k : 8 * (k + MIN_TOKENS)]
+                owner.append(i)
+                place.append(k)
+                one.append(xxhash.xxh64_intdigest(part) - (1 << 63))
+                two.append(xxhash.xxh64_intdigest(part, 1) - (1 << 63))
+        at = pa.array(owner, pa.int64())
+        cols = [c.take(at) for c in (*mine, *_columns(segs))]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(place, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["doc_id", "rid", "anchor", "content", "copies", "start", "k", "one", "two"])
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -289,7 +326,8 @@ def _find(batches):
     for b in batches:
         lists = b.column("tokens")
         values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-        first = zip(b.column("doc_id").to_pylist(), b.column("rid").to_pylist(), b.column("start").to_pylist())
+        rid = b.column("rid")
+        first = zip(b.column("doc_id").to_pylist(), zip(rid.field("a").to_pylist(), rid.field("b").to_pylist()), b.column("start").to_pylist())
         for i, (a, c, m, f) in enumerate(zip(b.column("anchor").to_pylist(), b.column("content").to_pylist(), b.column("copies").to_pylist(), first)):
             if a != last and size >= SHARD_TOKENS:
                 yield flush()
@@ -302,9 +340,6 @@ def _find(batches):
         yield flush()
 
 
-_MERGE = "doc_id long, rid long, repeated array<struct<start:int,end:int>>, removable array<struct<start:int,end:int>>"
-
-
 def _union_sql(name: str) -> str:
     """Overlapping or touching spans of a sorted array joined."""
     return f"""aggregate(array_sort({name}), cast(array() as array<struct<start:int,end:int>>), (acc, x) ->
@@ -313,27 +348,62 @@ def _union_sql(name: str) -> str:
       else concat(acc, array(named_struct('start', x.start, 'end', x.end))) end)"""
 
 
-def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
+_SPANS = "array<struct<a:int,b:int>>"
+
+
+def _different(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, rid, rows (how often the row occurs), text, each row once. Only rows that repeat are grouped, each task passing on one of them at most."""
+    keyed = docs.select("doc_id", row_key("doc_id", "text").alias("rid"), "text")
+    twice = scratch.table(keyed.groupBy("rid").agg(F.count("*").alias("rows")).filter("rows > 1"), "twice")
+    few = sent_if_small(twice)
+    once = keyed.join(few.select("rid"), "rid", "left_anti").select("doc_id", "rid", F.lit(1).cast("long").alias("rows"), "text")
+    again = keyed.join(few, "rid").groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("rows").alias("rows"), F.first("text").alias("text"))
+    return once.unionByName(scratch.table(again, "again"))
+
+
+def _hot_found(texts: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """What ``_find`` finds, for segments whose hash has too many: by counting windows."""
+    windows = scratch.table(texts.mapInArrow(_segment_windows, _WANTED + ", k int, one long, two long"), "windows")
+    same = windows.groupBy("one", "two").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "rid", "start", "k")).alias("f")).filter("c > 1")
+    is_first = (F.col("rid") == F.col("f.rid")) & (F.col("start") == F.col("f.start")) & (F.col("k") == F.col("f.k"))
+    span = F.struct(F.col("k").alias("a"), (F.col("k") + MIN_TOKENS).alias("b"))
+    spans = windows.join(same, ["one", "two"]).groupBy("anchor", "content").agg(F.collect_list(span).alias("r"), F.collect_list(F.when(~is_first, span)).alias("later"))
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
+    out = reps.select("anchor", "content", "copies", "n").join(spans, ["anchor", "content"], "left")
+    none = F.array().cast(_SPANS)
+    return out.select("anchor", "content", F.when(F.col("copies") > 1, whole).otherwise(F.coalesce("r", none)).alias("repeated"), F.coalesce("later", none).alias("later")).filter(F.size("repeated") > 0)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, hot_tokens: int = HOT_TOKENS) -> DataFrame:
     """Documents with a repeated passage: doc_id, repeated and removable (spans of tokens, end exclusive), n_repeated, n_removable.
 
     ``removable`` is what goes when of all equal passages the first stays.
     """
     scratch = Scratch(spark, "suffix")
-    keyed = docs.select("doc_id", row_key("doc_id", "text").alias("rid"), "text")
-    seg = scratch.table(keyed.mapInArrow(_segment_rows, "doc_id long, rid long, anchor long, start int, n int, content long, times int"), "segments")
-    shared = seg.groupBy("anchor").agg(F.count("*").alias("c"), F.max("times").alias("m")).filter("c > 1 or m > 1").select("anchor")
+    keyed = _different(docs, scratch)
+    fields = f"doc_id long, rid {ROW_KEY}, rows long, anchor long, start int, n int, content long, times int"
+    seg = scratch.table(keyed.mapInArrow(_segment_rows, fields), "segments")
+    shared = seg.groupBy("anchor").agg(F.sum("rows").alias("c"), F.max("times").alias("m")).filter("c > 1 or m > 1").select("anchor")
     seg = scratch.table(seg.join(shared, "anchor"), "shared")
     scratch.drop("segments")
-    reps = seg.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "rid", "start", "n")).alias("r"))
+    reps = seg.groupBy("anchor", "content").agg(F.sum("rows").alias("copies"), F.min(F.struct("doc_id", "rid", "start", "n")).alias("r"))
     reps = scratch.table(reps.select("anchor", "content", "copies", "r.*"), "reps")
-    wanted = reps.groupBy("rid").agg(F.collect_list(F.struct("anchor", "content", "copies", "start", "n")).alias("wanted"))
-    texts = keyed.join(wanted, "rid").dropDuplicates(["rid"]).select("text", "wanted")
-    tokens = texts.mapInArrow(_segment_tokens, "anchor long, content long, copies long, tokens array<long>")
-    tokens = tokens.join(reps.select("anchor", "content", "doc_id", "rid", "start"), ["anchor", "content"])
+    hot = scratch.table(reps.groupBy("anchor").agg(F.sum("n").alias("size")).filter(F.col("size") > hot_tokens).select("anchor"), "hot")
+    some = hot.limit(1).count() > 0
+
+    def texts(mine: DataFrame) -> DataFrame:
+        wanted = mine.groupBy("rid").agg(F.collect_list(F.struct("anchor", "content", "copies", "start", "n")).alias("wanted"))
+        return keyed.join(wanted, "rid").select("doc_id", "rid", "text", "wanted")
+
+    tokens = texts(reps.join(hot, "anchor", "left_anti") if some else reps).mapInArrow(_segment_tokens, _WANTED + ", tokens array<long>")
     sorted_ = tokens.repartition("anchor").sortWithinPartitions("anchor", "content").select("anchor", "content", "copies", "tokens", "doc_id", "rid", "start")
-    found = scratch.table(sorted_.mapInArrow(_find, "anchor long, content long, repeated array<struct<a:int,b:int>>, later array<struct<a:int,b:int>>"), "found")
+    found = sorted_.mapInArrow(_find, f"anchor long, content long, repeated {_SPANS}, later {_SPANS}")
+    if some:
+        mine = reps.join(hot, "anchor", "left_semi")
+        found = found.unionByName(_hot_found(texts(mine), mine, scratch))
+    found = scratch.table(found, "found")
     first = reps.select("anchor", "content", F.col("rid").alias("_rid"), F.col("start").alias("_start"))
-    hits = seg.join(found, ["anchor", "content"]).join(first, ["anchor", "content"])
+    hits = seg.join(found.join(first, ["anchor", "content"]), ["anchor", "content"])
     is_first = (F.col("rid") == F.col("_rid")) & (F.col("start") == F.col("_start"))
     move = lambda c: F.transform(c, lambda x: F.struct((x["a"] + F.col("start")).alias("start"), (x["b"] + F.col("start")).alias("end")))
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
@@ -345,4 +415,25 @@ def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(spark, read_table(spark, sf_dir, "documents"))
+    """Spans as text, first to last word with the end exclusive: 3-60,100-160."""
+    out = repeated_passages(spark, read_table(spark, sf_dir, "documents"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",").alias(c)
+    return out.select("doc_id", text("repeated"), text("removable"), F.col("n_repeated").cast("long").alias("n_repeated"), F.col("n_removable").cast("long").alias("n_removable"))
+
+
+def _spans_sql(which: str) -> str:
+    """Windows that overlap or touch, as one span each, of every row."""
+    return f"""(SELECT r, string_agg(a || '-' || b, ',' ORDER BY a) AS spans, CAST(sum(b - a) AS BIGINT) AS n FROM (
+        SELECT r, island, min(i) AS a, max(i) + {MIN_TOKENS} AS b FROM (
+          SELECT r, i, sum(step) OVER (PARTITION BY r ORDER BY i) AS island FROM (
+            SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {MIN_TOKENS} THEN 0 ELSE 1 END AS step FROM same WHERE {which}))
+        GROUP BY r, island) GROUP BY r)"""
+
+
+#: All windows with all.
+OP1_SQL = rf"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, * FROM (SELECT doc_id, text, count(*) AS copies FROM documents GROUP BY ALL)),
+  w AS (SELECT r, doc_id, copies, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM d),
+  v AS (SELECT r, copies, i, md5(array_to_string(w[i + 1:i + {MIN_TOKENS}], ' ')) AS k FROM (SELECT r, copies, w, unnest(range(len(w) - {MIN_TOKENS - 1})) AS i FROM w WHERE len(w) >= {MIN_TOKENS})),
+  same AS (SELECT r, i, sum(copies) OVER (PARTITION BY k) > 1 AS repeated, row_number() OVER (PARTITION BY k ORDER BY r, i) > 1 AS later FROM v)
+  SELECT d.doc_id, a.spans AS repeated, coalesce(b.spans, '') AS removable, a.n AS n_repeated, coalesce(b.n, 0) AS n_removable
+  FROM {_spans_sql("repeated")} a JOIN d USING (r) LEFT JOIN {_spans_sql("later")} b USING (r)"""

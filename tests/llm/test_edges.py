@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
+from corpusloom.llm import decontaminate, token_files
 from corpusloom.llm.queries import QUERIES
 
 
@@ -12,6 +13,22 @@ def ids(df):
     return Counter(r.doc_id for r in df.select("doc_id").collect())
 
 
+def whole_texts(bins, enc):
+    """(doc_id, text) of the documents that lie whole in bins, put together again from their pieces."""
+    parts = []
+    for b in bins:
+        at = 0
+        for p in b["pieces"]:
+            parts.append((p["doc_id"], p["start"], b["tokens"][at : at + p["size"]]))
+            at += p["size"]
+    cut = {d for d, start, _ in parts if start}
+    out = Counter((d, enc.decode(t)) for d, _, t in parts if d not in cut)
+    for d in cut:
+        mine = sorted((start, t) for x, start, t in parts if x == d)
+        out[d, enc.decode([i for _, t in mine for i in t])] += 1
+    return out
+
+
 @pytest.fixture(scope="module")
 def found(spark, odd_folder):
     return {n: [r.asDict() for r in q(spark, odd_folder).collect()] for n, q in QUERIES.items()}
@@ -47,9 +64,10 @@ def test_repeats(found):
 
 
 def test_packing_holds_every_token_once(found, odd_documents):
-    words = sum(len((r.text or "").split()) for r in odd_documents.select("text").collect())
-    assert sum(r["fill"] for r in found["op3_best_fit_packing"]) == words
-    assert max(r["fill"] for r in found["op3_best_fit_packing"]) <= 4096
+    enc = token_files.encoder()
+    texts = Counter((r.doc_id, r.text) for r in odd_documents.collect() if r.text and not r.text.isspace())
+    assert all(r["fill"] == len(r["tokens"]) <= 4096 for r in found["op3_best_fit_packing"])
+    assert whole_texts(found["op3_best_fit_packing"], enc) == texts
 
 
 def test_near_copies_keep_the_least_id(found):
@@ -97,3 +115,22 @@ def test_pipeline_runs(spark, odd_folder, empty_folder):
     assert corpus_pipeline.run(spark, odd_folder).count() > 0
     assert corpus_pipeline.run(spark, empty_folder).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "benchmark_decontamination", "personal_data", "best_fit_packing"]
+
+
+def test_bins_of_the_pipeline_hold_the_cleaned_texts(spark):
+    """Every bin is decoded: it has all texts of the stage before, no passage of the benchmark and no address."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+    docs = docs.cache()
+    before = Counter((r.doc_id, r.text) for r in docs.collect())
+    bins = [r.asDict(recursive=True) for r in corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()]
+    docs.unpersist()
+    assert whole_texts(bins, token_files.encoder()) == before
+    texts = "\n".join(t for _, t in before)
+    assert "@mail" not in texts and "[EMAIL]" in texts
+    words = [" ".join(decontaminate.tokens(t)) for _, t in before]
+    items = [decontaminate.tokens(r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    passages = [" ".join(w[i : i + decontaminate.MIN_SPAN]) for w in items for i in range(len(w) - decontaminate.MIN_SPAN + 1)]
+    assert not any(p in t for t in words for p in passages)
