@@ -16,4 +16,4 @@ QUERIES = {
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op1_suffix_array_dedup": suffix.OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_suffix_array_dedup": suffix.OP1_SQL, "op5_benchmark_decontamination": decontaminate.OP5_SQL}

@@ -268,7 +268,7 @@ def test_automaton_finds_the_longest_matches(items, words):
     want = {(i + 1 - n, i + 1) for i, n in enumerate(longest) if n >= 2 and (i + 1 == len(words) or longest[i + 1] != n + 1)}
     assert got == want
     for x, y, s in a.matches(words, 2):
-        ends = set(a.ends(s))
+        ends = set(zip(*(e.tolist() for e in a.ends(s))))
         assert ends == {(k, e - 1) for k, t in enumerate(text) for e in range(y - x, len(t) + 1) if t[e - (y - x) : e] == joined[x:y]}
 
 
@@ -283,6 +283,66 @@ def test_spans_by_length_and_by_coverage(spark):
     assert got[1] == "aa bb" and set(got) == {1, 3} and not set(w) & set(got[3].split())
 
 
+def brute_spans(items: list[list[str]], words: list[str]) -> tuple[set[int], set[int]]:
+    """(tokens that go, items they come from) by comparing all runs with all."""
+    long, short = decontaminate.MIN_SPAN, decontaminate.MIN_PIECE
+    places = lambda w, n: {i: tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    gone, names = set(), set()
+    for k, item in enumerate(items):
+        for n in (long, short):
+            mine, theirs = places(words, n), places(item, n)
+            both = set(mine.values()) & set(theirs.values())
+            cover = {t for i, g in theirs.items() if g in both for t in range(i, i + n)}
+            if both and (n == long or len(cover) >= decontaminate.COVERAGE * len(item)):
+                gone |= {t for i, g in mine.items() if g in both for t in range(i, i + n)}
+                names.add(k)
+    return gone, names
+
+
+_LETTERS = st.sampled_from(["a", "b", "\u0130", "\u01f0", "\u00df", "\u03a3", "I\u0307", "x1", "\u4e2d", "\ufb01", "\u1e9e"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(_LETTERS, min_size=5, max_size=30), min_size=1, max_size=4), st.data())
+def test_what_goes_is_what_all_runs_say(items, data):
+    """With any characters between the words, and letters whose lower case is longer, shorter or not one letter."""
+    lists = [decontaminate.tokens(" ".join(w)) for w in items]
+    lists = [w for k, w in enumerate(lists) if w not in lists[:k] and len(w) >= 5]
+    a = decontaminate.SuffixAutomaton([(str(k), w) for k, w in enumerate(lists)])
+    parts = []
+    for _ in range(data.draw(st.integers(0, 4))):
+        w = items[data.draw(st.integers(0, len(items) - 1))]
+        i = data.draw(st.integers(0, len(w) - 1))
+        parts += w[i : data.draw(st.integers(i, len(w)))] + data.draw(st.lists(_LETTERS, max_size=3))
+    between = st.characters(blacklist_categories=("Cs",)).filter(lambda c: not decontaminate.tokens(c))
+    text = "".join(p + data.draw(between) for p in parts)
+    words = decontaminate.tokens(text)
+    gone, names = brute_spans(lists, words)
+    spans, found = decontaminate.token_spans(a, words)
+    assert {t for x, y in spans for t in range(x, y)} == gone and found == {str(k) for k in names}
+    at = [m.span() for m in decontaminate._WORD.finditer(decontaminate.lower(text))]
+    left = decontaminate.remove(text, [(at[x][0], at[y - 1][1]) for x, y in spans])
+    assert decontaminate.tokens(left) == [w for i, w in enumerate(words) if i not in gone]
+
+
+def test_short_items_are_whole_lines(spark):
+    docs = spark.createDataFrame([(1, "some words\nTwo  words!\nmore"), (2, "here are two words in a line"), (3, "two words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "two words")], "item_id long, text string")
+    got = {r.doc_id: r.text for r in decontaminate.decontaminate(spark, docs, bench).collect()}
+    assert set(got) == {1, 2} and decontaminate.tokens(got[1]) == ["some", "words", "more"] and got[2] == "here are two words in a line"
+
+
+def test_a_run_that_many_items_have_costs_little():
+    import time
+
+    common = [f"c{i}" for i in range(8)]
+    a = decontaminate.SuffixAutomaton([(str(k), [*common, *[f"w{k}x{i}" for i in range(40)]]) for k in range(3000)])
+    began = time.perf_counter()
+    for _ in range(20):
+        assert decontaminate.token_spans(a, (["z", *common] * 50)) == ([], set())
+    assert time.perf_counter() - began < 20
+
+
 def test_shards_of_a_large_benchmark_give_the_same(spark, odd_documents):
     bench = spark.createDataFrame([(i, prose(30, 50 + i)) for i in range(10)], "item_id long, text string")
     whole = decontaminate.automata(spark, bench)
