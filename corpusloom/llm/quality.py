@@ -2,12 +2,13 @@
 
 Each document becomes a vector of transformed statistics. For every language and source a minimum-covariance-determinant
 estimate of location and scatter is found by deterministic starts and concentration steps, all of them grouped
-aggregates over every document: no group is ever held by one task, so a hot source costs no more than its rows.
+aggregates over every document: no group is ever held by one task, so a hot source costs no more than its rows. A group takes steps until its
+determinant falls no more.
 A document goes when its squared Mahalanobis distance exceeds the chi-square quantile.
 
 Defined results: null, empty and blank texts have no statistics, so they are rejected; null language or source is a group of its
-own; groups below ``min_group`` documents are pooled by language, then over all, and where even the pool is smaller nothing is
-rejected for distance; repeated rows get the same answer and are all kept or all rejected; further columns pass through.
+own; groups below ``min_group`` documents share the estimate of those of their language, then of all such; the fewer documents an estimate is from, the
+wider it is taken to be, down to a single one, which is its own centre; at equal determinants the first start counts; repeated rows get the same answer and are all kept or all rejected; further columns pass through.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ PRIOR_WORDS = 25.0
 FLOOR = np.array([0.03, 0.04, 0.05, 0.06, 0.05, 0.09, 0.10])
 KEEP_SHARE = 0.75
 MIN_GROUP = 60
+#: So many documents of the least scatter are counted with those of a group.
+FLOOR_DOCS = 30.0
 QUANTILE = 1 - 1e-8
 _SYMBOLS = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 _DIGITS = b"0123456789"
@@ -104,6 +107,22 @@ def _regular(cov: np.ndarray) -> np.ndarray:
     return cov + np.diag(FLOOR**2)
 
 
+def widened(prec: np.ndarray, n: float) -> np.ndarray:
+    """The inverse scatter that documents are judged by: the fewer a group has, the more of the floor is added once more."""
+    return np.linalg.inv(np.linalg.inv(prec) + np.diag(FLOOR**2) * FLOOR_DOCS / n)
+
+
+def _judging(batches):
+    for rows in batches:
+        rows["prec"] = [widened(np.array(p).reshape(D, D), n).ravel().tolist() for p, n in zip(rows.prec, rows.n)]
+        yield rows
+
+
+def _limits(best: DataFrame, scratch: Scratch) -> DataFrame:
+    """k1, k2, mu, prec for each language and source."""
+    return scratch.table(best.mapInPandas(_judging, best.schema).select("k1", "k2", "mu", "prec"), "limits")
+
+
 _PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 _PARAM = "g string, start int, n long, mu array<double>, prec array<double>, logdet double"
 
@@ -136,7 +155,7 @@ def _sums(weight, x):
     return F.array(*[F.sum(weight * x[i]) for i in range(D)], *[F.sum(weight * x[i] * x[j]) for i, j in _PAIRS])
 
 
-def fit(spark: SparkSession, docs: DataFrame, scratch: Scratch, min_group: int = MIN_GROUP, max_steps: int = 12) -> tuple[DataFrame, DataFrame]:
+def fit(spark: SparkSession, docs: DataFrame, scratch: Scratch, min_group: int = MIN_GROUP) -> tuple[DataFrame, DataFrame]:
     """(statistics of every document, one row per language and source with its estimate: k1, k2, g, mu, prec)."""
     cols = docs.select("doc_id", "text", "lang", "source")
     stats = (
@@ -149,8 +168,8 @@ def fit(spark: SparkSession, docs: DataFrame, scratch: Scratch, min_group: int =
     groups = sizes.join(by_lang, "k1", "left").select(
         "k1",
         "k2",
-        F.when(F.col("n") >= min_group, F.concat(F.lit("s\x01"), "k1", F.lit("\x01"), "k2"))
-        .when(F.col("n1") >= min_group, F.concat(F.lit("l\x01"), "k1"))
+        F.when(F.col("n") >= min_group, F.concat(F.lit("s"), "k1", F.lit(" "), "k2"))
+        .when(F.col("n1") >= min_group, F.concat(F.lit("l"), "k1"))
         .otherwise("a")
         .alias("g"),
     )
@@ -193,19 +212,19 @@ def fit(spark: SparkSession, docs: DataFrame, scratch: Scratch, min_group: int =
         for rows in batches:
             yield _params(rows, scale)
 
-    for step in range(1, max_steps + 1):
-        d = x.join(params.drop("logdet"), "g").select("g", "start", "n", "x", _distance(F.col("x"), F.col("mu"), F.col("prec")).alias("d"))
+    # each group goes on until neither of its starts gets a smaller determinant: whatever the rounding, that comes to an end
+    params, step = params.withColumn("open", F.lit(True)), 0
+    while params.filter("open").limit(1).count():
+        step += 1
+        now = params.filter("open")
+        d = x.join(now.select("g", "start", "n", "mu", "prec"), "g").select("g", "start", "n", "x", _distance(F.col("x"), F.col("mu"), F.col("prec")).alias("d"))
         cut = d.groupBy("g", "start").agg(F.percentile_approx("d", KEEP_SHARE, 10000).alias("cut"))
         sums = d.join(cut, ["g", "start"]).filter("d <= cut").groupBy("g", "start", "n").agg(F.count("*").alias("m"), _sums(F.lit(1.0), F.col("x")).alias("s"))
-        new = scratch.table(sums.mapInPandas(concentrate, _PARAM), f"params{step}")
-        moved = (
-            new.select("g", "start", F.col("logdet").alias("b")).join(params.select("g", "start", F.col("logdet").alias("a")), ["g", "start"])
-            .agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0]
-        )
+        new = sums.mapInPandas(concentrate, _PARAM).select("g", "start", F.struct("n", "mu", "prec", "logdet").alias("new"))
+        smaller = F.coalesce(F.col("new.logdet") < F.col("logdet") - 1e-3, F.lit(False))
+        both = params.join(new, ["g", "start"], "left").select("g", "start", F.when(smaller, F.col("new")).otherwise(F.struct("n", "mu", "prec", "logdet")).alias("p"), smaller.alias("open"))
+        params = scratch.table(both.select("g", "start", "p.*", "open"), f"params{step}")
         scratch.drop(f"params{step - 1}")
-        params = new
-        if moved is None or moved < 1e-3:
-            break
     best = params.groupBy("g").agg(F.min(F.struct("logdet", "start", "n", "mu", "prec")).alias("b"))
     best = groups.join(best, "g").select("k1", "k2", "g", F.col("b.n").alias("n"), F.col("b.mu").alias("mu"), F.col("b.prec").alias("prec"))
     best = scratch.table(best, "best")
@@ -215,9 +234,11 @@ def fit(spark: SparkSession, docs: DataFrame, scratch: Scratch, min_group: int =
 
 def quality_scores(spark: SparkSession, docs: DataFrame, min_group: int = MIN_GROUP, quantile: float = QUANTILE) -> DataFrame:
     """Every document with its squared distance and the decision: doc_id, lang, source, distance, keep."""
-    stats, best = fit(spark, docs, Scratch(spark, "quality"), min_group)
+    scratch = Scratch(spark, "quality")
+    stats, best = fit(spark, docs, scratch, min_group)
+    best = _limits(best, scratch)
     limit = chi2_quantile(quantile, D)
-    d = F.when(F.col("n") >= min_group, _distance(F.col("x"), F.col("mu"), F.col("prec"))).otherwise(0.0)
+    d = _distance(F.col("x"), F.col("mu"), F.col("prec"))
     return stats.join(best, ["k1", "k2"], "left").select(
         "doc_id", "lang", "source", F.when(F.col("x").isNotNull(), d).alias("distance"), F.coalesce((F.col("x").isNotNull()) & (d <= limit), F.lit(False)).alias("keep")
     )
@@ -225,13 +246,14 @@ def quality_scores(spark: SparkSession, docs: DataFrame, min_group: int = MIN_GR
 
 def quality_filter(spark: SparkSession, docs: DataFrame, min_group: int = MIN_GROUP, quantile: float = QUANTILE) -> DataFrame:
     """The documents that are kept, with the columns they came with; statistics are taken again instead of moving texts."""
-    _, best = fit(spark, docs, Scratch(spark, "quality"), min_group)
+    scratch = Scratch(spark, "quality")
+    best = _limits(fit(spark, docs, scratch, min_group)[1], scratch)
     limit = chi2_quantile(quantile, D)
-    tag, k1, k2, n, mu, prec = (fresh(docs, f"_quality_{c}") for c in ("x", "k1", "k2", "n", "mu", "prec"))
-    best = best.select(*[F.col(a).alias(b) for a, b in (("k1", k1), ("k2", k2), ("n", n), ("mu", mu), ("prec", prec))])
+    tag, k1, k2, mu, prec = (fresh(docs, f"_quality_{c}") for c in ("x", "k1", "k2", "mu", "prec"))
+    best = best.select(*[F.col(a).alias(b) for a, b in (("k1", k1), ("k2", k2), ("mu", mu), ("prec", prec))])
     out = docs.mapInArrow(_add_statistics(tag), with_column(docs.schema, (tag, "array<double>"))).filter(F.col(tag).isNotNull())
     out = out.join(best, (normal_key("lang") == F.col(k1)) & (normal_key("source") == F.col(k2)), "left")
-    d = F.when(F.col(n) >= min_group, _distance(F.col(tag), F.col(mu), F.col(prec))).otherwise(0.0)
+    d = _distance(F.col(tag), F.col(mu), F.col(prec))
     return out.filter(d <= limit).select(*docs.columns)
 
 
