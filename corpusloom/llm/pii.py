@@ -3,7 +3,8 @@
 The field is trained here, by gradient ascent on the exact log-likelihood, from a small labelled table that ``labelled_table`` makes
 (``TRAIN_ROWS`` sentences, a documented bound). Emissions depend only on the shapes of a token and its neighbours, so they are looked up
 per shape. Decoding is exact: a token whose margin for the label O exceeds all that transitions can give back is O in the best path, and
-Viterbi runs, batched in numpy, over the remaining runs of tokens only.
+Viterbi runs, batched in numpy, over the remaining runs of tokens only. Shapes tell numbers that check as a card's does and addresses of four bytes from others
+that look alike; a card in groups must check as a whole. A hash counts as secret where a quotation mark, a colon or the like leads up to it.
 
 Defined results: null, empty and blank texts hold nothing and pass as they are; repeated documents get the same answer each; texts are read
 whole; further columns pass through, and ``n_chars``, if there is one, follows the new text.
@@ -30,6 +31,13 @@ _FOUR = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
 _RUNS = re.compile(r"[A-Z]+|[a-z]+|\d+|[^\x00-\x7f]+|.", re.S)
 
 
+def checks(number: str) -> bool:
+    """Whether the digits, which may stand in groups, begin and end as a card's number does (Luhn)."""
+    d = [int(c) for c in number if c.isdigit()]
+    twice = [2 * x - 9 * (x > 4) for x in d[-2::-2]]
+    return 13 <= len(d) <= 19 and 2 <= d[0] <= 6 and (sum(d[-1::-2]) + sum(twice)) % 10 == 0
+
+
 @lru_cache(maxsize=200_000)
 def _rare_shape(token: str) -> str:
     """Kinds of characters with lengths of their runs in classes; the part before a trailing full stop."""
@@ -39,20 +47,24 @@ def _rare_shape(token: str) -> str:
     if len(core) == 1 and not core.isalnum():
         return core if core in "\"'()+-=@:/" else "mark"
     if _FOUR.fullmatch(core):
-        return "9.9.9.9"
+        return "9.9.9.9" if all(int(x) < 256 for x in core.split(".")) else "9.9.9.9>"
     if "@" in core:
         user, _, host = core.partition("@")
         return "U@H.H" if user and "." in host.strip(".") else "has@"
     digits = sum(c.isdigit() for c in core)
     if digits == len(core):
         n = len(core)
-        return f"9x{n}" if n <= 4 else "9x5-7" if n <= 7 else "9x8-12" if n <= 12 else "9x13-19" if n <= 19 else "9x20+"
+        return f"9x{n}" if n <= 4 else "9x5-7" if n <= 7 else "9x8-12" if n <= 12 else "9x13-19" + ("luhn" if checks(core) else "") if n <= 19 else "9x20+"
+    if digits == 16 and len(core) == 19 and all(len(x) == 4 for x in core.split("-")):
+        return "9999-x4" + ("luhn" if checks(core) else "")
     if core.isalnum() and digits and len(core) >= 16:
         return "hex" if all(c in "0123456789abcdefABCDEF" for c in core) else "mixed16+"
     if "://" in core:
         return "url"
+    if core.isalnum() and digits >= 3 and len(core) >= 10 and len(_RUNS.findall(core)) >= 5:
+        return "mixed10-15"
     out = []
-    for run in _RUNS.findall(core)[:12]:
+    for run in _RUNS.findall(core):
         c = run[0]
         if c.isdigit():
             out.append("9" * min(len(run), 5))
@@ -88,6 +100,13 @@ def labelled_table(rows: int = TRAIN_ROWS, seed: int = 1) -> list[tuple[list[str
         user = r.choice([f"{word()}.{digits(2)}", word(), f"{word()}.{word()}", f"{word()}_{word()}", f"{word()}+{digits(1)}", f"{word()}{digits(3)}"])
         return user + "@" + r.choice([f"mail{digits(1)}.example.com", "example.org", f"{word()}.net", f"{word()}.co.uk"])
 
+    def card(n: int) -> str:
+        d = r.choice("3456") + digits(n - 2)
+        return next(d + x for x in "0123456789" if checks(d + x))
+
+    def parted(text: str, by: str) -> str:
+        return by.join(text[i : i + 4] for i in range(0, len(text), 4))
+
     def phone():
         a, b, c = digits(3), digits(3), digits(4)
         return r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{digits(2)} {a} {b} {c}", f"{a}.{b}.{c}", f"+1-{a}-{b}-{c}"])
@@ -96,11 +115,11 @@ def labelled_table(rows: int = TRAIN_ROWS, seed: int = 1) -> list[tuple[list[str
         1: email,
         2: phone,
         3: lambda: ".".join(octet() for _ in range(4)),
-        4: lambda: r.choice([digits(16), digits(16), digits(15), "-".join(digits(4) for _ in range(4)), " ".join(digits(4) for _ in range(4))]),
+        4: lambda: r.choice([card(16), card(16), card(15), parted(card(16), "-"), parted(card(16), " ")]),
         5: lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
-        6: lambda: r.choice([hexes(40), hexes(32), hexes(64), "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(r.randint(24, 40))) + digits(1)]),
+        6: lambda: r.choice([hexes(40), hexes(32), hexes(64), "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)), "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(r.randint(24, 40))) + digits(1)]),
     }
-    lead = {1: ["", "email:", "mail"], 2: ["", "call", "tel:"], 3: ["", "", "ip", "host"], 4: ["", "", "card", "visa"], 5: ["", "ssn", "ssn:"], 6: ['token = "', 'key="', "secret: ", "api_key = ", "", '"']}
+    lead = {1: ["", "email:", "mail"], 2: ["", "call", "tel:"], 3: ["", "", "ip", "host"], 4: ["", "", "card", "visa"], 5: ["", "ssn", "ssn:"], 6: ['token = "', 'key="', "secret: ", "api_key = ", "password=", "passwd: ", "", '"']}
     harmless = [
         lambda: str(r.randint(1900, 2030)), lambda: digits(r.randint(1, 6)), lambda: f"{digits(1)}.{digits(1)}", lambda: f"v{digits(1)}.{digits(2)}.{digits(1)}",
         lambda: f"{digits(2)}:{digits(2)}", lambda: f"{r.randint(1990, 2030)}-{digits(2)}-{digits(2)}", lambda: f"${digits(3)}.{digits(2)}", lambda: f"{digits(2)}%", lambda: f"{digits(1)},{digits(3)}",
@@ -109,6 +128,12 @@ def labelled_table(rows: int = TRAIN_ROWS, seed: int = 1) -> list[tuple[list[str
         lambda: "(" + word() + ")", lambda: word() + ".", lambda: word().upper() + "!!", lambda: word() + "%%%", lambda: "| " + word() + " |", lambda: f"{digits(3)} {digits(3)}", lambda: f'"{word()}"', lambda: f"+{digits(1)}",
         lambda: " ".join([f"{word()}.{word()}"] * r.randint(1, 6)), lambda: " ".join([f"{word().capitalize()}.{word()}"] * r.randint(1, 6)), lambda: " ".join([r.choice([f"{digits(2)}-{word()}", f"{word()}-{word()}", f"{word()}:{word()}", digits(2)])] * r.randint(1, 6)),
     ]
+    # what looks like the like but isn't: hashes of commits, numbers of orders and books, moments in milliseconds, versions
+    number = lambda n: next(x for x in iter(lambda: digits(n), None) if not checks(x))
+    harmless += [
+        lambda: f"{word()} {hexes(40)}", lambda: f"commit {hexes(r.choice([32, 40, 64]))}", lambda: f"({hexes(40)})", lambda: number(r.randint(13, 19)), lambda: f"order {number(r.randint(13, 16))}", lambda: "978" + digits(10),
+        lambda: "1" + digits(12), lambda: parted(number(16), "-"), lambda: ".".join(str(r.randint(256, 999)) for _ in range(4)),
+    ]
     out = []
     for _ in range(rows):
         tokens: list[str] = []
@@ -124,9 +149,13 @@ def labelled_table(rows: int = TRAIN_ROWS, seed: int = 1) -> list[tuple[list[str
                 put(word() + r.choice(["", "", "", ".", ",", "!!", "%%%"]), 0)
             if r.random() < 0.6:
                 k = r.randint(1, L - 1)
-                before = r.choice(lead[k])
+                before, mine = r.choice(lead[k]), make[k]()
+                if k == 6 and before.startswith("passw"):
+                    mine = r.choice([hexes, lambda n: word() + digits(3) + word() + digits(2)])(r.randint(12, 24))
+                if k == 6 and not before and shape(mine) in ("hex", "mixed10-15"):
+                    before = r.choice(lead[k][:4])  # a hash of which nothing says that it's secret may be of a commit
                 put(before, 0)
-                put(make[k](), k)
+                put(mine, k)
                 put(r.choice(["", "", "", ".", ",", "!!", "###", "***"]) if not before.endswith('"') else '"', 0)
             else:
                 put(r.choice(harmless)(), 0)
@@ -186,18 +215,13 @@ class Field:
         return out
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return (np.log(np.exp(x - m).sum(axis=axis, keepdims=True)) + m).squeeze(axis)
-
-
 def train(table: list[tuple[list[str], list[int]]], steps: int = 100, ridge: float = 1e-3, rate: float = 0.15) -> Field:
-    """Gradient ascent (with Adam's step sizes) on the conditional log-likelihood by forward and backward sums."""
+    """Gradient ascent (with Adam's step sizes) on the conditional log-likelihood by forward and backward sums, scaled at each token."""
     shapes = {"\x00unknown": 0, "\x00edge": 1}
     n = max(len(t) for t, _ in table) + 2
-    ids = np.ones((len(table), n), np.int64)
-    gold = np.zeros((len(table), n), np.int64)
-    mask = np.zeros((len(table), n), bool)
+    ids = np.ones((n, len(table)), np.int64)  # token by token, since the sums go along the sentences
+    gold = np.zeros((n, len(table)), np.int64)
+    mask = np.zeros((n, len(table)), bool)
     seen: dict[str, int] = {}
     for tokens, _ in table:
         for t in tokens:
@@ -207,37 +231,37 @@ def train(table: list[tuple[list[str], list[int]]], steps: int = 100, ridge: flo
             shapes[s] = len(shapes)
     for i, (tokens, labels) in enumerate(table):
         k = len(tokens)
-        ids[i, 1 : k + 1] = [shapes.get(shape(t), 0) for t in tokens]
-        gold[i, 1 : k + 1] = labels
-        mask[i, : k + 2] = True
+        ids[1 : k + 1, i] = [shapes.get(shape(t), 0) for t in tokens]
+        gold[1 : k + 1, i] = labels
+        mask[: k + 2, i] = True
     theta = [np.zeros((3, len(shapes), L)), np.zeros((L, L))]
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in theta]
     eye = np.eye(L)
+    both = mask[1:, :, None]
+    pairs = np.einsum("tsi,tsj->ij", eye[gold[:-1]] * both, eye[gold[1:]] * both)
     for step in range(1, steps + 1):
         w, trans = theta
         e = w[1][ids]
-        e[:, 1:] += w[0][ids[:, :-1]]
-        e[:, :-1] += w[2][ids[:, 1:]]
-        alpha = np.zeros_like(e)
-        beta = np.zeros_like(e)
-        alpha[:, 0] = e[:, 0]
+        e[1:] += w[0][ids[:-1]]
+        e[:-1] += w[2][ids[1:]]
+        e = np.exp(e - e.max(axis=2, keepdims=True))
+        move = np.exp(trans)
+        alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.ones((n, len(table), 1))
+        alpha[0] = e[0] / e[0].sum(axis=1, keepdims=True)
         for t in range(1, n):
-            alpha[:, t] = np.where(mask[:, t, None], _logsum(alpha[:, t - 1, :, None] + trans, 1) + e[:, t], alpha[:, t - 1])
+            a = alpha[t - 1] @ move * e[t]
+            scale[t] = np.where(mask[t, :, None], a.sum(axis=1, keepdims=True), 1.0)
+            alpha[t] = np.where(mask[t, :, None], a / scale[t], alpha[t - 1])
         for t in range(n - 2, -1, -1):
-            beta[:, t] = np.where(mask[:, t + 1, None], _logsum(trans + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0)
-        z = _logsum(alpha[:, -1], 1)
-        node = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
+            beta[t] = np.where(mask[t + 1, :, None], (e[t + 1] * beta[t + 1]) @ move.T / scale[t + 1], 1.0)
+        node = alpha * beta
+        node /= node.sum(axis=2, keepdims=True)
         diff = (eye[gold] - node) * mask[:, :, None]
         gw = np.zeros_like(w)
-        np.add.at(gw[1], ids, diff)
-        np.add.at(gw[0], ids[:, :-1], diff[:, 1:])
-        np.add.at(gw[2], ids[:, 1:], diff[:, :-1])
-        gt = np.zeros_like(trans)
-        for t in range(1, n):
-            m = mask[:, t]
-            if m.any():
-                p = np.exp(alpha[m, t - 1, :, None] + trans + (e[m, t] + beta[m, t])[:, None, :] - z[m, None, None])
-                gt += eye[gold[m, t - 1]].T @ eye[gold[m, t]] - p.sum(axis=0)
+        for part, (where, what) in enumerate(((ids[:-1], diff[1:]), (ids, diff), (ids[1:], diff[:-1]))):
+            for y in range(L):
+                gw[part, :, y] = np.bincount(where.ravel(), what[:, :, y].ravel(), len(shapes))
+        gt = pairs - move * np.einsum("tsi,tsj->ij", alpha[:-1] * both, e[1:] * beta[1:] / scale[1:], optimize=True)
         for x, g, s in zip(theta, (gw, gt), state):
             g = g / len(table) - ridge * x
             s[0] = 0.9 * s[0] + 0.1 * g
@@ -294,7 +318,8 @@ def spans(texts: list[str | None], field: Field) -> list[list[tuple[int, int, st
                     else:
                         found.append((a, b, LABELS[y]))
                     last = j
-        out.append(found)
+        # a card's groups of digits count as one number
+        out.append([x for x in found if x[2] != "CARD" or checks(t[x[0] : x[1]])])
     return out
 
 
