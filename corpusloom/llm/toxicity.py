@@ -1,9 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon maps words to classes; three sequential transducers over classes are composed into one table: negation weakens what
-follows it, reported speech weakens the rest of its clause or quotation, and the scorer rewards targets, threats and insults
-that stand together. Every clause is run through the composed machine; matched clauses are scored, not words: an insult without a
-target counts for part, a negated or reported one for little. A document is toxic when its clauses sum to ``LIMIT``.
+A lexicon maps words to classes, and transducers over classes are composed. From right to left, one machine sees what an insult is said of: a thing within three
+tokens behind it (scum on a pond, a stupid question) weakens it unless it is aimed at someone, a person behind it aims it. From left to right, negation weakens what
+follows it, reported speech weakens the rest of its clause or quotation, the target machine aims insults and threats at persons before them, the threat machine turns
+intent, threat and target into violence, and the insult machine weighs what is left. Every clause is run through both; matched clauses are scored, not words: violence
+and insults that are aimed make a document toxic, an insult that is aimed at nobody counts for part, so that it takes several of them, a negated, reported or
+misplaced one for little. A document is toxic when its clauses sum to ``LIMIT``.
 
 The lexicon grows by stems learned from labelled rows, for each language: those whose longer forms stand in far more toxic than clean
 documents. At most ``LABELLED_ROWS`` rows of either label are read for that, the ones with the least hash; near copies among them share one
@@ -12,11 +14,13 @@ alone puts of such forms into a text of its length, measured on the clean rows,
 
 Defined results: null, empty and blank texts have no clause and are never flagged; repeated documents are flagged each; a null language
 uses the stems of all languages; labels that are null, or of no document, teach nothing, and without labels only the built-in lexicon
-counts; further columns are ignored. Texts are read whole, whatever their length.
+counts; of stems with the same evidence the shorter goes first, then by letters; of the labelled rows those with the least hash, then id; further columns are
+ignored. Texts are read whole, whatever their length.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -46,16 +50,20 @@ LEXICON = {
     "WILL": "will gonna shall should must going deserve 'll werde werden vais voy",
     "NEGATION": "not never no isn't aren't wasn't don't doesn't didn't won't without nobody nicht kein keine jamais nunca neither nor cannot can't",
     "REPORT": "said says say called calls wrote writes quoted quotes reported claimed claims alleged word term sagte sagt disait dijo dice article headline",
+    "THING": "pond lake water surface river soil crop crops plant plants growth development control collection disposal truck bin heap question questions mistake mistakes idea ideas "
+    "joke jokes weather luck habit habits game games movie film song rule rules policy machine computer printer phone software code bug frage fragen fehler idee wetter erreur idée pregunta error",
 }
-QUOTE, OTHER, LEARNED = "QUOTE", "OTHER", "LEARNED"
+QUOTE, OTHER, LEARNED, AIMED, MISPLACED, VIOLENCE = "QUOTE", "OTHER", "LEARNED", "AIMED", "MISPLACED", "VIOLENCE"
 CLASS = {w: c for c, words in LEXICON.items() for w in words.split()}
 TRIGGERS = frozenset(w for w, c in CLASS.items() if c in ("INSULT", "MILD", "THREAT"))
 CLASSES = (*LEXICON, LEARNED, QUOTE, OTHER)
+_INSULTS = {"INSULT": 1.0, "MILD": 0.9, LEARNED: 1.0, MISPLACED: 1.0}
 _WORD = re.compile(r"\w+")
 _CLAUSE = re.compile(r"[.!?;\n]+")
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”«»]")
-_HARM = ("INSULT", "MILD", "THREAT", LEARNED)
-#: What a learned form counts in a clause.
+_HARM = ("INSULT", "MILD", "THREAT", LEARNED, AIMED, MISPLACED)
+_HARMFUL = frozenset(_HARM)
+#: What a learned form counts in a clause, where it is aimed at nobody.
 LEARNED_WEIGHT = 0.6
 
 
@@ -76,11 +84,11 @@ class Transducer:
 
         return Transducer(step)
 
-    def table(self, alphabet) -> tuple[list[dict[str, int]], list[dict[str, float]]]:
-        """All reachable states as next-state and weight tables, a state's row by symbol."""
+    def table(self, alphabet) -> tuple[list[dict[str, int]], list[dict[str, tuple[str, float]]]]:
+        """All reachable states as tables of the next state and of what is written with what weight, a state's row by symbol."""
         index, todo = {0: 0}, [0]
         to: list[dict[str, int]] = []
-        weight: list[dict[str, float]] = []
+        written: list[dict[str, tuple[str, float]]] = []
         while todo:
             s = todo.pop(0)
             row, w = {}, {}
@@ -90,16 +98,16 @@ class Transducer:
                     index[t] = len(index)
                     todo.append(t)
                 row[x] = index[t]
-                w[x] = v if out == "HIT" else 0.0
+                w[x] = out, v
             to.append(row)
-            weight.append(w)
-        return to, weight
+            written.append(w)
+        return to, written
 
 
 def _negation(state, x):
-    """After a negation, an insult within four tokens counts a tenth and a threat is none."""
+    """After a negation, an insult within five tokens counts a tenth and a threat is none."""
     if x == "NEGATION":
-        return 4, OTHER, 1.0
+        return 5, OTHER, 1.0
     if state and x in _HARM:
         return (state - 1, OTHER, 1.0) if x == "THREAT" else (state - 1, x, 0.1)
     return max(0, state - 1), x, 1.0
@@ -116,29 +124,70 @@ def _report(state, x):
     return state, x, 1.0
 
 
-def _score(state, x):
-    """State (target, intent, harm): tokens since each, 0 for none. Emits HIT with the weight of what the symbol completes."""
-    target, intent, harm = state or (0, 0, 0)
-    age = lambda n, most: n + 1 if 0 < n < most else 0
-    w = 0.0
-    if x in ("INSULT", "MILD"):
-        w = (0.6 if x == "INSULT" else 0.5) + (0.9 if target else 0.0)
-    elif x == LEARNED:
-        w = LEARNED_WEIGHT
-    elif x == "THREAT":
-        w = 0.2 if intent and target else 0.0
-        harm_next = 1 if intent else 0
-        return (age(target, 5), age(intent, 3), harm_next), "HIT" if w else OTHER, w or 1.0
-    elif x == "TARGET" and harm:
-        w = 1.5
-    target = 1 if x == "TARGET" else age(target, 5)
-    intent = 1 if x == "WILL" else age(intent, 3)
-    harm = 0 if w else age(harm, 2)
-    return (target, intent, harm), "HIT" if w else OTHER, w or 1.0
+def _said_of(state, x):
+    """Read from right to left. State (thing, target): tokens in which each still counts, 0 for none."""
+    thing, target = state or (0, 0)
+    after = max(0, thing - 1), max(0, target - 1)
+    if x == "THING":
+        return (3, after[1]), OTHER, 1.0
+    if x == "TARGET":
+        return (after[0], 2), x, 1.0
+    if x in _INSULTS and thing:
+        return after, MISPLACED, 1.0
+    if x in _INSULTS and target:
+        return after, AIMED, _INSULTS[x]
+    return after, x, 1.0
+
+
+def _target(state, x):
+    """For five tokens after a target, insults are aimed at it. The state counts them down."""
+    if x == "TARGET":
+        return 5, x, 1.0
+    if state and x in _INSULTS:
+        return state - 1, AIMED, _INSULTS[x]
+    return max(0, state - 1), x, 1.0
+
+
+def _threat(state, x):
+    """A threat within three tokens of intent, with a target within two tokens behind it, is violence. State (intent, threat): tokens in which each still counts."""
+    intent, threat = state or (0, 0)
+    after = max(0, intent - 1), max(0, threat - 1)
+    if x == "WILL":
+        return (3, after[1]), OTHER, 1.0
+    if x == "THREAT":
+        return (0, 2) if intent else after, OTHER, 1.0
+    if x == "TARGET" and threat:
+        return (after[0], 0), VIOLENCE, 1.0
+    return after, x, 1.0
+
+
+_WEIGHTS = {AIMED: 1.5, MISPLACED: 0.12, VIOLENCE: 1.5, "INSULT": 0.6, "MILD": 0.5, LEARNED: LEARNED_WEIGHT}
+
+
+def _insult(state, x):
+    """Has one state. Emits HIT with the weight of what the others have found."""
+    return (0, "HIT", _WEIGHTS[x]) if x in _WEIGHTS else (0, OTHER, 0.0)
+
+
+BACKWARD = Transducer(_said_of)
+FORWARD = [Transducer(f) for f in (_negation, _report, _target, _threat, _insult)]
+_BACK_TO, _BACK = BACKWARD.table(CLASSES)
+_TO, _OUT = functools.reduce(Transducer.then, FORWARD).table((*CLASSES, AIMED, MISPLACED))
 
 
-GRAMMAR = Transducer(_negation).then(Transducer(_report)).then(Transducer(_score))
-_TO, _WEIGHT = GRAMMAR.table(CLASSES)
+def grammar_score(classes: list[str]) -> float:
+    """What the two machines make of a clause's classes."""
+    seen, state = [], 0
+    for x in reversed(classes):
+        seen.append(_BACK[state][x])
+        state = _BACK_TO[state][x]
+    score, state = 0.0, 0
+    for x, weight in reversed(seen):
+        out, w = _OUT[state][x]
+        if out == "HIT":
+            score += w * weight
+        state = _TO[state][x]
+    return score
 
 
 class Stems:
@@ -166,14 +215,11 @@ def clause_scores(text: str | None, learned: Stems = NO_STEMS) -> list[tuple[str
     """(clause, score) of every clause with a score."""
     out = []
     for clause in _CLAUSE.split(text) if text else ():
-        state, score, seen = 0, 0.0, False
+        classes = []
         for token in _TOKEN.findall(clause):
             low = normal(token)
-            x = QUOTE if low in '"“”«»' else CLASS.get(low) or (LEARNED if learned.stems and learned.has(low) else OTHER)
-            score += _WEIGHT[state][x]
-            state = _TO[state][x]
-            seen |= x in _HARM
-        if seen and score > 0:
+            classes.append(QUOTE if low in '"“”«»' else CLASS.get(low) or (LEARNED if learned.stems and learned.has(low) else OTHER))
+        if not _HARMFUL.isdisjoint(classes) and (score := grammar_score(classes)) > 0:
             out.append((clause.strip(), round(score, 6)))
     return out
 

@@ -207,18 +207,39 @@ def test_clauses(text, flagged):
     assert (toxicity.document_score(text)[0] >= toxicity.LIMIT) == flagged
 
 
+@pytest.mark.parametrize(
+    "text, flagged",
+    [
+        ("Scum on the pond. The vermin control people came.", False), ("Retarded growth in wheat. Stupid question.", False), ("A pathetic joke and a useless idea, such filth in the water", False), ("You are scum on the pond.", True),
+        ("idiots, all of you, idiots you", True), ("They are going to hurt him", True), ("They want to hurt him", False), ("I don't think you are an idiot", False), ("scum here, vermin there", True),
+    ],
+)
+def test_clauses_and_not_words(text, flagged):
+    assert (toxicity.document_score(text)[0] >= toxicity.LIMIT) == flagged
+
+
+def test_learned_forms_follow_the_grammar():
+    stems = toxicity.Stems(["gruml"], [], 0.0)
+    score = lambda t: toxicity.document_score(t, stems)[0]
+    assert score("you are grumlig") >= toxicity.LIMIT > score("a grumlig day") > score("not a grumlig day") > 0
+    assert score("he said you are grumlig") < toxicity.LIMIT and score("a grumlig question") < score("a grumlig day")
+
+
 def test_composition_is_the_transducers_one_after_the_other():
     r = random.Random(2)
-    parts = [toxicity.Transducer(f) for f in (toxicity._negation, toxicity._report, toxicity._score)]
     for _ in range(500):
-        states, state = [0, 0, 0], 0
-        for x in r.choices(toxicity.CLASSES, k=12):
-            w, y = 1.0, x
-            for k, t in enumerate(parts):
+        classes = r.choices(toxicity.CLASSES, k=12)
+        back, state = [], 0
+        for x in reversed(classes):
+            state, y, v = toxicity._said_of(state, x)
+            back.append((y, v))
+        score, states = 0.0, [0] * len(toxicity.FORWARD)
+        for y, w in reversed(back):
+            for k, t in enumerate(toxicity.FORWARD):
                 states[k], y, v = t.step(states[k], y)
                 w *= v
-            assert toxicity._WEIGHT[state][x] == pytest.approx(w if y == "HIT" else 0.0)
-            state = toxicity._TO[state][x]
+            score += w if y == "HIT" else 0.0
+        assert toxicity.grammar_score(classes) == pytest.approx(score)
 
 
 def test_stems_are_learned_from_labels(spark):
