@@ -4,11 +4,12 @@ P(w | v) = P(class of w | class of v) * P(w | class of w). Unigrams are counted
 more are the clustered vocabulary, which grows with the corpus. Their classes come from
 exchange clustering on the bigram counts of all documents: in each round every word's best class is found in parallel on
 the executors, where the counts lie, against one small class-by-class table, half of the words move, or fewer where that doesn't raise the
-likelihood, until a round gains next to nothing (``TOLERANCE``). Words seen less often have classes by length, in which each has its own count; one count more of each such class is set
+likelihood, until a round gains next to nothing (``TOLERANCE``). Words seen ``FREQUENT`` times or more, which are few, are exchanged first; the
+others join the classes these made, and then all are exchanged together until nothing is gained. Words seen less often have classes by length, in which each has its own count; one count more of each such class is set
 aside for all words never seen. Transitions are smoothed after Witten and Bell.
 
-Workers know words by 64-bit keys, 12 bytes a clustered word; two words with the same key would count as one (of ten million seen words, a
-chance of one in 400,000 that any two have).
+Workers know words by keys of 61 bits, 20 bytes a clustered word; two words with the same key would count as one (of ten million seen words, a
+chance of one in 45,000 that any two have).
 
 Defined results: null, empty and blank texts have no perplexity (null) and 0 tokens; an empty table gives an empty result; repeated rows count as often
 as they occur, and get the same score each; further columns are ignored; texts are read whole.
@@ -17,11 +18,12 @@ as they occur, and get the same score each; further columns are ignored; texts a
 from __future__ import annotations
 
 import re
-from collections import Counter
 from copy import copy
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,13 +33,17 @@ from corpusloom.llm.common import Scratch, read_table
 #: Of a clustered word. Words below it were seen once, so that what they are counted as loses nothing.
 MIN_COUNT = 2
 CLASSES = 64
-#: Clustering ends when half of the words gain less than this share of the likelihood by moving.
-TOLERANCE = 1e-5
+#: Clustering ends when a round over all words gains less than this share of the likelihood.
+TOLERANCE = 1e-4
+#: The same for the frequent words by themselves, which are exchanged again with all others.
+FIRST_TOLERANCE = 1e-3
 _WORD = re.compile(r"\w+")
-#: Entries of a pack of bigrams, and words whose moves are weighed at once.
-PACK, AT_ONCE = 1_000_000, 1024
-#: Seed of Spark's xxhash64.
-_SEED = 42
+#: Words seen at least so often are clustered first, by themselves.
+FREQUENT = 50
+#: Words seen at least so often are spread over many tasks by what stands beside them.
+HOT = 1_000_000
+#: Tokens of the corpus for each bucket of bigrams, entries of a row of them, and words whose moves are weighed at once.
+BUCKET, PACK, AT_ONCE = 1_500_000, 250_000, 4096
 #: Classes of rare words by length, and one for those with digits; then the boundary of documents.
 RARE = 6
 _LENGTHS = (3, 5, 7, 10)
@@ -56,25 +62,54 @@ def rare_class(word: str) -> int:
     return RARE - 2
 
 
-def _count_words(batches):
-    count: Counter = Counter()
-    for b in batches:
-        for t in b.column(0).to_pylist():
-            if t:
-                count.update(_WORD.findall(t.lower()))
-        if len(count) > 500_000:
-            yield _pairs(count)
-            count = Counter()
-    yield _pairs(count)
-
-
-def _pairs(count: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(count.keys()), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
-
-
 def keys_of(words: list[str]) -> np.ndarray:
-    """The keys that F.xxhash64 gives them."""
-    return np.fromiter((xxhash.xxh64_intdigest(w, _SEED) for w in words), np.uint64, len(words)).view(np.int64)
+    """61 bits of a hash of each word and, in the last three, its class by length."""
+    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    return (h & ~np.uint64(7) | np.fromiter(map(rare_class, words), np.uint64, len(words))).view(np.int64)
+
+
+def _hashes(batches):
+    """Texts as the keys of their words."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            b = whole.slice(at, 1000)
+            known: dict[str, int] = {}
+            number = known.setdefault
+            ids: list[int] = []
+            ends = [0]
+            for t in b.column(1).to_pylist():
+                if t:
+                    ids += [number(w, len(known)) for w in _WORD.findall(t.lower())]
+                ends.append(len(ids))
+            keys = keys_of(list(known))[np.array(ids, np.int64)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))], ["doc_id", "keys"])
+
+
+def _totals(code: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(different values in order, sum of each one's n)."""
+    if n is None:
+        return np.unique(code, return_counts=True)
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+    return code[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _count_keys(batches):
+    held, size = [], 0
+
+    def flush():
+        key, n = _totals(*map(np.concatenate, zip(*held)))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+    for b in batches:
+        held.append(np.unique(b.column("keys").flatten().to_numpy(), return_counts=True))
+        size += len(held[-1][0])
+        if size > 3_000_000:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
 
 
 class Vocabulary:
@@ -94,34 +129,31 @@ class Vocabulary:
         self.boundary = len(words) + RARE * (len(counts) + 1)
         self.size = self.boundary + 1
 
-    def of_words(self, words: list[str]) -> np.ndarray:
-        key = keys_of(words)
+    def of_keys(self, key: np.ndarray) -> np.ndarray:
         level = np.zeros(len(key), np.int64)
         if self.rare is not None:
             level[:] = len(self.counts)
             if len(self.rare[0]):
                 at = np.minimum(np.searchsorted(self.rare[0], key), len(self.rare[0]) - 1)
                 level = np.where(self.rare[0][at] == key, self.rare[1][at], level)
-        out = len(self.words) + level * RARE + np.fromiter(map(rare_class, words), np.int64, len(words))
+        out = len(self.words) + level * RARE + (key & 7)
         if len(self.words):
             at = np.minimum(np.searchsorted(self.sorted, key), len(self.words) - 1)
             out = np.where(self.sorted[at] == key, self.order[at], out)
         return out
 
-    def symbols(self, texts: list[str | None], seen: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(symbols of all texts, each between boundaries; how many words each text has). seen: symbols of words met before, which is added to."""
-        seen = {} if seen is None else seen
-        found = [_WORD.findall(t.lower()) if t else () for t in texts]
-        if new := list({w for f in found for w in f if w not in seen}):
-            seen.update(zip(new, self.of_words(new).tolist()))
-        out: list[int] = [self.boundary]
-        size = np.zeros(len(texts), np.int64)
-        for i, f in enumerate(found):
-            if f:
-                size[i] = len(f)
-                out.extend(map(seen.__getitem__, f))
-                out.append(self.boundary)
-        return np.array(out, np.int64), size
+    def between(self, keys: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Symbols of all texts, whose words' keys come in a row, each text with words followed by a boundary."""
+        kinds, back = np.unique(keys, return_inverse=True)
+        out = np.full(len(keys) + np.count_nonzero(size), self.boundary, np.int64)
+        out[np.arange(len(keys)) + np.repeat(np.cumsum(size > 0) - 1, size)] = self.of_keys(kinds)[back]
+        return out
+
+    def symbols(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols of all texts, each between boundaries; how many words each text has)."""
+        found = [words_of(t) for t in texts]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.r_[self.boundary, self.between(keys_of([w for f in found for w in f]), size)], size
 
     def joined(self, s: np.ndarray) -> np.ndarray:
         """Symbols of which rare words have one a class; the boundary follows those."""
@@ -130,24 +162,23 @@ class Vocabulary:
 
 
 def _encode(vocabulary):
-    """Texts as symbols, each with a boundary at its end; a text without words has none."""
+    """Keys as symbols, each text with a boundary at its end; a text without words has none."""
 
     def run(batches):
         v: Vocabulary = vocabulary.value
-        seen: dict[str, int] = {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                if len(seen) > 200_000:
-                    seen = {}
-                s, size = v.symbols(b.column(1).to_pylist(), seen)
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                size = b.column(1).value_lengths().to_numpy().astype(np.int64)
+                s = v.between(b.column(1).flatten().to_numpy(), size)
                 ends = np.concatenate([[0], np.cumsum(size + (size > 0))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(s[1:].astype(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), lists], ["doc_id", "n", "s"])
 
     return run
 
 
+KEYS = "doc_id long, keys array<long>"
 SYMBOLS = "doc_id long, n long, s array<int>"
 
 
@@ -157,26 +188,60 @@ def _values(batch: pa.RecordBatch, boundary: int) -> np.ndarray:
     return np.concatenate([[boundary], flat]).astype(np.int64)
 
 
-def _count_bigrams(vocabulary):
+_CHUNK = "bucket int, w binary, other binary, n binary"
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _chunks(w: np.ndarray, other: np.ndarray, n: np.ndarray, buckets: int, hot: int):
+    """Bigrams (word, neighbour * 2 + 1 if it follows, count) as one row of arrays a bucket; words below ``hot`` are spread by their neighbours."""
+    spread = w.astype(np.uint64) + np.where(w < hot, (other >> 1).astype(np.uint64) << np.uint64(20), 0)
+    bucket = ((spread * _MULT >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+    bucket = bucket[order]
+    cols = [x[order] for x in (w.astype(np.int32), other.astype(np.uint32), n.astype(np.int64))]
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, np.int64)
+    for lo, hi in zip(cuts, cuts[1:]):
+        yield _row([int(bucket[lo])], *[x[lo:hi] for x in cols])
+
+
+def _row(bucket: list[int], *cols: np.ndarray) -> pa.RecordBatch:
+    named = [pa.array([x.tobytes()], pa.binary()) for x in cols]
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()) for b in ([bucket] if bucket else [])] + named, ["bucket"] * bool(bucket) + ["w", "other", "n"])
+
+
+def _sides(a: np.ndarray, b: np.ndarray, n: np.ndarray, words: int):
+    """Each bigram by its first word and, where that is clustered, by its second one."""
+    back = b < words
+    return np.concatenate([a, b[back]]), np.concatenate([b * 2 + 1, a[back] * 2]), np.concatenate([n, n[back]])
+
+
+def _count_bigrams(vocabulary, buckets: int, hot: int):
     def run(batches):
         v: Vocabulary = vocabulary.value
-        n_symbols = len(v.words) + RARE + 1
         held, n = [], 0
 
         def flush():
             code, count = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array((code // n_symbols).astype(np.int32)), pa.array((code % n_symbols).astype(np.int32)), pa.array(count.astype(np.int64))], ["a", "b", "n"])
+            yield from _chunks(*_sides(code >> 32, code & 0xFFFFFFFF, count, len(v.words)), buckets, hot)
 
         for b in batches:
             s = v.joined(_values(b, v.boundary))
             if len(s) > 1:
-                held.append(s[:-1] * n_symbols + s[1:])
+                held.append(s[:-1] << 32 | s[1:])
                 n += len(s)
-            if n > 6_000_000:
-                yield flush()
+            if n > 4_000_000:
+                yield from flush()
                 held, n = [], 0
         if held:
-            yield flush()
+            yield from flush()
+
+    return run
+
+
+def _given_bigrams(words: int, buckets: int, hot: int):
+    def run(batches):
+        for x in batches:
+            yield from _chunks(*_sides(*(x.column(c).to_numpy().astype(np.int64) for c in ("a", "b", "n")), words), buckets, hot)
 
     return run
 
@@ -201,75 +266,82 @@ def move_gains(table: np.ndarray, mine: int, left: np.ndarray, right: np.ndarray
 def all_gains(table: np.ndarray, mine: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray, targets: int) -> np.ndarray:
     """The same for many words, a row each. Only cells where a word has counts change, and words of like counts share what they change."""
     t, n = table.astype(float), len(mine)
-    every, to = np.arange(n), np.arange(targets)
+    every = np.arange(n)
     row, col = t.sum(axis=1), t.sum(axis=0)
     wl, wr = left.sum(axis=1) + own, right.sum(axis=1) + own
     gain = np.zeros((n, targets))
     # cells of the row, then of the column, that the word's counts are added to
-    for side, cells in ((right, t[:targets].T), (left, t[:, :targets])):
+    for side, back, cells in ((right, left, t.T), (left, right, t)):
         w, c = np.nonzero(side)
-        pairs, which = np.unique((c.astype(np.int64) << 48) + side[w, c].astype(np.int64), return_inverse=True)
-        cell = cells[pairs >> 48]
-        added = (_h(cell + (pairs & (1 << 48) - 1)[:, None]) - _h(cell))[which]
+        value = side[w, c]
+        pairs, which = np.unique((c.astype(np.int64) << 48) + value.astype(np.int64), return_inverse=True)
+        cell, more = cells[pairs >> 48][:, :targets], (pairs & (1 << 48) - 1)[:, None].astype(float)
+        added = (_h(cell + more) - _h(cell))[which]
+        # cells of the old class lose the word first
+        mark = c == mine[w]
+        if mark.any():
+            x, m = w[mark], value[mark][:, None]
+            old, less = cells[mine[x]][:, :targets], back[x, :targets]
+            added[mark] = _h(old - less + m) - _h(old - less)
         if len(w):
             first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
             gain[w[first]] += np.add.reduceat(added, first, axis=0)
         inside = c < targets
         gain[w[inside], c[inside]] -= added[inside, c[inside]]  # where row and column cross
-    # cells of the old class lose the word first: so far they were taken as if it were still there
-    for side, back, cells in ((right, left, t.T), (left, right, t)):
-        cell, more, less = cells[mine][:, :targets], side[every, mine][:, None], back[:, :targets]
-        gain += np.where(more > 0, _h(cell - less + more) - _h(cell - less) - _h(cell + more) + _h(cell), 0.0)
-    d = np.diag(t)[:targets]
-    gain += _h(d + left[:, :targets] + right[:, :targets] + own[:, None]) - _h(d)
-    gain -= _h(row[:targets] + wr[:, None]) - _h(row[:targets]) + _h(col[:targets] + wl[:, None]) - _h(col[:targets])
-    # staying: what taking the word out costs
-    r, c = right.copy(), left.copy()
-    r[every, mine] = c[every, mine] = 0
-    stay = (_h(t[mine]) - _h(t[mine] - r)).sum(axis=1) + (_h(t.T[mine]) - _h(t.T[mine] - c)).sum(axis=1)
+    corner = left[:, :targets] + right[:, :targets] + own[:, None]
+    w, c = np.nonzero(corner)
+    d = np.diag(t)[c]
+    gain[w, c] += _h(d + corner[w, c]) - _h(d)
+    for margin, more in ((row, wr), (col, wl)):
+        values, which = np.unique(more, return_inverse=True)
+        gain -= (_h(margin[:targets] + values[:, None]) - _h(margin[:targets]))[which]
+    # what taking the word out costs
+    stay = np.zeros(n)
+    for side, cells in ((right, t), (left, t.T)):
+        w, c = np.nonzero(side)
+        cell = cells[mine[w], c]
+        cost = np.where(c == mine[w], 0.0, _h(cell) - _h(cell - side[w, c]))
+        stay += np.bincount(w, cost, n)
     corner = t[mine, mine]
     stay += _h(corner) - _h(corner - left[every, mine] - right[every, mine] - own)
     stay -= _h(row[mine]) - _h(row[mine] - wr) + _h(col[mine]) - _h(col[mine] - wl)
+    gain -= stay[:, None]
     home = mine < targets
-    gain[every[home], mine[home]] = stay[home]
-    gain[home] -= stay[home][:, None]
+    gain[every[home], mine[home]] = 0.0
     return gain
 
 
-_PACK = "w binary, other binary, n binary"
-
-
 def _pack(batches):
-    """Bigrams, which come sorted by word, as rows of arrays: symbol, neighbour * 2 + 1 if it follows, count. A word is in one row."""
+    """The rows of a bucket, which come sorted by bucket, as bigrams sorted by word, each once, in rows of some ``PACK`` entries. A word is in one row of a bucket."""
     held: list[tuple[np.ndarray, ...]] = []
-    size = 0
-
-    def row(parts):
-        cols = [pa.array([x.tobytes()], pa.binary()) for x in parts]
-        return pa.RecordBatch.from_arrays(cols, ["w", "other", "n"])
+    now = None
+
+    def flush():
+        w, other, n = map(np.concatenate, zip(*held))
+        code, n = _totals(w.astype(np.int64) << 32 | other, n)
+        w, other = (code >> 32).astype(np.int32), (code & 0xFFFFFFFF).astype(np.uint32)
+        at = 0
+        while at < len(w):
+            end = int(np.searchsorted(w, w[min(at + PACK, len(w)) - 1], "right"))
+            yield _row([], w[at:end], other[at:end], n[at:end])
+            at = end
 
     for b in batches:
-        w, side, other, n = (b.column(c).to_numpy() for c in ("w", "side", "other", "n"))
-        if not len(w):
-            continue
-        held.append((w.astype(np.int32), other.astype(np.int64) * 2 + side, n.astype(np.int64)))
-        size += len(w)
-        if size >= PACK:
-            whole = [np.concatenate(x) for x in zip(*held)]
-            cut = int(np.searchsorted(whole[0], whole[0][-1], "left"))
-            if cut:
-                yield row([x[:cut] for x in whole])
-            held = [tuple(x[cut:] for x in whole)]
-            size = 0  # a word with many neighbours isn't looked at again before as many more
+        for bucket, *cols in zip(b.column("bucket").to_pylist(), *(b.column(c).to_pylist() for c in ("w", "other", "n"))):
+            if bucket != now and held:
+                yield from flush()
+                held.clear()
+            now = bucket
+            held.append(tuple(np.frombuffer(x, t) for x, t in zip(cols, (np.int32, np.uint32, np.int64))))
     if held:
-        yield row([np.concatenate(x) for x in zip(*held)])
+        yield from flush()
 
 
 def _unpacked(batches):
     for b in batches:
         for w, other, n in zip(*(b.column(c) for c in ("w", "other", "n"))):
-            w, other, n = np.frombuffer(w.as_buffer(), np.int32), np.frombuffer(other.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.int64)
-            yield w, other >> 1, (other & 1).astype(bool), n
+            w, other, n = np.frombuffer(w.as_buffer(), np.int32), np.frombuffer(other.as_buffer(), np.uint32), np.frombuffer(n.as_buffer(), np.int64)
+            yield w, (other >> 1).astype(np.int64), (other & 1).astype(bool), n
 
 
 def _class_table(sent, k: int):
@@ -286,79 +358,160 @@ def _class_table(sent, k: int):
     return run
 
 
-def _best_classes(sent, table: np.ndarray, k: int, words: int):
-    """(word, class, gain) for each word that would rather be in another class."""
+def _vectors(names, w, other, after, n, classes, k):
+    """Of each named word (counts by class before it, after it, times after itself)."""
+    i, c = np.searchsorted(names, w), n.astype(float)
+    self_ = other == w
+    code = i * k + classes[other]
+    before, behind = ~after & ~self_, after & ~self_
+    of = lambda m: np.bincount(code[m], c[m], len(names) * k).reshape(-1, k)
+    return of(before), of(behind), np.bincount(i[self_ & after], c[self_ & after], len(names))
+
+
+_MOVES = "w int, c int, gain double, parts array<double>"
+
+
+def _moves(names, best, gain) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(best.astype(np.int32)), pa.array(gain), pa.nulls(len(names), pa.list_(pa.float64()))], ["w", "c", "gain", "parts"])
+
+
+def _choose(table, names, mine, vectors, forced: bool):
+    gain = all_gains(table, mine, *vectors, CLASSES)
+    best = gain.argmax(axis=1)
+    gain = gain[np.arange(len(names)), best]
+    to = np.flatnonzero((best != mine) & ((gain > 1e-6) | forced))  # less may be rounding
+    return names[to], best[to], gain[to]
+
+
+def _best_classes(sent, table: np.ndarray, k: int, first: int, words: int, hot: int, forced: bool, only=None):
+    """(word, class, gain) for each word from ``first`` on (of those marked in ``only``) that would rather be in another class; of the spread words their
+    counts in this part."""
 
     def run(batches):
         classes = sent.value
+        marked = only and only.value
         for w, other, after, n in _unpacked(batches):
-            last = int(np.searchsorted(w, words, "left"))
-            cuts = np.flatnonzero(np.r_[True, w[1:last] != w[: last - 1]]) if last else np.zeros(0, np.int64)
+            if marked is not None:
+                mine = marked[w]
+                w, other, after, n = w[mine], other[mine], after[mine], n[mine]
+            lo, mid, hi = (int(np.searchsorted(w, x, "left")) for x in (first, max(first, hot), words))
+            if lo < mid:
+                names = np.unique(w[lo:mid])
+                before, behind, own = _vectors(names, w[lo:mid], other[lo:mid], after[lo:mid], n[lo:mid], classes, k)
+                parts = np.concatenate([before, behind, own[:, None]], axis=1)
+                none = pa.nulls(len(names), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(names), none.cast(pa.int32()), none, pa.array(parts.tolist(), pa.list_(pa.float64()))], ["w", "c", "gain", "parts"])
+            cuts = np.r_[mid, mid + 1 + np.flatnonzero(w[mid + 1 : hi] != w[mid : hi - 1])] if mid < hi else np.zeros(0, np.int64)
             for at in range(0, len(cuts), AT_ONCE):
-                lo, hi = int(cuts[at]), int(cuts[at + AT_ONCE]) if at + AT_ONCE < len(cuts) else last
+                a, b = int(cuts[at]), int(cuts[at + AT_ONCE]) if at + AT_ONCE < len(cuts) else hi
                 names = w[cuts[at : at + AT_ONCE]]
-                i, o, s, c = np.searchsorted(names, w[lo:hi]), other[lo:hi], after[lo:hi], n[lo:hi].astype(float)
-                self_ = o == w[lo:hi]
-                own = np.bincount(i[self_ & s], c[self_ & s], len(names))
-                code = i * k + classes[o]
-                before, behind = ~s & ~self_, s & ~self_
-                left = np.bincount(code[before], c[before], len(names) * k).reshape(-1, k)
-                right = np.bincount(code[behind], c[behind], len(names) * k).reshape(-1, k)
-                mine = classes[names].astype(np.int64)
-                gain = all_gains(table, mine, left, right, own, CLASSES)
-                best = gain.argmax(axis=1)
-                gain = gain[np.arange(len(names)), best]
-                to = np.flatnonzero((gain > 1e-6) & (best != mine))  # less may be rounding
-                yield pa.RecordBatch.from_arrays([pa.array(names[to]), pa.array(best[to].astype(np.int32)), pa.array(gain[to])], ["w", "c", "gain"])
+                vectors = _vectors(names, w[a:b], other[a:b], after[a:b], n[a:b], classes, k)
+                yield _moves(*_choose(table, names, classes[names].astype(np.int64), vectors, forced))
 
     return run
 
 
-def cluster(scratch: Scratch, bigrams: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """(class of each symbol, class-by-class counts, likelihood after each round that raised it) by exchange, until nothing is gained any more."""
-    k = CLASSES + RARE + 1
-    classes = np.concatenate([np.arange(words) % CLASSES, CLASSES + np.arange(RARE + 1)]).astype(np.int16)
-    both = bigrams.select(F.col("a").alias("w"), F.lit(1).alias("side"), F.col("b").alias("other"), "n").union(bigrams.select(F.col("b").alias("w"), F.lit(0).alias("side"), F.col("a").alias("other"), "n"))
-    both = both.filter((F.col("w") < words) | (F.col("side") == 1)).repartition("w").sortWithinPartitions("w")
-    both = scratch.table(both.mapInArrow(_pack, _PACK), "both")
-    spark = scratch.spark
-
-    def table_of(sent):
-        rows = both.mapInArrow(_class_table(sent, k), "t array<double>").collect()  # k * k numbers a partition
-        return np.sum([np.array(r[0]) for r in rows], axis=0).reshape(k, k) if rows else np.zeros((k, k))
-
-    sent = spark.sparkContext.broadcast(classes)
-    table = table_of(sent)
-    score = [likelihood(table)]
-    share, r = 2, 0
-    while words:
-        moves = both.mapInArrow(_best_classes(sent, table, k, words), "w int, c int, gain double").toArrow().to_pandas()
-        gained = 0.0
-        while len(moves) and not gained:
-            # at last the best move alone, which can only fail by rounding
-            alone = share >= len(moves)
-            chosen = moves.nlargest(1, "gain") if alone else moves[(moves.w.astype("int64") * 2654435761 // 65536 + r) % share == 0]
-            new = classes.copy()
-            new[chosen.w.to_numpy()] = chosen.c.to_numpy()
-            new_sent = spark.sparkContext.broadcast(new)
-            new_table = table_of(new_sent)
-            now = likelihood(new_table)
-            if now > score[-1]:
-                gained = now - score[-1]
-                sent.destroy()
-                classes, table, sent = new, new_table, new_sent
-                score.append(now)
-            else:
-                new_sent.destroy()
-                if alone:
+class _Exchange:
+    """The state of the clustering, and its jobs over the packed bigrams."""
+
+    def __init__(self, spark: SparkSession, both: DataFrame, classes: np.ndarray, words: int, hot: int):
+        self.spark, self.both, self.words, self.hot, self.k = spark, both, words, hot, CLASSES + RARE + 1
+        self.classes, self.score = classes, []
+        self.sent = spark.sparkContext.broadcast(classes)
+        self.table = self.table_of(self.sent)
+        self.score = [likelihood(self.table)]
+
+    def table_of(self, sent) -> np.ndarray:
+        rows = self.both.mapInArrow(_class_table(sent, self.k), "t array<double>").collect()  # k * k numbers a partition
+        return np.sum([np.array(r[0]) for r in rows], axis=0).reshape(self.k, self.k) if rows else np.zeros((self.k, self.k))
+
+    def moves(self, first: int, last: int, forced: bool = False, only: np.ndarray | None = None) -> pd.DataFrame:
+        marked = None if only is None else self.spark.sparkContext.broadcast(only)
+        found = self.both.mapInArrow(_best_classes(self.sent, self.table, self.k, first, last, self.hot, forced, marked), _MOVES).toArrow()
+        if marked is not None:
+            marked.destroy()
+        part = found.filter(pc.is_valid(found.column("parts")))
+        found = found.filter(pc.is_null(found.column("parts"))).select(["w", "c", "gain"]).to_pandas()
+        if part.num_rows:
+            names, at = np.unique(part.column("w").to_numpy(), return_inverse=True)
+            total = np.zeros((len(names), 2 * self.k + 1))
+            np.add.at(total, at, np.array(part.column("parts").to_pylist()))
+            vectors = total[:, : self.k], total[:, self.k : -1], total[:, -1]
+            mine = _choose(self.table, names, self.classes[names].astype(np.int64), vectors, forced)
+            found = pd.concat([pd.DataFrame(dict(zip(("w", "c", "gain"), mine))), found])
+        return found
+
+    def put(self, chosen: pd.DataFrame, forced: bool = False) -> float:
+        """Moves the words, and takes that back where it doesn't raise the likelihood; what it gained."""
+        new = self.classes.copy()
+        new[chosen.w.to_numpy()] = chosen.c.to_numpy()
+        sent = self.spark.sparkContext.broadcast(new)
+        table = self.table_of(sent)
+        now = likelihood(table)
+        if now <= self.score[-1] and not forced:
+            sent.destroy()
+            return 0.0
+        self.sent.destroy()
+        gained = now - self.score[-1]
+        self.classes, self.table, self.sent = new, table, sent
+        self.score = [now] if forced else [*self.score, now]
+        return gained
+
+    def settle(self, last: int, tolerance: float = TOLERANCE) -> None:
+        """Exchanges the words before ``last`` until nothing is gained any more.
+
+        A round looks at all words; those that would move are looked at again until they gain nothing, and then all are once more.
+        """
+        share, r, only = 2, 0, None
+        while last:
+            moves = self.moves(0, last, only=only)
+            gained = 0.0
+            while len(moves) and not gained:
+                # at last the best move alone, which can only fail by rounding
+                alone = share >= len(moves)
+                chosen = moves.nlargest(1, "gain") if alone else moves[(moves.w.astype("int64") * 2654435761 // 65536 + r) % share == 0]
+                gained = self.put(chosen)
+                if not gained:
+                    if alone:
+                        break
+                    share *= 2  # too many moved at once against the same table
+            # what half of the words would have gained counts, however few were let
+            if gained * share / 2 < tolerance * abs(self.score[-1]):
+                if only is None:
                     break
-                share *= 2  # too many moved at once against the same table
-        # what half of the words would have gained counts, however few were let
-        if gained * share / 2 < TOLERANCE * abs(score[-1]):
-            break
-        share = max(2, share // 2)
-        r += 1
-    return classes, table, score
+                only = None
+            else:
+                only = np.zeros(len(self.classes), bool)
+                only[moves.w.to_numpy()] = True
+            share = max(2, share // 2)
+            r += 1
+
+
+def exchange(spark: SparkSession, both: DataFrame, rare: np.ndarray, hot: int = 0, frequent: int | None = None) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(class of each symbol, class-by-class counts, likelihood after each round that raised it).
+
+    rare: the class by length of each word, words in order of their counts. The first ``frequent`` words are exchanged while the others are in
+    those classes; then each of the others joins the class that suits it best, and all are exchanged.
+    """
+    words = len(rare)
+    frequent = words if frequent is None else frequent
+    classes = np.concatenate([np.arange(frequent) % CLASSES, CLASSES + rare[frequent:], CLASSES + np.arange(RARE + 1)]).astype(np.int16)
+    e = _Exchange(spark, both, classes, words, hot)
+    e.settle(frequent, TOLERANCE if frequent == words else FIRST_TOLERANCE)
+    if frequent < words:
+        e.put(e.moves(frequent, words, True), True)
+        e.settle(words)
+    return e.classes, e.table, e.score
+
+
+def cluster(scratch: Scratch, bigrams: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """The same for a table of bigrams (a, b, n) of symbols, each once."""
+    chunks = bigrams.mapInArrow(_given_bigrams(words, 4, 0), _CHUNK)
+    return exchange(scratch.spark, scratch.table(packed(chunks, 4), "both"), np.zeros(words, np.int64))
+
+
+def packed(chunks: DataFrame, buckets: int) -> DataFrame:
+    return chunks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_pack, "w binary, other binary, n binary")
 
 
 class Model:
@@ -401,15 +554,15 @@ def fit(spark: SparkSession, docs: DataFrame, min_share: float | None = None) ->
 
 
 def _fit(spark: SparkSession, docs: DataFrame, min_share: float | None = None, unseen: bool = False) -> tuple[Model, DataFrame]:
-    """(model, the documents as symbols): texts are split into words once to count them and once to write their symbols, never again.
+    """(model, the documents as symbols): texts are split into words once, and then only the keys of their words are read.
 
     unseen: whether the model is for other documents too, so that it must have the keys of the rare words.
     """
     scratch = Scratch(spark, "brown")
-    texts = docs.select("text")
-    unigrams = scratch.table(texts.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
-    least = MIN_COUNT if min_share is None else max(1, (unigrams.agg(F.sum("n")).first()[0] or 0) * min_share)
-    keyed = unigrams.select(F.xxhash64("word").alias("key"), "n")
+    hashes = scratch.table(docs.select("doc_id", "text").mapInArrow(_hashes, KEYS), "keys", "zstd")
+    keyed = scratch.table(hashes.select("keys").mapInArrow(_count_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "unigrams")
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    least = MIN_COUNT if min_share is None else max(1, total * min_share)
     rows = keyed.filter(F.col("n") >= least).toArrow()
     keys, counts = (rows.column(c).to_numpy() for c in ("key", "n"))
     order = np.lexsort([keys, -counts])
@@ -421,11 +574,14 @@ def _fit(spark: SparkSession, docs: DataFrame, min_share: float | None = None, u
         rare = rows.column("key").to_numpy(), place
     vocabulary = Vocabulary(keys, levels, rare)
     sent = spark.sparkContext.broadcast(vocabulary)
-    symbols = scratch.table(docs.select("doc_id", "text").mapInArrow(_encode(sent), SYMBOLS), "symbols")
-    bigrams = symbols.select("s").mapInArrow(_count_bigrams(sent), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    bigrams = scratch.table(bigrams, "bigrams")
-    classes, table, _ = cluster(scratch, bigrams, len(keys))
-    for name in ("unigrams", "bigrams", "both"):
+    symbols = scratch.table(hashes.mapInArrow(_encode(sent), SYMBOLS), "symbols", "zstd")
+    scratch.drop("keys")
+    buckets = max(1, -(-total // BUCKET))
+    hot, frequent = (int(np.searchsorted(-counts, -x, "right")) for x in (HOT, FREQUENT))
+    chunks = symbols.select("s").mapInArrow(_count_bigrams(sent, buckets, hot), _CHUNK)
+    both = scratch.table(packed(chunks, buckets), "both", "zstd")
+    classes, table, _ = exchange(spark, both, keys & 7, hot, frequent)
+    for name in ("unigrams", "both"):
         scratch.drop(name)
     return Model(vocabulary, classes, table, counts.astype(float)), symbols
 
@@ -435,7 +591,7 @@ def perplexity(spark: SparkSession, docs: DataFrame, model: Model | None = None)
     if model is None:
         model, symbols = _fit(spark, docs)
     else:
-        symbols = docs.select("doc_id", "text").mapInArrow(_encode(spark.sparkContext.broadcast(model.vocabulary)), SYMBOLS)
+        symbols = docs.select("doc_id", "text").mapInArrow(_hashes, KEYS).mapInArrow(_encode(spark.sparkContext.broadcast(model.vocabulary)), SYMBOLS)
     boundary = model.vocabulary.boundary
     model = copy(model)
     model.vocabulary = None  # not needed for texts that are symbols

@@ -30,6 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Bytes of a row group of a temporary table, which a task holds while it writes.
+ROW_GROUP = 32 << 20
+
+
 class Scratch:
     """Written tables under the shared folder: they cut lineage and survive the loss of an executor."""
 
@@ -41,7 +45,7 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+        df.write.mode("overwrite").option("compression", compression).option("parquet.block.size", ROW_GROUP).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

@@ -9,7 +9,7 @@ packing to the next island of its shard (a shuffle of the elites only). An islan
 brings nothing; a packing that needs no more bins than any packing must is left as it is. In the end the best island's packing counts.
 
 A document longer than a bin is cut into full bins and a remainder, which is packed like any other piece. The bins carry their tokens, so nothing else is
-needed to train on them.
+needed to train on them: little-endian ids of two bytes, or of four with a tokenizer of more than 65,536.
 
 Defined results: null, empty and blank texts go in no bin; a null doc_id is packed like any other; repeated rows are packed
 as often as they occur, spread over the shards; of documents of one size the one that is read first goes first; which documents share a bin depends on how the
@@ -155,19 +155,20 @@ def evolve(sizes: list[int], elites: list[Packing], capacity: int, seed: int, pa
 
 
 _PIECE = "doc_id long, piece int, start int, size int, tokens binary"
-_BIN = "bin_id string, fill int, n_docs int, doc_ids array<long>, pieces array<struct<doc_id:long,piece:int,start:int,size:int>>, tokens array<int>"
-_BIN_FIELDS = [("bin_id", pa.string()), ("fill", pa.int32()), ("n_docs", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int32()), ("size", pa.int32())]))), ("tokens", pa.list_(pa.int32()))]
+_BIN = "bin_id string, fill int, n_docs int, doc_ids array<long>, pieces array<struct<doc_id:long,piece:int,start:int,size:int>>, tokens binary"
+_BIN_FIELDS = [("bin_id", pa.string()), ("fill", pa.int32()), ("n_docs", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int32()), ("size", pa.int32())]))), ("tokens", pa.binary())]
 
 
 def _pieces(tokenizer: str, capacity: int):
     def run(batches):
         enc = encoder(tokenizer)
+        kind = "<u2" if enc.n_vocab <= 1 << 16 else "<u4"
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
+            for at in range(0, whole.num_rows, 200):
                 rows = []
-                for doc_id, text in zip(*(whole.slice(at, 500).column(c).to_pylist() for c in (0, 1))):
+                for doc_id, text in zip(*(whole.slice(at, 200).column(c).to_pylist() for c in (0, 1))):
                     if text and not text.isspace():
-                        ids = np.array(enc.encode_ordinary(text), "<u4")
+                        ids = np.array(enc.encode_ordinary(text), kind)
                         rows += [(doc_id, k, start, len(cut), cut.tobytes()) for k, start in enumerate(range(0, len(ids), capacity)) for cut in [ids[start : start + capacity]]]
                 cols = list(zip(*rows)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["doc_id", "piece", "start", "size", "tokens"])
@@ -176,17 +177,21 @@ def _pieces(tokenizer: str, capacity: int):
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, piece, start and size in tokens, tokens (four bytes each): full pieces of long documents and remainders."""
+    """doc_id, piece, start and size in tokens, tokens: full pieces of long documents and remainders."""
     return docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity), _PIECE)
 
 
+def ids_of(tokens: bytes, tokenizer: str = TOKENIZER) -> np.ndarray:
+    """The token ids of a bin."""
+    return np.frombuffer(tokens, "<u2" if encoder(tokenizer).n_vocab <= 1 << 16 else "<u4")
+
+
 def _bins(named: list[tuple[str, list[dict]]]) -> list[pa.Array]:
     """Columns of bins from the pieces of each."""
     rows = []
     for name, mine in named:
         short = [{k: p[k] for k in ("doc_id", "piece", "start", "size")} for p in mine]
-        ids = np.frombuffer(b"".join(p["tokens"] for p in mine), "<u4").astype(np.int32)
-        rows.append((name, len(ids), len(mine), [p["doc_id"] for p in mine], short, ids))
+        rows.append((name, sum(p["size"] for p in mine), len(mine), [p["doc_id"] for p in mine], short, b"".join(p["tokens"] for p in mine)))
     cols = list(zip(*rows)) if rows else [[]] * len(_BIN_FIELDS)
     return [pa.array(c, t) for c, (_, t) in zip(cols, _BIN_FIELDS)]
 
@@ -236,7 +241,7 @@ def _island(capacity: int, epoch: int, patience: int, population: int):
 def pack_documents(
     spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, shard_docs: int = SHARD_DOCS, patience: int = PATIENCE, population: int = POPULATION, tokenizer: str = TOKENIZER,
 ) -> DataFrame:
-    """Bins: bin_id, fill (tokens), n_docs, doc_ids, pieces (doc_id, piece, start and size in tokens), tokens (of the pieces, one after the other)."""
+    """Bins: bin_id, fill (tokens), n_docs, doc_ids, pieces (doc_id, piece, start and size in tokens), tokens (of the pieces, one after the other; see ``ids_of``)."""
     scratch = Scratch(spark, "packing")
     # written, so that the ids stay; tokens are read once more, when the bins are filled
     all_pieces = scratch.table(pieces(docs, capacity, tokenizer).withColumn("id", F.monotonically_increasing_id()), "pieces", "zstd")

@@ -206,28 +206,33 @@ def _columns(segs: list[dict]) -> list[pa.Array]:
     return [pa.array([x[k] for x in segs], t) for k, t in (("anchor", pa.int64()), ("content", pa.int64()), ("copies", pa.int64()), ("start", pa.int32()))]
 
 
-def _segment_tokens(batches):
-    for mine, segs, toks in _cut(batches):
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in toks])]).astype(np.int32)
-        flat = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array((np.concatenate(toks) if toks else np.empty(0, np.uint64)).view(np.int64), pa.int64()))
-        yield pa.RecordBatch.from_arrays([*mine, *_columns(segs), flat], ["doc_id", "rid", "anchor", "content", "copies", "start", "tokens"])
+_PARTS = _WANTED + ", tokens array<long>, k int, one long, two long"
 
 
-def _segment_windows(batches):
-    """A row for every window of the segments: two hashes of its words, and its place."""
+def _segment_parts(batches):
+    """The tokens of each segment or, where its hash has too many, a row for every window: its place, and two hashes of its words."""
+    names = ["doc_id", "rid", "anchor", "content", "copies", "start", "tokens", "k", "one", "two"]
     for mine, segs, toks in _cut(batches):
+        cols = [*mine, *_columns(segs)]
+        cold = np.flatnonzero([not x["hot"] for x in segs])
+        offsets = np.concatenate([[0], np.cumsum([len(toks[i]) for i in cold])]).astype(np.int32)
+        values = np.concatenate([toks[i] for i in cold]) if len(cold) else np.empty(0, np.uint64)
+        flat = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64), pa.int64()))
+        none = [pa.nulls(len(cold), t) for t in (pa.int32(), pa.int64(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(cold)) for c in cols), flat, *none], names)
         owner, place, one, two = [], [], [], []
-        for i, t in enumerate(toks):
-            raw = t.tobytes()
-            for k in range(len(t) - MIN_TOKENS + 1):
-                part = raw[8 * k : 8 * (k + MIN_TOKENS)]
-                owner.append(i)
-                place.append(k)
-                one.append(xxhash.xxh64_intdigest(part) - (1 << 63))
-                two.append(xxhash.xxh64_intdigest(part, 1) - (1 << 63))
-        at = pa.array(owner, pa.int64())
-        cols = [c.take(at) for c in (*mine, *_columns(segs))]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(place, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["doc_id", "rid", "anchor", "content", "copies", "start", "k", "one", "two"])
+        for i, (x, t) in enumerate(zip(segs, toks)):
+            if x["hot"]:
+                raw = t.tobytes()
+                for k in range(len(t) - MIN_TOKENS + 1):
+                    part = raw[8 * k : 8 * (k + MIN_TOKENS)]
+                    owner.append(i)
+                    place.append(k)
+                    one.append(xxhash.xxh64_intdigest(part) - (1 << 63))
+                    two.append(xxhash.xxh64_intdigest(part, 1) - (1 << 63))
+        if owner:
+            kinds = (pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(owner)) for c in cols), pa.nulls(len(owner), pa.list_(pa.int64())), *map(pa.array, (place, one, two), kinds)], names)
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -361,9 +366,8 @@ def _different(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return once.unionByName(scratch.table(again, "again"))
 
 
-def _hot_found(texts: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+def _hot_found(windows: DataFrame, reps: DataFrame) -> DataFrame:
     """What ``_find`` finds, for segments whose hash has too many: by counting windows."""
-    windows = scratch.table(texts.mapInArrow(_segment_windows, _WANTED + ", k int, one long, two long"), "windows")
     same = windows.groupBy("one", "two").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "rid", "start", "k")).alias("f")).filter("c > 1")
     is_first = (F.col("rid") == F.col("f.rid")) & (F.col("start") == F.col("f.start")) & (F.col("k") == F.col("f.k"))
     span = F.struct(F.col("k").alias("a"), (F.col("k") + MIN_TOKENS).alias("b"))
@@ -388,20 +392,19 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, hot_tokens: int = HO
     scratch.drop("segments")
     reps = seg.groupBy("anchor", "content").agg(F.sum("rows").alias("copies"), F.min(F.struct("doc_id", "rid", "start", "n")).alias("r"))
     reps = scratch.table(reps.select("anchor", "content", "copies", "r.*"), "reps")
-    hot = scratch.table(reps.groupBy("anchor").agg(F.sum("n").alias("size")).filter(F.col("size") > hot_tokens).select("anchor"), "hot")
-    some = hot.limit(1).count() > 0
-
-    def texts(mine: DataFrame) -> DataFrame:
-        wanted = mine.groupBy("rid").agg(F.collect_list(F.struct("anchor", "content", "copies", "start", "n")).alias("wanted"))
-        return keyed.join(wanted, "rid").select("doc_id", "rid", "text", "wanted")
-
-    tokens = texts(reps.join(hot, "anchor", "left_anti") if some else reps).mapInArrow(_segment_tokens, _WANTED + ", tokens array<long>")
-    sorted_ = tokens.repartition("anchor").sortWithinPartitions("anchor", "content").select("anchor", "content", "copies", "tokens", "doc_id", "rid", "start")
-    found = sorted_.mapInArrow(_find, f"anchor long, content long, repeated {_SPANS}, later {_SPANS}")
-    if some:
-        mine = reps.join(hot, "anchor", "left_semi")
-        found = found.unionByName(_hot_found(texts(mine), mine, scratch))
+    hot = reps.groupBy("anchor").agg((F.sum("n") > hot_tokens).alias("hot"))
+    reps = scratch.table(reps.join(hot, "anchor"), "judged")
+    scratch.drop("reps")
+    wanted = reps.groupBy("rid").agg(F.collect_list(F.struct("anchor", "content", "copies", "start", "n", "hot")).alias("wanted"))
+    texts = keyed.join(wanted, "rid").select("doc_id", "rid", "text", "wanted")
+    parts = scratch.table(texts.mapInArrow(_segment_parts, _PARTS), "parts")
+    tokens = parts.filter("k is null").select("anchor", "content", "copies", "tokens", "doc_id", "rid", "start")
+    found = tokens.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(_find, f"anchor long, content long, repeated {_SPANS}, later {_SPANS}")
+    many = reps.filter("hot")
+    if many.limit(1).count():
+        found = found.unionByName(_hot_found(parts.filter("k is not null").drop("tokens"), many))
     found = scratch.table(found, "found")
+    scratch.drop("parts")
     first = reps.select("anchor", "content", F.col("rid").alias("_rid"), F.col("start").alias("_start"))
     hits = seg.join(found.join(first, ["anchor", "content"]), ["anchor", "content"])
     is_first = (F.col("rid") == F.col("_rid")) & (F.col("start") == F.col("_start"))

@@ -69,28 +69,34 @@ def search(rows: DataFrame, query: str, columns: list[str], match: str = ALL, li
     return out if limit is None else out.limit(limit)
 
 
-def postings(rows: DataFrame, columns: list[str], key: str = "id", stemmed: bool = True) -> DataFrame:
-    """(token, key, f, len): the inverted index to be stored; distinct words are stemmed, not running text."""
-    tokens = rows.select(key, indexed(rows, columns).alias("tokens")).withColumn("len", F.size("tokens"))
-    counts = tokens.select(key, "len", F.explode("tokens").alias("token")).groupBy(key, "len", "token").agg(F.count("*").alias("f"))
+#: The token under which an index has the length of every row.
+LENGTH = ""
+
+
+def index(rows: DataFrame, columns: list[str], keys: list[str], stemmed: bool = True) -> DataFrame:
+    """(token, keys, f, len): the inverted index to be stored, with the length of every row under ``LENGTH``; distinct words are stemmed, not running text."""
+    tokens = rows.select(*keys, indexed(rows, columns).alias("tokens")).withColumn("len", F.size("tokens"))
+    counts = tokens.select(*keys, "len", F.explode("tokens").alias("token")).groupBy(*keys, "len", "token").agg(F.count("*").alias("f"))
     if stemmed:
         vocabulary = counts.select("token").distinct().withColumn("stem", stems("token"))
-        counts = counts.join(vocabulary, "token").groupBy(key, "len", F.col("stem").alias("token")).agg(F.sum("f").alias("f"))
-    return counts.select("token", key, F.col("f").cast("long").alias("f"), "len")
+        counts = counts.join(vocabulary, "token").groupBy(*keys, "len", F.col("stem").alias("token")).agg(F.sum("f").alias("f"))
+    lengths = tokens.select(F.lit(LENGTH).alias("token"), *keys, F.lit(0).cast("long").alias("f"), "len")
+    return counts.select("token", *keys, F.col("f").cast("long").alias("f"), "len").unionByName(lengths)
 
 
-def search_postings(index: DataFrame, lengths: DataFrame, query: str, match: str = ALL, limit: int | None = None, key: str = "id", stemmed: bool = True) -> DataFrame:
-    """(key, rank) from a stored index: only the postings of the query's tokens are read. lengths: (key, len) of every row."""
+def search_index(index: DataFrame, query: str, keys: list[str], match: str = ALL, limit: int | None = None, stemmed: bool = True, restrict: Column | None = None) -> DataFrame:
+    """(keys, rank) from a stored index, best first, ties by the first key: only the rows of the query's tokens and the lengths are read."""
     asked = query_words(normalise_query(query))
     asked = list(dict.fromkeys(stem(q) for q in asked)) if stemmed else asked
     mine = index.filter(F.col("token").isin(asked) if asked else F.lit(False))
-    stats = lengths.agg(F.count("*").cast("double").alias("_n"), F.avg("len").alias("_avg"))
-    df = mine.groupBy("token").agg(F.count("*").cast("double").alias("_df"))
+    stats = index.filter(F.col("token") == LENGTH).agg(F.count("*").cast("double").alias("_n"), F.avg("len").alias("_avg"))
+    df = mine.groupBy("token").agg(F.count("*").cast("double").alias("_df"))  # a row for each word asked
     f = F.col("f").cast("double")
     part = idf(F.col("_n"), F.col("_df")) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("_avg")))
-    scored = mine.join(df, "token").crossJoin(F.broadcast(stats)).groupBy(key).agg((-F.sum(part)).alias("rank"), F.count("*").alias("_t"))
+    hits = mine if restrict is None else mine.filter(restrict)
+    scored = hits.join(F.broadcast(df), "token").crossJoin(F.broadcast(stats)).groupBy(*keys).agg((-F.sum(part)).alias("rank"), F.count("*").alias("_t"))
     out = scored.filter(F.col("_t") == len(asked)) if match == ALL else scored
-    out = out.select(key, "rank").orderBy("rank", key)
+    out = out.select(*keys, "rank").orderBy("rank", keys[0])
     return out if limit is None else out.limit(limit)
 
 

@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import bert
-from corpusloom.functions.text import BARE, MARKED, WORD, basic_tokens, clean_text, normalise_query, pad_ideographs, words
+from corpusloom.functions.porter import stem
+from corpusloom.functions.text import BARE, MARKED, WORD, basic_tokens, clean_text, normalise_query, pad_ideographs
 from corpusloom.operators import chunking, fusion, lexical, paged, statistics, vectors
 from corpusloom.operators.embedding import HashingProvider, embed_column
 from corpusloom.plans import reads
 from corpusloom.plans import search as hybrid
-from corpusloom.schema import ANCHOR, describe_anchor, with_defaults
+from corpusloom.plans import workspace
+from corpusloom.plans.store import Store
+from corpusloom.schema import ANCHOR, describe_anchor
 from corpusloom.sources.reader import digest_html_column
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -228,14 +231,25 @@ def lexical_any_in_document(spark, sf_dir):
 def lexical_postings(spark, sf_dir):
     """The same ranking from an inverted index."""
     rows = document_rows(spark, sf_dir)
-    index = lexical.postings(rows, ["text"], stemmed=False)
-    lengths = rows.select("id", F.size(words(F.col("text"))).cast("double").alias("len"))
-    return lexical.search_postings(index, lengths, ASKED["any"], lexical.ANY, 20, stemmed=False).select("id", _round("rank").alias("rank"))
+    index = lexical.index(rows, ["text"], ["id"], stemmed=False)
+    return lexical.search_index(index, ASKED["any"], ["id"], lexical.ANY, 20, stemmed=False).select("id", _round("rank").alias("rank"))
 
 
-@_query("lexical_stemmed")
+def _forms_of(word: str) -> list[str]:
+    """The words that have the word's stem, by trying the endings that stemming takes off: a mapping table for the SQL."""
+    s = stem(word)
+    ends = ["", "e", "y", *[a + b for a in ("", "e", "i", s[-1], s[-1] + "e") for b in "s es ed ing er ers ings ly ness ful less able ment ments al ally ive ize ized izing ation ence ance ous ism ist".split()]]
+    return sorted({w for w in (s + x for x in ends) if stem(w) == s})
+
+
+def _stemmed_sql(asked: list[str]) -> str:
+    tokens = f"list_transform({_tokens_sql('text')}, lambda t: {' '.join(['CASE', *[f'WHEN list_contains({_forms_of(w)}, t) THEN {stem(w)!r}' for w in asked], 'ELSE t END'])})"
+    return f"WITH {_bm25_sql(DOCUMENTS_SQL, tokens, [stem(w) for w in asked], 'any', 'hits')} {_HITS}"
+
+
+@_query("lexical_stemmed", _stemmed_sql(["things", "with"]))
 def lexical_stemmed(spark, sf_dir):
-    """Tested against an FTS5 table."""
+    """Tested against an FTS5 table too."""
     return lexical.search(document_rows(spark, sf_dir), "things with", ["text"], lexical.ANY).select("id", _round("rank").alias("rank"))
 
 
@@ -395,7 +409,14 @@ def _embedding_sql(rows: str, text: str, name: str) -> str:
       {name} AS (SELECT id, parent_id, place, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM {name}_v WHERE x <> 0)"""
 
 
-def _hybrid_sql(docs: str, pieces: str, text: str, query: str, n: int, cutoff: float, within: int | None = None) -> str:
+def _fuse_sql(ranking: str, lists: int) -> str:
+    return "sum(1.0 / (60.0 + r))" if ranking == fusion.RECIPROCAL else f"sum(CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END / {lists}.0)"
+
+
+_IN_LIST = "row_number() OVER (PARTITION BY l ORDER BY score DESC, id) - 1 AS r, min(score) OVER (PARTITION BY l) AS lo, max(score) OVER (PARTITION BY l) AS hi"
+
+
+def _hybrid_sql(docs: str, pieces: str, text: str, query: str, n: int, cutoff: float, within: int | None = None, ranking: str = fusion.RECIPROCAL, explain: bool = False) -> str:
     asked = query.split()
     mine = "true" if within is None else f"parent_id = {within}"
     limit = f"(SELECT least({2 * n}, count(*)) FROM ({pieces}) WHERE {mine})"
@@ -404,19 +425,21 @@ def _hybrid_sql(docs: str, pieces: str, text: str, query: str, n: int, cutoff: f
       sem AS (SELECT * FROM (SELECT * FROM sim ORDER BY similarity DESC, id LIMIT {limit}) WHERE similarity > {cutoff}),
       {_bm25_sql(pieces, _tokens_sql(text), asked, "all" if within is None else "any", "lp", None, mine)}, lex AS (SELECT id, parent_id, -rank AS score FROM lp ORDER BY rank, id LIMIT {limit}),
       pl AS (SELECT 0 AS l, id, similarity AS score FROM sem UNION ALL SELECT 1, id, score FROM lex),
-      pr AS (SELECT id, sum(1.0 / (60.0 + r)) AS fused FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, id) - 1 AS r FROM pl) GROUP BY id),
+      pr AS (SELECT id, {_fuse_sql(ranking, 2)} AS fused FROM (SELECT *, {_IN_LIST} FROM pl) GROUP BY id),
       pk AS (SELECT id, row_number() OVER (ORDER BY round(fused, 12) DESC, id) - 1 AS g FROM pr)"""
     if within is not None:
         return head + f" SELECT g AS piece_rank, id AS piece_id FROM pk WHERE g < {n}"
+    more = ", round(dk.fused, 6) AS document_score, sem.similarity, round(lex.score, 6) AS lexical_score, round(tl.score, 6) AS title_score, (SELECT count(*) FROM sem) AS n_semantic, (SELECT count(*) FROM lex) AS n_lexical, (SELECT count(*) FROM tl) AS n_title"
+    join = "LEFT JOIN sem ON sem.id = sp.id LEFT JOIN lex ON lex.id = sp.id LEFT JOIN tl ON tl.id = dk.id"
     return (
         head
         + f""", {_bm25_sql(docs, _TITLE_TOKENS, asked, "all", "ld")}, tl AS (SELECT id, -rank AS score FROM ld ORDER BY rank, id LIMIT {limit}),
       dl AS (SELECT 0 AS l, parent_id AS id, max(similarity) AS score FROM sem GROUP BY parent_id UNION ALL SELECT 1, parent_id, max(score) FROM lex GROUP BY parent_id UNION ALL SELECT 2, id, score FROM tl),
-      dr AS (SELECT id, sum(1.0 / (60.0 + r)) AS fused FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, id) - 1 AS r FROM dl) GROUP BY id),
-      dk AS (SELECT id, row_number() OVER (ORDER BY round(fused, 12) DESC, id) - 1 AS g FROM dr),
+      dr AS (SELECT id, {_fuse_sql(ranking, 3)} AS fused FROM (SELECT *, {_IN_LIST} FROM dl) GROUP BY id),
+      dk AS (SELECT id, fused, row_number() OVER (ORDER BY round(fused, 12) DESC, id) - 1 AS g FROM dr),
       sp AS (SELECT id, parent_id FROM sem UNION SELECT id, parent_id FROM lex)
-      SELECT dk.g AS document_rank, dk.id AS document_id, sp.id AS piece_id, CASE WHEN sp.id IS NULL THEN NULL ELSE row_number() OVER (PARTITION BY dk.id ORDER BY pk.g) - 1 END AS piece_rank
-      FROM dk LEFT JOIN sp ON sp.parent_id = dk.id LEFT JOIN pk ON pk.id = sp.id WHERE dk.g < {n}"""
+      SELECT dk.g AS document_rank, dk.id AS document_id, sp.id AS piece_id, CASE WHEN sp.id IS NULL THEN NULL ELSE row_number() OVER (PARTITION BY dk.id ORDER BY pk.g) - 1 END AS piece_rank{more if explain else ""}
+      FROM dk LEFT JOIN sp ON sp.parent_id = dk.id LEFT JOIN pk ON pk.id = sp.id {join if explain else ""} WHERE dk.g < {n}"""
     )
 
 
@@ -442,10 +465,13 @@ def hybrid_search_in_document(spark, sf_dir):
     return found.select("piece_rank", "piece_id")
 
 
-@_query("hybrid_search_explained")
+@_query("hybrid_search_explained", _hybrid_sql(CONVERSATION_DOCS, CONVERSATION_PIECES, "text_content", "the and", 10, 0.2, ranking=fusion.RELATIVE, explain=True))
 def hybrid_search_explained(spark, sf_dir):
+    """By relative scores, with what led there."""
     documents, pieces = conversation_rows(spark, sf_dir)
-    return hybrid.search(documents, pieces, _embedded(pieces, "text_content"), "the and", _ask("the and"), 10, 0.2, ranking=fusion.RELATIVE, explain=True)
+    found = hybrid.search(documents, pieces, _embedded(pieces, "text_content"), "the and", _ask("the and"), 10, 0.2, fusion.RELATIVE, stemmed=False, explain=True)
+    scores = [_round(c).alias(c) for c in ("document_score", "lexical_score", "title_score")]
+    return found.select("document_rank", "document_id", "piece_id", "piece_rank", "similarity", *scores, "n_semantic", "n_lexical", "n_title")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -479,19 +505,6 @@ def sample_statistics(spark, sf_dir):
     return s.select("event_type", "n", _round("mean").alias("mean"), _round("variance", 5).alias("variance"), _round("deviation").alias("deviation"), _round("relative").alias("relative"))
 
 
-@_query(
-    "legacy_defaults",
-    "SELECT conv_id * 1000 + turn AS id, CAST(0 AS BIGINT) AS sequence_index, CAST(1 AS BIGINT) AS document_length, 'characters 0 to ' || length(text) AS anchor FROM conversations",
-)
-def legacy_defaults(spark, sf_dir):
-    """Pieces from before places were stored."""
-    _, pieces = conversation_rows(spark, sf_dir)
-    nothing = F.lit(None)
-    old = pieces.withColumns({"sequence_index": nothing.cast("int"), "document_length": nothing.cast("int"), "anchor": nothing.cast(ANCHOR)})
-    d = with_defaults(old)
-    return d.select("id", F.col("sequence_index").cast("long").alias("sequence_index"), F.col("document_length").cast("long").alias("document_length"), describe_anchor(F.col("anchor")).alias("anchor"))
-
-
 @_query("context_by_window", f"WITH p AS ({CONVERSATION_PIECES}) SELECT id, CAST(count(*) OVER (PARTITION BY parent_id ORDER BY sequence_index RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS n_around FROM p")
 def context_by_window(spark, sf_dir):
     """How many pieces stand around each, by place."""
@@ -502,14 +515,76 @@ def context_by_window(spark, sf_dir):
     return pieces.select("id", F.count("*").over(around).alias("n_around"))
 
 
-# changes, as transforms of the tables
+# the store
+
+
+def _loaded(spark: SparkSession, sf_dir: str, places: bool = True) -> Store:
+    """A store of its own with the conversations under their ids."""
+    documents, pieces = conversation_rows(spark, sf_dir)
+    old = pieces.select("id", F.col("content_type").alias("contentType"), F.col("text_content").alias("textContent"), F.lit(None).cast("binary").alias("dataContent"), F.col("parent_id").alias("parentID"), *([F.col("sequence_index").alias("sequenceIndex")] if places else []))
+    store = Store(spark, workspace.folder(spark, "store"), HashingProvider(DIMENSION), stemmed=False)
+    store.load_legacy(documents, old)
+    return store
+
+
+def _uuid(conversation: int) -> str:
+    import hashlib
+
+    return hashlib.md5(str(conversation).encode()).hexdigest()
+
+
+@_query("store_search", _hybrid_sql(CONVERSATION_DOCS, CONVERSATION_PIECES, "text_content", "the and", 10, 0.2))
+def store_search(spark, sf_dir):
+    """By the stored vectors and the stored index."""
+    return _loaded(spark, sf_dir).search("the and", 10, 0.2).select("document_rank", "document_id", "piece_id", "piece_rank")
+
+
+@_query("store_search_within", _hybrid_sql(CONVERSATION_DOCS, CONVERSATION_PIECES, "text_content", "the that with", 5, 0.05, 7))
+def store_search_within(spark, sf_dir):
+    return _loaded(spark, sf_dir).search_within(_uuid(7), "the that with", 5, 0.05).select("piece_rank", "piece_id")
+
+
+_AFTER = f"SELECT id, uuid, title, description FROM ({CONVERSATION_DOCS}) WHERE id <> 4"
+
+
+@_query("store_search_after_changes", _hybrid_sql(f"{_AFTER} UNION ALL SELECT 4, '', 'conversation 4', 'the one and only'", f"SELECT id, parent_id, text_content, sequence_index FROM ({CONVERSATION_PIECES}) WHERE parent_id NOT IN (4, 6) UNION ALL SELECT (SELECT max(id) + 1 FROM ({CONVERSATION_PIECES})), 4, 'the first and the last', 0", "text_content", "the and", 10, 0.2).replace(_AFTER, _AFTER + " AND id <> 6"))
+def store_search_after_changes(spark, sf_dir):
+    """The index and the vectors follow a change and a deletion."""
+    store = _loaded(spark, sf_dir)
+    store.update_document(_uuid(4), [{"content_type": 0, "text_content": "the first and the last", "sequence_index": 0, "document_length": 1}], description="the one and only")
+    store.delete_document(_uuid(6))
+    return store.search("the and", 10, 0.2).select("document_rank", "document_id", "piece_id", "piece_rank")
+
+
+@_query(
+    "legacy_defaults",
+    "SELECT conv_id * 1000 + turn AS id, CAST(0 AS BIGINT) AS sequence_index, CAST(1 AS BIGINT) AS document_length, 'characters 0 to ' || length(text) AS anchor FROM conversations",
+)
+def legacy_defaults(spark, sf_dir):
+    """Pieces from before places were stored."""
+    d = _loaded(spark, sf_dir, places=False).pieces
+    return d.select("id", F.col("sequence_index").cast("long").alias("sequence_index"), F.col("document_length").cast("long").alias("document_length"), describe_anchor(F.col("anchor")).alias("anchor"))
+
+
+@_query(
+    "create_documents",
+    f"""WITH d AS (SELECT row_number() OVER (ORDER BY uuid) AS id, id AS old FROM ({CONVERSATION_DOCS}))
+    SELECT row_number() OVER (ORDER BY d.id, p.sequence_index) AS id, d.id AS parent_id, p.text_content, CAST(p.sequence_index AS BIGINT) AS sequence_index FROM ({CONVERSATION_PIECES}) p JOIN d ON d.old = p.parent_id""",
+)
+def create_documents(spark, sf_dir):
+    """Documents are numbered by uuid, pieces by document and place."""
+    documents, pieces = conversation_rows(spark, sf_dir)
+    contents = pieces.join(documents.select(F.col("id").alias("parent_id"), "uuid"), "parent_id").select("uuid", "content_type", "text_content", F.lit(None).cast("binary").alias("data_content"), "sequence_index", F.lit(1).alias("document_length"), F.lit(None).cast(ANCHOR).alias("anchor"))
+    store = Store(spark, workspace.folder(spark, "store"), HashingProvider(DIMENSION), stemmed=False)
+    store.create_documents(documents, contents)
+    return _shown(store.pieces)
 
 
 @_query("delete_document", f"WITH p AS ({CONVERSATION_PIECES}) SELECT id, parent_id, text_content, CAST(sequence_index AS BIGINT) AS sequence_index FROM p WHERE parent_id <> 4")
 def delete_document(spark, sf_dir):
-    documents, pieces = conversation_rows(spark, sf_dir)
-    gone = documents.filter(F.col("title") == "conversation 4").select(F.col("id").alias("parent_id"))
-    return _shown(pieces.join(gone, "parent_id", "left_anti"))
+    store = _loaded(spark, sf_dir)
+    store.delete_document(_uuid(4))
+    return _shown(store.pieces)
 
 
 @_query(
@@ -518,15 +593,14 @@ def delete_document(spark, sf_dir):
 )
 def update_document(spark, sf_dir):
     """The document keeps its id, its pieces are replaced under new ids."""
-    documents, pieces = conversation_rows(spark, sf_dir)
-    one = documents.filter(F.col("title") == "conversation 4").select(F.col("id").alias("parent_id"))
-    new = spark.createDataFrame([(0, "new first"), (1, "new second")], "sequence_index int, text_content string").crossJoin(F.broadcast(one)).crossJoin(F.broadcast(pieces.agg(F.max("id").alias("m"))))
-    new = new.select((F.col("m") + 1 + F.col("sequence_index")).alias("id"), "parent_id", "text_content", "sequence_index")
-    return _shown(pieces.join(one, "parent_id", "left_anti")).unionByName(_shown(new))
+    store = _loaded(spark, sf_dir)
+    store.update_document(_uuid(4), [{"content_type": 0, "text_content": f"new {x}", "sequence_index": i, "document_length": 2} for i, x in enumerate(("first", "second"))])
+    return _shown(store.pieces)
 
 
 @_query("reembed", f"WITH {_embedding_sql(CONVERSATION_PIECES, 'text_content', 'e')} SELECT id AS piece_id, CAST(place AS BIGINT) AS place, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 5) AS x FROM e")
 def reembed(spark, sf_dir):
-    _, pieces = conversation_rows(spark, sf_dir)
-    long = _embedded(pieces, "text_content").select("piece_id", F.posexplode("embedding").alias("place", "x")).filter("x <> 0")
+    store = _loaded(spark, sf_dir)
+    store.re_embed()
+    long = store.embeddings.select("piece_id", F.posexplode("embedding").alias("place", "x")).filter("x <> 0")
     return long.select("piece_id", F.col("place").cast("long").alias("place"), _round(F.col("x").cast("double"), 5).alias("x"))

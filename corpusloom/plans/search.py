@@ -40,21 +40,26 @@ def _of(candidates: DataFrame, kind: str, key: str = "id") -> DataFrame:
 
 def search(
     documents: DataFrame, pieces: DataFrame, embeddings: DataFrame, query: str, query_vector, n_items: int = 10, cutoff: float = CUTOFF, ranking: str = fusion.RECIPROCAL,
-    stemmed: bool = True, explain: bool = False, stored_unit: bool = False, index_ids: bool = False,
+    stemmed: bool = True, explain: bool = False, stored_unit: bool = False, index_ids: bool = False, indexes: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """The n best documents with their surfaced pieces: document_rank, document_id, title, description, piece_rank, piece_id, text_content.
 
     A document found by its title or description alone has one row without a piece. With ``explain`` the scores that led there are kept.
+    ``indexes``: stored ones of the pieces (id, parent_id) and of titles and descriptions (id), in place of a scan of the texts.
     """
     _check(n_items)
-    count = pieces.count()
+    count = (pieces if indexes is None else indexes[0].filter(F.col("token") == lexical.LENGTH)).count()
     if not count:
         raise NoDocuments("there are no pieces to search")
     limit = int(clamp(2 * n_items, 0, count))
     texts = pieces.select("id", "parent_id", "text_content")
     near = vectors.above(vectors.topk(embeddings.select("piece_id", "parent_id", "embedding"), query_vector, limit, stored_unit=stored_unit), cutoff)
-    in_pieces = lexical.search(texts, query, ["text_content"], lexical.ALL, limit, stemmed=stemmed, index_ids=["id", "parent_id"] if index_ids else [])
-    in_titles = lexical.search(documents.select("id", "title", "description"), query, ["title", "description"], lexical.ALL, limit, stemmed=stemmed, index_ids=["id"] if index_ids else [])
+    if indexes is None:
+        in_pieces = lexical.search(texts, query, ["text_content"], lexical.ALL, limit, stemmed=stemmed, index_ids=["id", "parent_id"] if index_ids else [])
+        in_titles = lexical.search(documents.select("id", "title", "description"), query, ["title", "description"], lexical.ALL, limit, stemmed=stemmed, index_ids=["id"] if index_ids else [])
+    else:
+        in_pieces = lexical.search_index(indexes[0], query, ["id", "parent_id"], lexical.ALL, limit, stemmed)
+        in_titles = lexical.search_index(indexes[1], query, ["id"], lexical.ALL, limit, stemmed)
     candidates = _taken([_hits(near, "semantic", "piece_id", "parent_id", F.col("similarity")), _hits(in_pieces, "lexical", "id", "parent_id", -F.col("rank")), _hits(in_titles, "title", "id", None, -F.col("rank"))])
     piece_rank = fusion.with_rank(fusion.fuse([_of(candidates, "semantic"), _of(candidates, "lexical")], ranking)).select(F.col("id").alias("piece_id"), F.col("rank0").alias("_global"))
     signals = [_of(candidates, "semantic", "parent_id"), _of(candidates, "lexical", "parent_id"), _of(candidates, "title")]
@@ -79,7 +84,7 @@ def search(
 
 def search_within(
     pieces: DataFrame, embeddings: DataFrame, document_id: int, query: str, query_vector, n_items: int = 10, cutoff: float = CUTOFF, ranking: str = fusion.RECIPROCAL,
-    stemmed: bool = True, explain: bool = False, stored_unit: bool = False,
+    stemmed: bool = True, explain: bool = False, stored_unit: bool = False, index: DataFrame | None = None,
 ) -> DataFrame:
     """The n best pieces of one document: piece_rank, piece_id, text_content. Any token of the query may match; statistics are the corpus's."""
     _check(n_items)
@@ -89,7 +94,11 @@ def search_within(
     limit = int(clamp(2 * n_items, 0, count))
     mine = embeddings.filter(F.col("parent_id") == document_id).select("piece_id", "parent_id", "embedding")
     near = vectors.above(vectors.topk(mine, query_vector, limit, stored_unit=stored_unit), cutoff)
-    hits = lexical.search(pieces.select("id", "parent_id", "text_content"), query, ["text_content"], lexical.ANY, limit, stemmed=stemmed, restrict=F.col("parent_id") == document_id)
+    mine = F.col("parent_id") == document_id
+    if index is None:
+        hits = lexical.search(pieces.select("id", "parent_id", "text_content"), query, ["text_content"], lexical.ANY, limit, stemmed=stemmed, restrict=mine)
+    else:
+        hits = lexical.search_index(index, query, ["id", "parent_id"], lexical.ANY, limit, stemmed, restrict=mine)
     candidates = _taken([_hits(near, "semantic", "piece_id", "parent_id", F.col("similarity")), _hits(hits, "lexical", "id", "parent_id", -F.col("rank"))])
     ranked = fusion.with_rank(fusion.fuse([_of(candidates, "semantic"), _of(candidates, "lexical")], ranking)).filter(F.col("rank0") < n_items)
     ranked = ranked.select(F.col("id").alias("piece_id"), F.col("rank0").cast("long").alias("piece_rank"), "fused")

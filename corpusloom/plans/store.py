@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import threading
+import time
 import uuid as uuids
 from collections.abc import Iterable
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.errors import DocumentNotFound, DuplicateDocument, NoDocuments
-from corpusloom.operators import fusion
+from corpusloom.operators import fusion, lexical
 from corpusloom.operators.embedding import Provider, embed_column
 from corpusloom.operators.vectors import check_dimension, normalised
 from corpusloom.plans import reads
@@ -25,15 +26,22 @@ from corpusloom.plans.keyed import KeyedExecutor
 from corpusloom.schema import CONTENTS, DOCUMENTS, EMBEDDINGS, PIECES, schema, valid_pieces, with_defaults
 
 CONTEXT_SIZE = 512
-TABLES = {"documents": DOCUMENTS, "pieces": PIECES, "embeddings": EMBEDDINGS, "dead_documents": "id long", "dead_pieces": "id long"}
-_KEY = {"documents": "id", "pieces": "id", "embeddings": "piece_id"}
-_TOMBS = {"documents": "dead_documents", "pieces": "dead_pieces", "embeddings": "dead_pieces"}
+_INDEX = "f long, len int"
+TABLES = {
+    "documents": DOCUMENTS, "pieces": PIECES, "embeddings": EMBEDDINGS, "postings": f"token string, id long, parent_id long, {_INDEX}", "title_postings": f"token string, id long, {_INDEX}",
+    "dead_documents": "id long", "dead_pieces": "id long",
+}
+_KEY = {"documents": "id", "pieces": "id", "embeddings": "piece_id", "postings": "id", "title_postings": "id"}
+_TOMBS = {"documents": "dead_documents", "title_postings": "dead_documents", "pieces": "dead_pieces", "embeddings": "dead_pieces", "postings": "dead_pieces"}
 _KEEP = 5  # manifests
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, provider: Provider):
-        """Opens the store in a folder, or makes one; opening again changes nothing."""
+    def __init__(self, spark: SparkSession, path: str, provider: Provider, stemmed: bool = True):
+        """Opens the store in a folder, or makes one; opening again changes nothing, but for a store from before there was an index, which gets one.
+
+        stemmed: whether the index has stems; said when the store is made.
+        """
         self.spark, self.path, self.provider = spark, path.rstrip("/"), provider
         self._commit_lock = threading.RLock()
         self._keyed = KeyedExecutor()
@@ -42,7 +50,9 @@ class Store:
         self._fs = hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._Path(f"{self.path}/manifests"))
         if self._version() == 0:
-            self._write_manifest({"version": 1, "next_document": 1, "next_piece": 1, "batches": {t: [] for t in TABLES}})
+            self._write_manifest({"version": 1, "next_document": 1, "next_piece": 1, "stemmed": stemmed, "batches": {t: [] for t in TABLES}})
+        if "stemmed" not in self._manifest():
+            self.index_again(stemmed)
 
     # manifest
 
@@ -75,14 +85,17 @@ class Store:
 
     def _append(self, m: dict, table: str, rows: DataFrame, batch: int) -> None:
         folder = f"{table}/b{batch:012d}-{uuids.uuid4().hex[:8]}"
-        rows.select(*schema(TABLES[table]).fieldNames()).withColumn("batch", F.lit(batch).cast("long")).write.parquet(f"{self.path}/{folder}")
+        rows = rows.select(*schema(TABLES[table]).fieldNames()).withColumn("batch", F.lit(batch).cast("long"))
+        if table.endswith("postings"):  # by token, so that a search reads the groups of rows that have its tokens
+            rows = rows.sortWithinPartitions("token")
+        rows.write.parquet(f"{self.path}/{folder}")
         m["batches"][table].append(folder)
 
     # tables
 
     def _raw(self, table: str, m: dict) -> DataFrame:
         kind = schema(TABLES[table] + ", batch long")
-        folders = [f"{self.path}/{f}" for f in m["batches"][table]]
+        folders = [f"{self.path}/{f}" for f in m["batches"].get(table, [])]
         return self.spark.read.schema(kind).parquet(*folders) if folders else self.spark.createDataFrame([], kind)
 
     def table(self, name: str, m: dict | None = None) -> DataFrame:
@@ -90,7 +103,7 @@ class Store:
         m = m or self._manifest()
         rows = self._raw(name, m)
         tombs = _TOMBS.get(name)
-        if tombs and m["batches"][tombs]:
+        if tombs and m["batches"].get(tombs):
             dead = self._raw(tombs, m).groupBy(F.col("id").alias("_dead")).agg(F.max("batch").alias("_until"))
             rows = rows.join(dead, F.col(_KEY[name]) == F.col("_dead"), "left").filter(F.col("_until").isNull() | (F.col("batch") >= F.col("_until")))
         return rows.select(*schema(TABLES[name]).fieldNames())
@@ -109,11 +122,37 @@ class Store:
 
     # writes
 
-    def _numbered(self, rows: DataFrame, start: int, *order: str) -> DataFrame:
-        """With ids from start on in that order; no task sees more than a partition. rows must be written, so that it is read the same again."""
-        staged = f"{self.path}/staged/{uuids.uuid4().hex}"
-        rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(staged)
-        back = self.spark.read.parquet(staged)
+    def _stage(self, mine: list[str], rows: DataFrame) -> DataFrame:
+        """The rows written aside, in a folder that is noted among one's own."""
+        mine.append(f"{self.path}/staged/{uuids.uuid4().hex}")
+        rows.write.parquet(mine[-1])
+        return self.spark.read.schema(rows.schema).parquet(mine[-1])
+
+    def _unstage(self, mine: list[str]) -> None:
+        for folder in mine:
+            self._fs.delete(self._Path(folder), True)
+
+    def _indexed(self, m: dict, pieces: DataFrame | None, documents: DataFrame | None, batch: int) -> None:
+        """The index rows of new pieces and documents."""
+        if pieces is not None:
+            self._append(m, "postings", lexical.index(pieces, ["text_content"], ["id", "parent_id"], m["stemmed"]), batch)
+        if documents is not None:
+            self._append(m, "title_postings", lexical.index(documents, ["title", "description"], ["id"], m["stemmed"]), batch)
+
+    def index_again(self, stemmed: bool = True) -> None:
+        """A new index of all pieces and documents."""
+        with self._commit_lock:
+            m = self._manifest()
+            batch = m["version"] + 1
+            m["stemmed"] = stemmed
+            m["batches"] |= {"postings": [], "title_postings": []}
+            self._indexed(m, self.table("pieces", m), self.table("documents", m), batch)
+            self._write_manifest(m | {"version": batch})
+
+    def _numbered(self, rows: DataFrame, start: int, mine: list[str], *order: str) -> DataFrame:
+        """With ids from start on in that order; no task sees more than a partition. What rows come from is worked out once."""
+        rows = self._stage(mine, rows)  # before the range is sampled
+        back = self._stage(mine, rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
         before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
         offsets = back.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
@@ -133,19 +172,21 @@ class Store:
                 taken = new.groupBy(key).count().filter("count > 1").select(key).unionByName(new.select(key).join(self.table("documents", m).select(key), key, "left_semi"))
                 if taken.limit(1).count():
                     raise DuplicateDocument(f"a {key} is taken: {taken.first()[0]}")
-            numbered = self._numbered(new, m["next_document"], "uuid")
+            mine: list[str] = []
+            numbered = self._numbered(new, m["next_document"], mine, "uuid")
             batch = m["version"] + 1
             self._append(m, "documents", numbered, batch)
             written = self.spark.read.parquet(f"{self.path}/{m['batches']['documents'][-1]}")
             m["next_document"] += written.count()
             with_parent = contents.join(written.select("uuid", F.col("id").alias("parent_id")), "uuid")
-            pieces = self._numbered(valid_pieces(with_parent), m["next_piece"], "parent_id", "sequence_index")
+            pieces = self._numbered(valid_pieces(with_parent), m["next_piece"], mine, "parent_id", "sequence_index")
             self._append(m, "pieces", pieces, batch)
             stored = self.spark.read.parquet(f"{self.path}/{m['batches']['pieces'][-1]}")
             m["next_piece"] += stored.count()
             self._append(m, "embeddings", self._vectors(stored), batch)
+            self._indexed(m, stored, written, batch)
             self._write_manifest(m | {"version": batch})
-            self._fs.delete(self._Path(f"{self.path}/staged"), True)
+            self._unstage(mine)
 
     def _contents(self, uuid: str, contents: Iterable[dict]) -> DataFrame:
         names = schema(CONTENTS).fieldNames()
@@ -167,15 +208,18 @@ class Store:
             batch = m["version"] + 1
             dead = self.table("pieces", m).filter(F.col("parent_id") == old.id).select("id")
             self._append(m, "dead_pieces", dead, batch)
-            pieces = self._numbered(valid_pieces(contents.withColumn("parent_id", F.lit(old.id).cast("long"))), m["next_piece"], "parent_id", "sequence_index")
+            mine: list[str] = []
+            pieces = self._numbered(valid_pieces(contents.withColumn("parent_id", F.lit(old.id).cast("long"))), m["next_piece"], mine, "parent_id", "sequence_index")
             self._append(m, "dead_documents", self.spark.createDataFrame([(old.id,)], "id long"), batch)
-            self._append(m, "documents", self.spark.createDataFrame([(old.id, uuid, title, old.description if description is None else description)], DOCUMENTS), batch)
+            new = self.spark.createDataFrame([(old.id, uuid, title, old.description if description is None else description)], DOCUMENTS)
+            self._append(m, "documents", new, batch)
             self._append(m, "pieces", pieces, batch)
             stored = self.spark.read.parquet(f"{self.path}/{m['batches']['pieces'][-1]}")
             m["next_piece"] += stored.count()
             self._append(m, "embeddings", self._vectors(stored), batch)
+            self._indexed(m, stored, new, batch)
             self._write_manifest(m | {"version": batch})
-            self._fs.delete(self._Path(f"{self.path}/staged"), True)
+            self._unstage(mine)
 
     def update_document(self, uuid: str, contents: Iterable[dict], title: str | None = None, description: str | None = None) -> None:
         """The document keeps its id; its pieces are new ones."""
@@ -218,15 +262,16 @@ class Store:
                 self._append(new, t, self.table(t, m), batch)
             self._write_manifest(new)
 
-    def vacuum(self) -> None:
-        """Deletes folders that the latest manifest doesn't name."""
+    def vacuum(self, hours: float = 24.0) -> None:
+        """Deletes folders that the latest manifest doesn't name and that are older than so many hours: younger ones may be those of a writer at work."""
         with self._commit_lock:
             named = {f for b in self._manifest()["batches"].values() for f in b}
-            for t in TABLES:
+            before = (time.time() - hours * 3600) * 1000
+            for t in [*TABLES, "staged"]:
                 folder = self._Path(f"{self.path}/{t}")
                 if self._fs.exists(folder):
                     for x in self._fs.listStatus(folder):
-                        if f"{t}/{x.getPath().getName()}" not in named:
+                        if f"{t}/{x.getPath().getName()}" not in named and x.getModificationTime() < before:
                             self._fs.delete(x.getPath(), True)
 
     def load_legacy(self, documents: DataFrame, pieces: DataFrame) -> None:
@@ -246,6 +291,7 @@ class Store:
             for key, table in (("next_document", "documents"), ("next_piece", "pieces")):
                 m[key] = (self.table(table, m).agg(F.max("id")).first()[0] or 0) + 1
             self._append(m, "embeddings", self._vectors(stored), batch)
+            self._indexed(m, stored, self.table("documents", m), batch)
             self._write_manifest(m | {"version": batch})
 
     # reads
@@ -275,14 +321,14 @@ class Store:
 
     def search(self, query: str, n_items: int = 10, cutoff: float = hybrid.CUTOFF, ranking: str = fusion.RECIPROCAL, explain: bool = False) -> DataFrame:
         m = self._manifest()
-        return hybrid.search(self.table("documents", m), self.table("pieces", m), self.table("embeddings", m), query, self._query_vector(query), n_items, cutoff, ranking, explain=explain, stored_unit=True)
+        return hybrid.search(self.table("documents", m), self.table("pieces", m), self.table("embeddings", m), query, self._query_vector(query), n_items, cutoff, ranking, m["stemmed"], explain, True, indexes=(self.table("postings", m), self.table("title_postings", m)))
 
     def search_within(self, uuid: str, query: str, n_items: int = 10, cutoff: float = hybrid.CUTOFF, ranking: str = fusion.RECIPROCAL, explain: bool = False) -> DataFrame:
         m = self._manifest()
         one = self.table("documents", m).filter(F.col("uuid") == uuid).select("id").first()
         if one is None:
             raise NoDocuments(uuid)
-        return hybrid.search_within(self.table("pieces", m), self.table("embeddings", m), one.id, query, self._query_vector(query), n_items, cutoff, ranking, explain=explain, stored_unit=True)
+        return hybrid.search_within(self.table("pieces", m), self.table("embeddings", m), one.id, query, self._query_vector(query), n_items, cutoff, ranking, m["stemmed"], explain, True, index=self.table("postings", m))
 
     def _query_vector(self, query: str) -> list[float]:
         from corpusloom.functions.text import normalise_query

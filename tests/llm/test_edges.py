@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from corpusloom.llm import decontaminate, token_files
+from corpusloom.llm import decontaminate, packing, token_files
 from corpusloom.llm.queries import QUERIES
 
 
@@ -19,7 +19,7 @@ def whole_texts(bins, enc):
     for b in bins:
         at = 0
         for p in b["pieces"]:
-            parts.append((p["doc_id"], p["start"], b["tokens"][at : at + p["size"]]))
+            parts.append((p["doc_id"], p["start"], packing.ids_of(b["tokens"])[at : at + p["size"]].tolist()))
             at += p["size"]
     cut = {d for d, start, _ in parts if start}
     out = Counter((d, enc.decode(t)) for d, _, t in parts if d not in cut)
@@ -66,7 +66,7 @@ def test_repeats(found):
 def test_packing_holds_every_token_once(found, odd_documents):
     enc = token_files.encoder()
     texts = Counter((r.doc_id, r.text) for r in odd_documents.collect() if r.text and not r.text.isspace())
-    assert all(r["fill"] == len(r["tokens"]) <= 4096 for r in found["op3_best_fit_packing"])
+    assert all(r["fill"] == len(packing.ids_of(r["tokens"])) <= 4096 for r in found["op3_best_fit_packing"])
     assert whole_texts(found["op3_best_fit_packing"], enc) == texts
 
 
