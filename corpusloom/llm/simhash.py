@@ -9,7 +9,8 @@ Hamming distance, but only edges that span what they connect are passed on, so t
 and not its pairs. Connected components of those edges are the groups, and the smallest doc_id of a group is kept.
 
 Blocks with the same members are looked at once. One of more than ``HOT`` members is held by no task: its members are compared with a few
-pivots, and those near none with all others, in parts of bounded size.
+pivots, those near none with all others, and those near pivots that nothing links with all of the other side that the triangle inequality leaves, in parts of
+bounded size. Either way a block connects what all its pairs within the limit connect.
 
 Defined results: null, empty and blank texts have no fingerprint and are never grouped; short texts follow the same rule as long ones, so a text of
 one word is a near copy only of texts of that word; repeated rows (same doc_id and text) count as one document of
@@ -222,30 +223,83 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 5
     return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
+_PIVOTED = "key long, id long, fp binary, near long, close long, to array<long>"
+
+
 def _near_pivots(batches):
-    """From members of hot blocks with the block's pivots: edges to the pivots within the limit."""
+    """Members of hot blocks: the block's pivots within the limit and within twice the limit, a bit each, and the ids of the first."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2000):
+            b = whole.slice(at, 2000)
+            fps = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            pivots = b.column("pivots")
+            each = pivots.flatten()
+            ids, pivot_fps = each.field("id").to_numpy(), np.frombuffer(b"".join(each.field("fp").to_pylist()), np.uint8).reshape(len(each), -1)
+            size = pivots.value_lengths().to_numpy()
+            first = np.cumsum(size) - size
+            near, close = np.zeros((2, b.num_rows), np.int64)
+            row, to = [], []
+            for k in range(size.max(initial=0)):
+                has = np.flatnonzero(size > k)
+                d = np.bitwise_count(np.bitwise_xor(fps[has], pivot_fps[first[has] + k])).sum(axis=1, dtype=np.int64)
+                near[has] |= (d <= MAX_DISTANCE).astype(np.int64) << k
+                close[has] |= (d <= 2 * MAX_DISTANCE).astype(np.int64) << k
+                row.append(has[d <= MAX_DISTANCE])
+                to.append(ids[first[row[-1]] + k])
+            row, to = np.concatenate(row), np.concatenate(to)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(to[np.argsort(row, kind="stable")], pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), b.column("fp"), pa.array(near), pa.array(close), lists], ["key", "id", "fp", "near", "close", "to"])
+
+
+def pivot_groups(masks: list[int]) -> list[int]:
+    """Sets of pivots (a bit each) joined where they share one."""
+    groups: list[int] = []
+    for m in masks:
+        apart = []
+        for g in groups:
+            if g & m:
+                m |= g
+            else:
+                apart.append(g)
+        groups = [*apart, m]
+    return groups
+
+
+def _grouped(batches):
     for b in batches:
-        fps, pivots = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("fp", "pivot_fp"))
-        near = np.bitwise_count(np.bitwise_xor(fps, pivots)).sum(axis=1, dtype=np.int64) <= MAX_DISTANCE
-        yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(near)) for c in ("key", "id", "pivot")], ["key", "id", "pivot"])
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([pivot_groups(m) for m in b.column("masks").to_pylist()], pa.list_(pa.int64()))], ["key", "groups"])
 
 
-def _hot_edges(members: DataFrame, sizes: DataFrame, scratch: Scratch, hot: int, pivots: int) -> DataFrame:
-    """Edges of blocks of more than ``hot`` members. members: key, id, fp; sizes: key, n."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(pivots)).alias("slot")
-    some = members.groupBy("key", slot).agg(F.min(F.struct(F.xxhash64(F.lit(7), "id").alias("h"), "id", "fp")).alias("p"))
-    some = scratch.table(some.select("key", F.col("p.id").alias("pivot"), F.col("p.fp").alias("pivot_fp")), "pivots")
-    near = scratch.table(members.join(some, "key").mapInArrow(_near_pivots, "key long, id long, pivot long"), "near")
-    far = scratch.table(members.join(near.select("key", "id").distinct(), ["key", "id"], "left_anti"), "far")
-    edges = near.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    # those near no pivot meet all members of their block, part by part
-    parts = sizes.join(far.groupBy("key").agg(F.count("*").alias("r")), "key").select("key", F.ceil(F.col("n") / hot).alias("i"), F.ceil(F.col("r") / hot).alias("j"))
+def _across(left: DataFrame, right: DataFrame, by: list[str], hot: int) -> DataFrame:
+    """Edges of all rows of the one with all rows of the other that have the same ``by``, in parts of bounded size."""
+    count = lambda rows, name: rows.groupBy(*by).agg(F.ceil(F.count("*") / hot).alias(name))
+    parts = count(left, "i").join(count(right, "j"), by)
     part = lambda name: F.pmod(F.xxhash64("id"), F.col(name))
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    rest = members.join(parts, "key").select("key", "id", "fp", part("i").alias("x"), every("j").alias("y"))
-    mine = far.join(parts, "key").select("key", "id", "fp", every("i").alias("x"), part("j").alias("y"))
-    both = rest.unionByName(mine).select(F.xxhash64("key", "x", "y").alias("key"), "id", "fp").distinct()
-    return edges.unionByName(_block_edges(both)).filter("a <> b")
+    rows = left.join(parts, by).select(*by, "id", "fp", part("i").alias("x"), every("j").alias("y"))
+    others = right.join(parts, by).select(*by, "id", "fp", every("i").alias("x"), part("j").alias("y"))
+    return _block_edges(rows.unionByName(others).select(F.xxhash64(*by, "x", "y").alias("key"), "id", "fp").distinct())
+
+
+def _hot_edges(members: DataFrame, scratch: Scratch, hot: int, pivots: int) -> DataFrame:
+    """Edges that span what all pairs within the limit span, of blocks of more than ``hot`` members. members: key, id, fp.
+
+    Members near a pivot are linked to it, and pivots that share one are a group. A member of another group can be within the limit of one near a pivot only if
+    it is itself within twice the limit of that pivot, so all such members of either group meet. Those near no pivot meet the whole block.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(pivots)).alias("slot")
+    some = members.groupBy("key", slot).agg(F.min(F.struct(F.xxhash64(F.lit(7), "id").alias("h"), "id", "fp")).alias("p"))
+    some = scratch.table(some.groupBy("key").agg(F.collect_list(F.struct("p.id", "p.fp")).alias("pivots")), "pivots")
+    told = scratch.table(members.join(some, "key").mapInArrow(_near_pivots, _PIVOTED), "told")
+    edges = told.select(F.explode("to").alias("a"), F.col("id").alias("b"))
+    near, far = told.filter("near <> 0"), told.filter("near = 0")
+    groups = near.groupBy("key").agg(F.collect_set("near").alias("masks")).mapInArrow(_grouped, "key long, groups array<long>").filter("size(groups) > 1")
+    sides = near.join(scratch.table(groups, "groups"), "key").withColumn("mine", F.expr("array_position(transform(groups, g -> near & g <> 0), true) - 1"))
+    sides = sides.select("key", "id", "fp", "mine", "close", F.posexplode("groups").alias("other", "g")).filter("other <> mine and close & g <> 0")
+    sides = scratch.table(sides.select("key", "id", "fp", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).alias("upper")), "sides")
+    edges = edges.unionByName(_across(sides.filter("not upper"), sides.filter("upper"), ["key", "lo", "hi"], hot))
+    return edges.unionByName(_across(members, far, ["key"], hot)).filter("a <> b")
 
 
 def _block_edges(members: DataFrame) -> DataFrame:
@@ -269,7 +323,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, hot: int = HOT, pivots
     edges = _block_edges(members(F.col("n") <= hot))
     large = blocks.filter(F.col("n") > hot)
     if large.limit(1).count():
-        edges = edges.unionByName(_hot_edges(scratch.table(members(F.col("n") > hot), "hot"), large, scratch, hot, pivots))
+        edges = edges.unionByName(_hot_edges(scratch.table(members(F.col("n") > hot), "hot"), scratch, hot, pivots))
     edges = scratch.table(edges.distinct(), "edges")
     for name in ("hits", "blocks"):
         scratch.drop(name)
