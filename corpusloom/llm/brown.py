@@ -68,21 +68,34 @@ def keys_of(words: list[str]) -> np.ndarray:
     return (h & ~np.uint64(7) | np.fromiter(map(rare_class, words), np.uint64, len(words))).view(np.int64)
 
 
+def _joined_bytes(values: np.ndarray, ends) -> pa.Array:
+    """Numbers of all rows in a row, as a binary value a row: the JVM copies those at once, and arrays number by number."""
+    ends = np.asarray(ends, np.int64) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _numbers(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers of all rows in a row, how many each row has) of such a column."""
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(0, np.int64)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = memoryview(column.buffers()[2] or b"")[ends[0] : ends[-1]]
+    return np.frombuffer(data, kind), np.diff(ends).astype(np.int64) // np.dtype(kind).itemsize
+
+
 def _hashes(batches):
     """Texts as the keys of their words."""
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
             b = whole.slice(at, 1000)
-            known: dict[str, int] = {}
-            number = known.setdefault
-            ids: list[int] = []
+            words: list[str] = []
             ends = [0]
             for t in b.column(1).to_pylist():
-                if t:
-                    ids += [number(w, len(known)) for w in _WORD.findall(t.lower())]
-                ends.append(len(ids))
-            keys = keys_of(list(known))[np.array(ids, np.int64)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))], ["doc_id", "keys"])
+                words += words_of(t)
+                ends.append(len(words))
+            known = {w: i for i, w in enumerate(dict.fromkeys(words))}
+            keys = keys_of(list(known))[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
+            yield pa.RecordBatch.from_arrays([b.column(0), _joined_bytes(keys, ends)], ["doc_id", "keys"])
 
 
 def _totals(code: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +116,7 @@ def _count_keys(batches):
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
     for b in batches:
-        held.append(np.unique(b.column("keys").flatten().to_numpy(), return_counts=True))
+        held.append(np.unique(_numbers(b.column("keys"), np.int64)[0], return_counts=True))
         size += len(held[-1][0])
         if size > 3_000_000:
             yield flush()
@@ -169,26 +182,24 @@ def _encode(vocabulary):
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
-                size = b.column(1).value_lengths().to_numpy().astype(np.int64)
-                s = v.between(b.column(1).flatten().to_numpy(), size)
-                ends = np.concatenate([[0], np.cumsum(size + (size > 0))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), lists], ["doc_id", "n", "s"])
+                keys, size = _numbers(b.column(1), np.int64)
+                s = v.between(keys, size)
+                ends = np.concatenate([[0], np.cumsum(size + (size > 0))])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), _joined_bytes(s.astype(np.int32), ends)], ["doc_id", "n", "s"])
 
     return run
 
 
-KEYS = "doc_id long, keys array<long>"
-SYMBOLS = "doc_id long, n long, s array<int>"
+KEYS = "doc_id long, keys binary"
+SYMBOLS = "doc_id long, n long, s binary"
 
 
 def _values(batch: pa.RecordBatch, boundary: int) -> np.ndarray:
     """The symbols of a batch's texts in a row, after a boundary."""
-    flat = batch.column(batch.schema.get_field_index("s")).flatten().to_numpy(zero_copy_only=False)
-    return np.concatenate([[boundary], flat]).astype(np.int64)
+    return np.concatenate([[boundary], _numbers(batch.column(batch.schema.get_field_index("s")), np.int32)[0]]).astype(np.int64)
 
 
-_CHUNK = "bucket int, w binary, other binary, n binary"
+_CHUNK = "bucket int, w binary, other binary, n binary, big binary"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -198,15 +209,27 @@ def _chunks(w: np.ndarray, other: np.ndarray, n: np.ndarray, buckets: int, hot:
     bucket = ((spread * _MULT >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
     bucket = bucket[order]
-    cols = [x[order] for x in (w.astype(np.int32), other.astype(np.uint32), n.astype(np.int64))]
+    w, other, n = (x[order] for x in (w.astype(np.int32), other.astype(np.uint32), n.astype(np.int64)))
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, np.int64)
     for lo, hi in zip(cuts, cuts[1:]):
-        yield _row([int(bucket[lo])], *[x[lo:hi] for x in cols])
+        cols = [w[lo:hi], other[lo:hi], *_narrow(n[lo:hi])]
+        yield pa.RecordBatch.from_arrays([pa.array([bucket[lo]], pa.int32()), *map(_cell, cols)], ["bucket", "w", "other", "n", "big"])
+
+
+def _cell(x: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes()], pa.binary())
 
 
-def _row(bucket: list[int], *cols: np.ndarray) -> pa.RecordBatch:
-    named = [pa.array([x.tobytes()], pa.binary()) for x in cols]
-    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()) for b in ([bucket] if bucket else [])] + named, ["bucket"] * bool(bucket) + ["w", "other", "n"])
+def _narrow(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(counts in a byte each, 255 for those that don't fit; these in order)."""
+    return np.minimum(n, 255).astype(np.uint8), n[n >= 255].astype(np.int64)
+
+
+def _wide(n: np.ndarray, big: np.ndarray, kind=np.int64) -> np.ndarray:
+    out = n.astype(kind)
+    if len(big):
+        out[n == 255] = big
+    return out
 
 
 def _sides(a: np.ndarray, b: np.ndarray, n: np.ndarray, words: int):
@@ -269,25 +292,34 @@ def all_gains(table: np.ndarray, mine: np.ndarray, left: np.ndarray, right: np.n
     every = np.arange(n)
     row, col = t.sum(axis=1), t.sum(axis=0)
     wl, wr = left.sum(axis=1) + own, right.sum(axis=1) + own
-    gain = np.zeros((n, targets))
+    (gain, total), stay = np.zeros((2, n, targets)), np.zeros(n)
     # cells of the row, then of the column, that the word's counts are added to
     for side, back, cells in ((right, left, t.T), (left, right, t)):
         w, c = np.nonzero(side)
         value = side[w, c]
         pairs, which = np.unique((c.astype(np.int64) << 48) + value.astype(np.int64), return_inverse=True)
         cell, more = cells[pairs >> 48][:, :targets], (pairs & (1 << 48) - 1)[:, None].astype(float)
-        added = (_h(cell + more) - _h(cell))[which]
+        added = _h(cell + more) - _h(cell)
         # cells of the old class lose the word first
         mark = c == mine[w]
         if mark.any():
             x, m = w[mark], value[mark][:, None]
             old, less = cells[mine[x]][:, :targets], back[x, :targets]
-            added[mark] = _h(old - less + m) - _h(old - less)
-        if len(w):
-            first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            gain[w[first]] += np.add.reduceat(added, first, axis=0)
+            which[mark] = len(added) + np.arange(len(x))
+            added = np.concatenate([added, _h(old - less + m) - _h(old - less)])
+        # the first cell of every word, then the second of those that have one
+        size = np.bincount(w, minlength=n)
+        first, most = np.cumsum(size) - size, np.argsort(-size, kind="stable")
+        total[:] = 0
+        for r in range(size.max(initial=0)):
+            some = most[: np.count_nonzero(size > r)]
+            total[some] += added[which[first[some] + r]]
+        gain += total
         inside = c < targets
-        gain[w[inside], c[inside]] -= added[inside, c[inside]]  # where row and column cross
+        gain[w[inside], c[inside]] -= added[which[inside], c[inside]]  # where row and column cross
+        # what taking the word out costs
+        cell = cells[c, mine[w]]
+        stay += np.bincount(w, np.where(mark, 0.0, _h(cell) - _h(cell - value)), n)
     corner = left[:, :targets] + right[:, :targets] + own[:, None]
     w, c = np.nonzero(corner)
     d = np.diag(t)[c]
@@ -295,13 +327,6 @@ def all_gains(table: np.ndarray, mine: np.ndarray, left: np.ndarray, right: np.n
     for margin, more in ((row, wr), (col, wl)):
         values, which = np.unique(more, return_inverse=True)
         gain -= (_h(margin[:targets] + values[:, None]) - _h(margin[:targets]))[which]
-    # what taking the word out costs
-    stay = np.zeros(n)
-    for side, cells in ((right, t), (left, t.T)):
-        w, c = np.nonzero(side)
-        cell = cells[mine[w], c]
-        cost = np.where(c == mine[w], 0.0, _h(cell) - _h(cell - side[w, c]))
-        stay += np.bincount(w, cost, n)
     corner = t[mine, mine]
     stay += _h(corner) - _h(corner - left[every, mine] - right[every, mine] - own)
     stay -= _h(row[mine]) - _h(row[mine] - wr) + _h(col[mine]) - _h(col[mine] - wl)
@@ -311,61 +336,78 @@ def all_gains(table: np.ndarray, mine: np.ndarray, left: np.ndarray, right: np.n
     return gain
 
 
+#: Bigrams by word: each word once, then for what follows it and for what it follows how many there are, which and how often.
+_PACKED = ["w", *[f"{side}_{what}" for side in ("after", "before") for what in ("size", "other", "n", "big")]]
+_AFTER = _PACKED[:5]
+
+
 def _pack(batches):
-    """The rows of a bucket, which come sorted by bucket, as bigrams sorted by word, each once, in rows of some ``PACK`` entries. A word is in one row of a bucket."""
+    """The rows of a bucket, which come sorted by bucket, as bigrams by word in order, each once, in rows of some ``PACK`` entries. A word is in one row of a bucket."""
     held: list[tuple[np.ndarray, ...]] = []
     now = None
 
     def flush():
         w, other, n = map(np.concatenate, zip(*held))
         code, n = _totals(w.astype(np.int64) << 32 | other, n)
-        w, other = (code >> 32).astype(np.int32), (code & 0xFFFFFFFF).astype(np.uint32)
+        w, other, after = (code >> 32).astype(np.int32), (code >> 1 & 0x7FFFFFFF).astype(np.uint32), (code & 1).astype(bool)
         at = 0
         while at < len(w):
             end = int(np.searchsorted(w, w[min(at + PACK, len(w)) - 1], "right"))
-            yield _row([], w[at:end], other[at:end], n[at:end])
+            names, place = np.unique(w[at:end], return_inverse=True)
+            cols = [names]
+            for side in (after[at:end], ~after[at:end]):
+                cols += [np.bincount(place[side], minlength=len(names)).astype(np.int32), other[at:end][side], *_narrow(n[at:end][side])]
+            yield pa.RecordBatch.from_arrays(list(map(_cell, cols)), _PACKED)
             at = end
 
     for b in batches:
-        for bucket, *cols in zip(b.column("bucket").to_pylist(), *(b.column(c).to_pylist() for c in ("w", "other", "n"))):
+        for bucket, *cols in zip(*(b.column(c).to_pylist() for c in ("bucket", "w", "other", "n", "big"))):
             if bucket != now and held:
                 yield from flush()
                 held.clear()
             now = bucket
-            held.append(tuple(np.frombuffer(x, t) for x, t in zip(cols, (np.int32, np.uint32, np.int64))))
+            w, other, n, big = (np.frombuffer(x, t) for x, t in zip(cols, (np.int32, np.uint32, np.uint8, np.int64)))
+            held.append((w, other, _wide(n, big)))
     if held:
         yield from flush()
 
 
 def _unpacked(batches):
+    """(words, for each side (how many entries each word has, neighbours, counts in bytes, those that don't fit)); the second side is there if it was read."""
     for b in batches:
-        for w, other, n in zip(*(b.column(c) for c in ("w", "other", "n"))):
-            w, other, n = np.frombuffer(w.as_buffer(), np.int32), np.frombuffer(other.as_buffer(), np.uint32), np.frombuffer(n.as_buffer(), np.int64)
-            yield w, (other >> 1).astype(np.int64), (other & 1).astype(bool), n
+        for row in zip(*b.columns):
+            w, *cols = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, (np.int32, *(np.int32, np.uint32, np.uint8, np.int64) * 2)))
+            yield w, *(tuple(cols[at : at + 4]) for at in range(0, len(cols), 4))
 
 
 def _class_table(sent, k: int):
     """Sums of counts by class of both words, one row of k * k a partition."""
 
     def run(batches):
-        classes = sent.value
+        classes = sent.value.astype(np.int64)
         total = np.zeros(k * k)
-        for w, other, after, n in _unpacked(batches):
-            code = classes[w[after]].astype(np.int64) * k + classes[other[after]]
-            total += np.bincount(code, n[after], k * k)
+        for w, (size, other, n, big) in _unpacked(batches):
+            code = np.repeat(classes[w] * k, size)
+            code += classes[other]
+            total += np.bincount(code, _wide(n, big, float), k * k)
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["t"])
 
     return run
 
 
-def _vectors(names, w, other, after, n, classes, k):
-    """Of each named word (counts by class before it, after it, times after itself)."""
-    i, c = np.searchsorted(names, w), n.astype(float)
-    self_ = other == w
-    code = i * k + classes[other]
-    before, behind = ~after & ~self_, after & ~self_
-    of = lambda m: np.bincount(code[m], c[m], len(names) * k).reshape(-1, k)
-    return of(before), of(behind), np.bincount(i[self_ & after], c[self_ & after], len(names))
+def _vectors(names, before, after, classes, k):
+    """Of each named word (counts by class before it, after it, times after itself). before, after: (entries of each name, neighbours, counts)."""
+    out = []
+    for size, other, n in (before, after):
+        code = np.repeat(np.arange(0, len(names) * k, k), size)
+        code += classes[other]
+        sums = np.bincount(code, n, len(names) * k)
+        own = np.flatnonzero(other == np.repeat(names, size))  # at most one of each name
+        sums[code[own]] -= n[own]
+        out.append(sums.reshape(-1, k))
+    times = np.zeros(len(names))
+    times[code[own] // k] = n[own]
+    return *out, times
 
 
 _MOVES = "w int, c int, gain double, parts array<double>"
@@ -390,23 +432,29 @@ def _best_classes(sent, table: np.ndarray, k: int, first: int, words: int, hot:
     def run(batches):
         classes = sent.value
         marked = only and only.value
-        for w, other, after, n in _unpacked(batches):
+        wide = classes.astype(np.int64)
+        for w, *sides in _unpacked(batches):
+            wanted = (w >= first) & (w < words)
             if marked is not None:
-                mine = marked[w]
-                w, other, after, n = w[mine], other[mine], after[mine], n[mine]
-            lo, mid, hi = (int(np.searchsorted(w, x, "left")) for x in (first, max(first, hot), words))
-            if lo < mid:
-                names = np.unique(w[lo:mid])
-                before, behind, own = _vectors(names, w[lo:mid], other[lo:mid], after[lo:mid], n[lo:mid], classes, k)
+                wanted &= marked[w]
+            if not wanted.any():
+                continue
+            w, cut = w[wanted], []
+            for size, other, n, big in sides:
+                entries = np.repeat(wanted, size)
+                size = size[wanted]
+                cut.append((size, np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), other[entries], _wide(n, big, float)[entries]))
+            of = lambda a, b: [(size[a:b], other[at[a] : at[b]], n[at[a] : at[b]]) for size, at, other, n in reversed(cut)]
+            mid = int(np.searchsorted(w, hot))
+            if mid:
+                before, behind, own = _vectors(w[:mid], *of(0, mid), wide, k)
                 parts = np.concatenate([before, behind, own[:, None]], axis=1)
-                none = pa.nulls(len(names), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(names), none.cast(pa.int32()), none, pa.array(parts.tolist(), pa.list_(pa.float64()))], ["w", "c", "gain", "parts"])
-            cuts = np.r_[mid, mid + 1 + np.flatnonzero(w[mid + 1 : hi] != w[mid : hi - 1])] if mid < hi else np.zeros(0, np.int64)
-            for at in range(0, len(cuts), AT_ONCE):
-                a, b = int(cuts[at]), int(cuts[at + AT_ONCE]) if at + AT_ONCE < len(cuts) else hi
-                names = w[cuts[at : at + AT_ONCE]]
-                vectors = _vectors(names, w[a:b], other[a:b], after[a:b], n[a:b], classes, k)
-                yield _moves(*_choose(table, names, classes[names].astype(np.int64), vectors, forced))
+                none = pa.nulls(mid, pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(w[:mid]), none.cast(pa.int32()), none, pa.array(parts.tolist(), pa.list_(pa.float64()))], ["w", "c", "gain", "parts"])
+            for a in range(mid, len(w), AT_ONCE):
+                names = w[a : a + AT_ONCE]
+                vectors = _vectors(names, *of(a, a + len(names)), wide, k)
+                yield _moves(*_choose(table, names, wide[names], vectors, forced))
 
     return run
 
@@ -422,7 +470,7 @@ class _Exchange:
         self.score = [likelihood(self.table)]
 
     def table_of(self, sent) -> np.ndarray:
-        rows = self.both.mapInArrow(_class_table(sent, self.k), "t array<double>").collect()  # k * k numbers a partition
+        rows = self.both.select(*_AFTER).mapInArrow(_class_table(sent, self.k), "t array<double>").collect()  # k * k numbers a partition
         return np.sum([np.array(r[0]) for r in rows], axis=0).reshape(self.k, self.k) if rows else np.zeros((self.k, self.k))
 
     def moves(self, first: int, last: int, forced: bool = False, only: np.ndarray | None = None) -> pd.DataFrame:
@@ -511,7 +559,7 @@ def cluster(scratch: Scratch, bigrams: DataFrame, words: int) -> tuple[np.ndarra
 
 
 def packed(chunks: DataFrame, buckets: int) -> DataFrame:
-    return chunks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_pack, "w binary, other binary, n binary")
+    return chunks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_pack, ", ".join(f"{c} binary" for c in _PACKED))
 
 
 class Model:
@@ -579,7 +627,7 @@ def _fit(spark: SparkSession, docs: DataFrame, min_share: float | None = None, u
     buckets = max(1, -(-total // BUCKET))
     hot, frequent = (int(np.searchsorted(-counts, -x, "right")) for x in (HOT, FREQUENT))
     chunks = symbols.select("s").mapInArrow(_count_bigrams(sent, buckets, hot), _CHUNK)
-    both = scratch.table(packed(chunks, buckets), "both", "zstd")
+    both = scratch.table(packed(chunks, buckets), "both")
     classes, table, _ = exchange(spark, both, keys & 7, hot, frequent)
     for name in ("unigrams", "both"):
         scratch.drop(name)
