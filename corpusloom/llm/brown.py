@@ -112,7 +112,9 @@ def _count_keys(batches):
     held, size = [], 0
 
     def flush():
-        key, n = _totals(*map(np.concatenate, zip(*held)))
+        whole = list(map(np.concatenate, zip(*held)))
+        held.clear()  # so that a task holds it once
+        key, n = _totals(*whole)
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
     for b in batches:
@@ -120,7 +122,7 @@ def _count_keys(batches):
         size += len(held[-1][0])
         if size > 3_000_000:
             yield flush()
-            held, size = [], 0
+            size = 0
     if held:
         yield flush()
 
@@ -233,9 +235,11 @@ def _wide(n: np.ndarray, big: np.ndarray, kind=np.int64) -> np.ndarray:
 
 
 def _sides(a: np.ndarray, b: np.ndarray, n: np.ndarray, words: int):
-    """Each bigram by its first word and, where that is clustered, by its second one."""
+    """Bigrams by their first words and then, where that is clustered, by their second ones."""
+    a, b = a.astype(np.int32), b.astype(np.int32)
+    yield a, b.astype(np.uint32) * 2 + 1, n
     back = b < words
-    return np.concatenate([a, b[back]]), np.concatenate([b * 2 + 1, a[back] * 2]), np.concatenate([n, n[back]])
+    yield b[back], a[back].astype(np.uint32) * 2, n[back]
 
 
 def _count_bigrams(vocabulary, buckets: int, hot: int):
@@ -244,8 +248,12 @@ def _count_bigrams(vocabulary, buckets: int, hot: int):
         held, n = [], 0
 
         def flush():
-            code, count = np.unique(np.concatenate(held), return_counts=True)
-            yield from _chunks(*_sides(code >> 32, code & 0xFFFFFFFF, count, len(v.words)), buckets, hot)
+            whole = np.concatenate(held)
+            held.clear()
+            code, count = np.unique(whole, return_counts=True)
+            del whole
+            for side in _sides(code >> 32, code & 0xFFFFFFFF, count, len(v.words)):
+                yield from _chunks(*side, buckets, hot)
 
         for b in batches:
             s = v.joined(_values(b, v.boundary))
@@ -254,7 +262,7 @@ def _count_bigrams(vocabulary, buckets: int, hot: int):
                 n += len(s)
             if n > 4_000_000:
                 yield from flush()
-                held, n = [], 0
+                n = 0
         if held:
             yield from flush()
 
@@ -264,7 +272,8 @@ def _count_bigrams(vocabulary, buckets: int, hot: int):
 def _given_bigrams(words: int, buckets: int, hot: int):
     def run(batches):
         for x in batches:
-            yield from _chunks(*_sides(*(x.column(c).to_numpy().astype(np.int64) for c in ("a", "b", "n")), words), buckets, hot)
+            for side in _sides(*(x.column(c).to_numpy().astype(np.int64) for c in ("a", "b", "n")), words):
+                yield from _chunks(*side, buckets, hot)
 
     return run
 
@@ -348,6 +357,7 @@ def _pack(batches):
 
     def flush():
         w, other, n = map(np.concatenate, zip(*held))
+        held.clear()
         code, n = _totals(w.astype(np.int64) << 32 | other, n)
         w, other, after = (code >> 32).astype(np.int32), (code >> 1 & 0x7FFFFFFF).astype(np.uint32), (code & 1).astype(bool)
         at = 0
@@ -364,7 +374,6 @@ def _pack(batches):
         for bucket, *cols in zip(*(b.column(c).to_pylist() for c in ("bucket", "w", "other", "n", "big"))):
             if bucket != now and held:
                 yield from flush()
-                held.clear()
             now = bucket
             w, other, n, big = (np.frombuffer(x, t) for x, t in zip(cols, (np.int32, np.uint32, np.uint8, np.int64)))
             held.append((w, other, _wide(n, big)))
