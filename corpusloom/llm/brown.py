@@ -18,13 +18,19 @@ as they occur, and get the same score each; further columns are ignored; texts a
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from copy import copy
+from itertools import count
+from string import punctuation
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,13 +50,24 @@ FREQUENT = 50
 HOT = 1_000_000
 #: Tokens of the corpus for each bucket of bigrams, entries of a row of them, and words whose moves are weighed at once.
 BUCKET, PACK, AT_ONCE = 1_500_000, 250_000, 4096
+#: Files of packed bigrams that a task reads at most; every task costs some hundredths of a second besides.
+AT_MOST = 8
 #: Classes of rare words by length, and one for those with digits; then the boundary of documents.
 RARE = 6
 _LENGTHS = (3, 5, 7, 10)
+#: What isn't of a word, of the first 256 characters, as blanks.
+_BLANKED = bytes(c if _WORD.match(chr(c)) else 32 for c in range(256))
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    try:
+        plain = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _WORD.findall(text)
+    return plain.translate(_BLANKED).decode("latin-1").split()  # the same words, sooner
 
 
 def rare_class(word: str) -> int:
@@ -64,8 +81,10 @@ def rare_class(word: str) -> int:
 
 def keys_of(words: list[str]) -> np.ndarray:
     """61 bits of a hash of each word and, in the last three, its class by length."""
-    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-    return (h & ~np.uint64(7) | np.fromiter(map(rare_class, words), np.uint64, len(words))).view(np.int64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    lengths = np.searchsorted(_LENGTHS, np.fromiter(map(len, words), np.int64, len(words)))
+    rare = np.where(np.fromiter(map(str.isalpha, words), bool, len(words)), lengths, RARE - 1)  # rare_class of each
+    return (h & ~np.uint64(7) | rare.astype(np.uint64)).view(np.int64)
 
 
 def _joined_bytes(values: np.ndarray, ends) -> pa.Array:
@@ -93,8 +112,9 @@ def _hashes(batches):
             for t in b.column(1).to_pylist():
                 words += words_of(t)
                 ends.append(len(words))
-            known = {w: i for i, w in enumerate(dict.fromkeys(words))}
-            keys = keys_of(list(known))[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
+            known = defaultdict(count().__next__)
+            at_known = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            keys = keys_of(list(known))[at_known]
             yield pa.RecordBatch.from_arrays([b.column(0), _joined_bytes(keys, ends)], ["doc_id", "keys"])
 
 
@@ -102,8 +122,13 @@ def _totals(code: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray,
     """(different values in order, sum of each one's n)."""
     if n is None:
         return np.unique(code, return_counts=True)
-    order = np.argsort(code, kind="stable")
-    code, n = code[order], n[order]
+    bits = int(n.max(initial=0)).bit_length()
+    if len(code) and code.min() >= 0 and int(code.max()).bit_length() + bits < 64:
+        both = np.sort(code << bits | n)  # some times faster than an order of them
+        code, n = both >> bits, both & (1 << bits) - 1
+    else:
+        order = np.argsort(code)
+        code, n = code[order], n[order]
     first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
     return code[first], np.add.reduceat(n, first) if len(first) else n
 
@@ -295,16 +320,24 @@ def move_gains(table: np.ndarray, mine: int, left: np.ndarray, right: np.ndarray
     return all_gains(table, np.array([mine]), np.asarray(left, float)[None], np.asarray(right, float)[None], np.array([own], float), targets)[0]
 
 
+def _filled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of what isn't zero."""
+    at = np.flatnonzero(x.ravel() != 0)
+    row = at // x.shape[1]
+    return row, at - row * x.shape[1]
+
+
 def all_gains(table: np.ndarray, mine: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray, targets: int) -> np.ndarray:
     """The same for many words, a row each. Only cells where a word has counts change, and words of like counts share what they change."""
     t, n = table.astype(float), len(mine)
     every = np.arange(n)
     row, col = t.sum(axis=1), t.sum(axis=0)
     wl, wr = left.sum(axis=1) + own, right.sum(axis=1) + own
-    (gain, total), stay = np.zeros((2, n, targets)), np.zeros(n)
+    gain, stay, buffer = np.zeros((n, targets)), np.zeros(n), np.empty((n, targets))
+    flat = gain.ravel()
     # cells of the row, then of the column, that the word's counts are added to
     for side, back, cells in ((right, left, t.T), (left, right, t)):
-        w, c = np.nonzero(side)
+        w, c = _filled(side)
         value = side[w, c]
         pairs, which = np.unique((c.astype(np.int64) << 48) + value.astype(np.int64), return_inverse=True)
         cell, more = cells[pairs >> 48][:, :targets], (pairs & (1 << 48) - 1)[:, None].astype(float)
@@ -312,27 +345,29 @@ def all_gains(table: np.ndarray, mine: np.ndarray, left: np.ndarray, right: np.n
         # cells of the old class lose the word first
         mark = c == mine[w]
         if mark.any():
-            x, m = w[mark], value[mark][:, None]
-            old, less = cells[mine[x]][:, :targets], back[x, :targets]
+            x, same, less = w[mark], which[mark], back[w[mark], :targets]
             which[mark] = len(added) + np.arange(len(x))
-            added = np.concatenate([added, _h(old - less + m) - _h(old - less)])
-        # the first cell of every word, then the second of those that have one
+            added = np.concatenate([added, added[same]])
+            i, j = _filled(less)  # the others lose nothing
+            old = cells[mine[x[i]], j] - less[i, j]
+            added[which[mark][i], j] = _h(old + value[mark][i]) - _h(old)
+        # the first cell of every word, then the second of those that have one; words with the most come first
         size = np.bincount(w, minlength=n)
-        first, most = np.cumsum(size) - size, np.argsort(-size, kind="stable")
-        total[:] = 0
-        for r in range(size.max(initial=0)):
-            some = most[: np.count_nonzero(size > r)]
-            total[some] += added[which[first[some] + r]]
-        gain += total
+        most, place = np.argsort(-size, kind="stable"), np.empty(n, np.int64)
+        place[most] = every
+        first, total = (np.cumsum(size) - size)[most], np.zeros((n, targets))
+        for r, m in enumerate((n - np.cumsum(np.bincount(size)))[:-1]):
+            total[:m] += np.take(added, which[first[:m] + r], axis=0, out=buffer[:m], mode="clip")
+        gain += total[place]
         inside = c < targets
-        gain[w[inside], c[inside]] -= added[which[inside], c[inside]]  # where row and column cross
+        flat[w[inside] * targets + c[inside]] -= added[which[inside], c[inside]]  # where row and column cross
         # what taking the word out costs
         cell = cells[c, mine[w]]
         stay += np.bincount(w, np.where(mark, 0.0, _h(cell) - _h(cell - value)), n)
     corner = left[:, :targets] + right[:, :targets] + own[:, None]
-    w, c = np.nonzero(corner)
+    w, c = _filled(corner)
     d = np.diag(t)[c]
-    gain[w, c] += _h(d + corner[w, c]) - _h(d)
+    flat[w * targets + c] += _h(d + corner[w, c]) - _h(d)
     for margin, more in ((row, wr), (col, wl)):
         values, which = np.unique(more, return_inverse=True)
         gain -= (_h(margin[:targets] + values[:, None]) - _h(margin[:targets]))[which]
@@ -358,8 +393,9 @@ def _pack(batches):
     def flush():
         w, other, n = map(np.concatenate, zip(*held))
         held.clear()
-        code, n = _totals(w.astype(np.int64) << 32 | other, n)
-        w, other, after = (code >> 32).astype(np.int32), (code >> 1 & 0x7FFFFFFF).astype(np.uint32), (code & 1).astype(bool)
+        bits = max(1, int(other.max(initial=0)).bit_length())  # its lowest bit is a side
+        code, n = _totals(w.astype(np.int64) << bits | other, n)
+        w, other, after = (code >> bits).astype(np.int32), ((code & (1 << bits) - 1) >> 1).astype(np.uint32), (code & 1).astype(bool)
         at = 0
         while at < len(w):
             end = int(np.searchsorted(w, w[min(at + PACK, len(w)) - 1], "right"))
@@ -381,6 +417,16 @@ def _pack(batches):
         yield from flush()
 
 
+def _stored(files: list[str], columns: list[str]):
+    """The rows of such files. Workers read them themselves: through the JVM every value is copied some times on its way, in every round."""
+    for uri in files:
+        system, path = fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as f:
+            file = pq.ParquetFile(f)
+            for group in range(file.num_row_groups):
+                yield from file.read_row_group(group, columns, use_threads=False).to_batches()
+
+
 def _unpacked(batches):
     """(words, for each side (how many entries each word has, neighbours, counts in bytes, those that don't fit)); the second side is there if it was read."""
     for b in batches:
@@ -393,12 +439,14 @@ def _class_table(sent, k: int):
     """Sums of counts by class of both words, one row of k * k a partition."""
 
     def run(batches):
-        classes = sent.value.astype(np.int64)
+        classes = sent.value
         total = np.zeros(k * k)
         for w, (size, other, n, big) in _unpacked(batches):
-            code = np.repeat(classes[w] * k, size)
+            code = np.repeat(classes[w] * classes.dtype.type(k), size)  # k * k fits
             code += classes[other]
-            total += np.bincount(code, _wide(n, big, float), k * k)
+            total += np.bincount(code, minlength=k * k)
+            more = np.flatnonzero(n > 1)
+            total += np.bincount(code[more], _wide(n[more], big, float) - 1, k * k)
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["t"])
 
     return run
@@ -474,17 +522,31 @@ class _Exchange:
     def __init__(self, spark: SparkSession, both: DataFrame, classes: np.ndarray, words: int, hot: int):
         self.spark, self.both, self.words, self.hot, self.k = spark, both, words, hot, CLASSES + RARE + 1
         self.classes, self.score = classes, []
+        files = [quote(x, punctuation) for x in both.inputFiles()]  # Spark leaves letters beyond ASCII as they are
+        self.tasks = min(len(files), max(2 * spark.sparkContext.defaultParallelism, -(-len(files) // AT_MOST)))
+        try:
+            fs.FileSystem.from_uri(files[0])
+        except (IndexError, OSError, pa.ArrowException):  # no rows, or files that only Spark can read
+            self.tasks = 0
+        self.files = spark.sparkContext.broadcast(files)
         self.sent = spark.sparkContext.broadcast(classes)
         self.table = self.table_of(self.sent)
         self.score = [likelihood(self.table)]
 
+    def over(self, columns: list[str], run, schema: str) -> DataFrame:
+        """What ``run`` makes of these columns of the packed bigrams."""
+        if not self.tasks:
+            return self.both.select(*columns).mapInArrow(run, schema)
+        files, tasks = self.files, self.tasks
+        return self.spark.range(0, tasks, 1, tasks).mapInArrow(lambda ids: run(b for x in ids for i in x.column(0).to_pylist() for b in _stored(files.value[i::tasks], columns)), schema)
+
     def table_of(self, sent) -> np.ndarray:
-        rows = self.both.select(*_AFTER).mapInArrow(_class_table(sent, self.k), "t array<double>").collect()  # k * k numbers a partition
+        rows = self.over(_AFTER, _class_table(sent, self.k), "t array<double>").collect()  # k * k numbers a partition
         return np.sum([np.array(r[0]) for r in rows], axis=0).reshape(self.k, self.k) if rows else np.zeros((self.k, self.k))
 
     def moves(self, first: int, last: int, forced: bool = False, only: np.ndarray | None = None) -> pd.DataFrame:
         marked = None if only is None else self.spark.sparkContext.broadcast(only)
-        found = self.both.mapInArrow(_best_classes(self.sent, self.table, self.k, first, last, self.hot, forced, marked), _MOVES).toArrow()
+        found = self.over(_PACKED, _best_classes(self.sent, self.table, self.k, first, last, self.hot, forced, marked), _MOVES).toArrow()
         if marked is not None:
             marked.destroy()
         part = found.filter(pc.is_valid(found.column("parts")))
@@ -636,7 +698,7 @@ def _fit(spark: SparkSession, docs: DataFrame, min_share: float | None = None, u
     buckets = max(1, -(-total // BUCKET))
     hot, frequent = (int(np.searchsorted(-counts, -x, "right")) for x in (HOT, FREQUENT))
     chunks = symbols.select("s").mapInArrow(_count_bigrams(sent, buckets, hot), _CHUNK)
-    both = scratch.table(packed(chunks, buckets), "both")
+    both = scratch.table(packed(chunks, buckets), "both", "none")
     classes, table, _ = exchange(spark, both, keys & 7, hot, frequent)
     for name in ("unigrams", "both"):
         scratch.drop(name)
