@@ -5,17 +5,21 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from corpusloom.errors import MissingModelFile
-from corpusloom.functions.text import basic_tokens, clean_text, pad_ideographs
+from corpusloom.functions.text import SLICE_ROWS, basic_tokens, clean_text, pad_ideographs, slices
 
+#: Words whose pieces a worker keeps.
+KNOWN = 50_000
 CLS, SEP, UNK = "[CLS]", "[SEP]", "[UNK]"
 
 
@@ -35,11 +39,14 @@ class Configuration:
         return bool(self.lowercase) if self.strip_accents is None else self.strip_accents
 
 
-@F.pandas_udf(StringType())
-def strip_accents(texts: pd.Series) -> pd.Series:
+def _bare(text: str | None) -> str | None:
+    return text if text is None or text.isascii() else "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+
+
+@F.arrow_udf(StringType())
+def strip_accents(texts: pa.Array) -> pa.Array:
     """Decomposed, without the combining marks."""
-    bare = lambda t: t if t.isascii() else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
-    return texts.map(bare, na_action="ignore")
+    return pa.concat_arrays([pa.array(list(map(_bare, part.to_pylist())), pa.string()) for part in slices(texts)] or [texts])
 
 
 def normalised_text(text: Column, c: Configuration) -> Column:
@@ -101,26 +108,32 @@ def encode(text: Column, vocabulary: dict[str, int], c: Configuration | None = N
     most = max(2, max_length or c.dimensions)
     cls, sep, unk = vocabulary[CLS], vocabulary[SEP], vocabulary[UNK]
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, list[int]] = {}
         for words in batches:
-            out = []
-            for row in words:
-                mine: list[int] = []
-                for w in [] if row is None else row:
-                    got = known.get(w)
-                    if got is None:
-                        got = [vocabulary.get(p, unk) for p in word_pieces(w, vocabulary, c.max_word)]
-                        if len(known) < 500_000:
-                            known[w] = got
-                    mine += got
-                    if len(mine) >= most - 2:
-                        break
-                out.append([cls, *mine[: most - 2], sep])
-            yield pd.Series(out)
-
-    found = ids(basic_tokens(normalised_text(text, c)))
+            flat, ends = array("i"), [0]
+            for at in range(0, len(words), SLICE_ROWS):
+                for row in words.slice(at, SLICE_ROWS).to_pylist():
+                    mine: list[int] = []
+                    for w in row or ():
+                        got = known.get(w)
+                        if got is None:
+                            got = [vocabulary.get(p, unk) for p in word_pieces(w, vocabulary, c.max_word)]
+                            if len(known) < KNOWN:
+                                known[w] = got
+                        mine += got
+                        if len(mine) >= most - 2:
+                            break
+                    flat.append(cls)
+                    flat.extend(mine[: most - 2])
+                    flat.append(sep)
+                    ends.append(len(flat))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32), pa.int32()))
+
+    # each word has a piece at least, and one that is too long has the same piece however long it is: no more of the text bears on the result
+    words = F.slice(basic_tokens(normalised_text(text, c)), 1, most - 2) if most > 2 else F.array().cast("array<string>")
+    found = ids(F.transform(words, lambda w: F.substring(w, 1, c.max_word + 1)))
     return F.struct(found.alias("input_ids"), F.array_repeat(F.lit(1), F.size(found)).alias("attention_mask"))
 
 

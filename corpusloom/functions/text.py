@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Texts of an Arrow array that Python takes at once, at most: by their number, and by their bytes unless it is one text.
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
 WORD = r"[\p{L}\p{N}]+"
 #: Latin letters with marks, and what is left without them.
 _MARKED = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
@@ -25,8 +31,14 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), MARKED, BARE)
 
 
+_BARE_OF = dict(zip(MARKED, BARE))
+
+
 def fold_query(text: str) -> str:
-    return text.lower().translate(str.maketrans(MARKED, BARE))
+    text = text.lower()
+    for c in () if text.isascii() else _BARE_OF.keys() & set(text):
+        text = text.replace(c, _BARE_OF[c])
+    return text
 
 
 def words(text: Column) -> Column:
@@ -71,3 +83,14 @@ def clamp(x, low, high):
 
 def surrounded(text: Column, by: str) -> Column:
     return F.concat(F.lit(by), text, F.lit(by))
+
+
+def slices(texts: pa.Array, rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """The array in parts of a bounded number of rows and bytes; a part has one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + most, "right"))))
+        yield texts.slice(at, end - at)
+        at = end
