@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import hashlib
 from abc import ABC, abstractmethod
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from corpusloom.errors import CouldNotEmbed
-from corpusloom.functions.text import WORD, fold_query
+from corpusloom.functions.text import WORD, fold_query, slices
 from corpusloom.schema import TEXT
 
 
+#: Words whose digests a worker keeps.
+KNOWN = 100_000
+_NOT_WORD = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
+
+
 class Provider(ABC):
     """A model: its dimension and language, and vectors for batches of texts. Loaded once a worker, in ``load``."""
 
@@ -48,37 +54,51 @@ class HashingProvider(Provider):
     def _place(self, word: str) -> tuple[int, float]:
         got = self.known.get(word)
         if got is None:
-            h = hashlib.md5(word.encode()).hexdigest()
-            got = (int(h[:8], 16) % self.dimension, 1.0 if h[8] < "8" else -1.0)
-            if len(self.known) < 500_000:
+            h = hashlib.md5(word.encode()).digest()
+            got = (int.from_bytes(h[:4], "big") % self.dimension, 1.0 if h[4] < 128 else -1.0)
+            if len(self.known) < KNOWN:
                 self.known[word] = got
         return got
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        out = np.zeros((len(texts), self.dimension))
+        out, known = np.zeros((len(texts), self.dimension)), self.known
         for row, text in zip(out, texts):
-            for w in regex.findall(WORD, fold_query(text)):
-                at, sign = self._place(w)
-                row[at] += sign
+            mine = [0.0] * self.dimension
+            for w, times in Counter(_words(fold_query(text))).items():
+                at, sign = known.get(w) or self._place(w)
+                mine[at] += sign * times
+            row[:] = mine
         n = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, n, out=out, where=n > 0).tolist()
 
 
+def _words(folded: str) -> list[str]:
+    """The words of a folded text; ASCII is cut without the regular expression."""
+    return folded.encode().translate(_NOT_WORD).decode().split() if folded.isascii() else regex.findall(WORD, folded)
+
+
+def vectors_of(texts: pa.Array, provider: Provider) -> pa.Array:
+    """list<float> of an array of texts, taken in ``slices``, so that beside the array and its vectors only one slice is held."""
+    out = []
+    for part in slices(texts):
+        given = part.drop_null().to_pylist()
+        vectors = provider.embed(given) if given else []
+        if len(vectors) != len(given) or any(v is None or len(v) != provider.dimension for v in vectors):
+            raise CouldNotEmbed(f"the model gave no vector of dimension {provider.dimension} for some text")
+        flat = np.asarray(vectors, np.float32).reshape(-1)
+        ends = np.cumsum(part.is_valid().to_numpy(zero_copy_only=False), dtype=np.int32) * provider.dimension
+        out.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat, pa.float32())))
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.float32()))
+
+
 def embed_column(text: Column, provider: Provider) -> Column:
     """array<float> of the model's dimension; null texts have an empty vector."""
 
-    @F.pandas_udf(ArrayType(FloatType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ArrayType(FloatType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         provider.load()
         for texts in batches:
-            some = texts.notna().to_numpy()
-            vectors = provider.embed(texts[some].tolist()) if some.any() else []
-            if len(vectors) != int(some.sum()) or any(v is None or len(v) != provider.dimension for v in vectors):
-                raise CouldNotEmbed(f"the model gave no vector of dimension {provider.dimension} for some text")
-            out: list = [[]] * len(texts)
-            for i, v in zip(np.flatnonzero(some), vectors):
-                out[i] = np.asarray(v, np.float32)
-            yield pd.Series(out, index=texts.index)
+            yield vectors_of(texts, provider)
 
     return run(text)
 

@@ -4,7 +4,23 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom.functions import bert
-from corpusloom.functions.text import slices
+from corpusloom.functions.text import fold_query, slices
+from corpusloom.operators.embedding import HashingProvider, Provider, embed_column
+
+
+class Few(Provider):
+    dimension = 2
+
+    def embed(self, texts):
+        assert len(texts) <= 256 and (len(texts) == 1 or sum(len(t.encode()) for t in texts) <= 1 << 20)
+        return [[float(len(t)), 1.0] for t in texts]
+
+
+def test_a_model_is_given_slices(spark):
+    text = F.when(F.col("id") % 7 == 0, F.repeat(F.lit("é"), 200_000)).when(F.col("id") % 7 < 6, F.concat(F.lit("text "), "id"))
+    rows = spark.range(0, 700, 1, 1).select("id", text.alias("t"))
+    got = rows.select("id", F.length("t").alias("n"), embed_column(F.col("t"), Few()).alias("v")).collect()
+    assert len(got) == 700 and all(r.v == ([] if r.n is None else [float(r.n), 1.0]) for r in got)
 
 
 def test_slices():
@@ -14,6 +30,13 @@ def test_slices():
     assert list(slices(pa.array([], pa.string()))) == []
 
 
+def test_words_kept_are_bounded():
+    p = HashingProvider(8)
+    p.embed([" ".join(f"w{i}" for i in range(k, k + 1000)) for k in range(0, 150_000, 1000)])
+    assert len(p.known) <= 100_000
+    assert p.embed(["Éa ça_b 中 x"]) == p.embed(["ea ca b 中 x"]) and fold_query("ÉǅK") == "eǆk"
+
+
 def test_no_more_words_are_sent_than_are_encoded(spark):
     v = bert.load_vocabulary(["[CLS]", "[SEP]", "[UNK]", "a", "##a", "b"])
     df = spark.createDataFrame([("a " * 5000,), ("a" * 100 + " " + "a" * 101 + " b",), ("b",), (None,)], "t string")
