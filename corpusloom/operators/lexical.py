@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,27 +45,31 @@ def _count(tokens: str, forms: list[str]) -> Column:
     return F.size(F.filter(tokens, lambda t: t.isin(forms) if forms else F.lit(False))).cast("double")
 
 
-def search(rows: DataFrame, query: str, columns: list[str], match: str = ALL, limit: int | None = None, key: str = "id", stemmed: bool = True, index_ids: list[str] = (), restrict: Column | None = None) -> DataFrame:
-    """The columns of rows with ``rank`` (lower is better), best first, ties by key.
+def search(rows: DataFrame, query: str, columns: list[str], match: str = ALL, limit: int | None = None, key: str = "id", stemmed: bool = True, index_ids: list[str] = (), restrict: Column | None = None, keep: list[str] | None = None, held: list[DataFrame] | None = None) -> DataFrame:
+    """The columns of rows, or those of them to keep, with ``rank`` (lower is better), best first, ties by key.
 
     One scan takes N, the mean length and each token's rows; a second scores. Neither shuffles tokens. A query without tokens has no hits.
+    With ``held``, texts are cut into words once: what is kept of each row and its counts are persisted, and added to that list for the caller to unpersist.
     """
+    keep = rows.columns if keep is None else keep
     asked = query_words(normalise_query(query))
     if not asked:
-        return rows.withColumn("rank", F.lit(0.0)).limit(0)
+        return rows.select(*keep, F.lit(0.0).alias("rank")).limit(0)
     tokens = rows.withColumn("tokens", indexed(rows, columns, list(index_ids)))
     forms = _forms(tokens, asked) if stemmed else {q: [q] for q in asked}
     frequency = [_count("tokens", ws) for ws in forms.values()]
     # a generated column: the filter on hits stays above it, where below it would split each text once more for every word asked
     once = F.explode(F.array(F.struct(F.size("tokens").cast("double").alias("len"), F.array(*frequency).alias("f")))).alias("_c")
-    counted = tokens.select(*rows.columns, once).select(*rows.columns, F.col("_c.len").alias("_len"), F.col("_c.f").alias("_f"))
+    counted = tokens.select(*keep, once).select(*keep, F.col("_c.len").alias("_len"), F.col("_c.f").alias("_f"))
+    if held is not None:
+        held.append(counted.persist(StorageLevel.MEMORY_AND_DISK))
     m = len(frequency)
     stats = counted.agg(F.count("*").cast("double").alias("_n"), F.avg("_len").alias("_avg"), F.array(*[F.sum((F.col("_f")[i] > 0).cast("double")) for i in range(m)]).alias("_df"))
     joined = counted.crossJoin(F.broadcast(stats))  # one row
     f = [F.col("_f")[i] for i in range(m)]
     part = [idf(F.col("_n"), F.col("_df")[i]) * f[i] * (K1 + 1) / (f[i] + K1 * (1 - B + B * F.col("_len") / F.col("_avg"))) for i in range(m)]
     hit = reduce((lambda a, b: a & b) if match == ALL else (lambda a, b: a | b), [x > 0 for x in f])
-    out = joined.filter(hit if restrict is None else hit & restrict).select(*rows.columns, (-reduce(lambda a, b: a + b, part)).alias("rank"))
+    out = joined.filter(hit if restrict is None else hit & restrict).select(*keep, (-reduce(lambda a, b: a + b, part)).alias("rank"))
     out = out.orderBy("rank", key)
     return out if limit is None else out.limit(limit)
 

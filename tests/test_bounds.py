@@ -53,3 +53,16 @@ def test_no_more_words_are_sent_than_are_encoded(spark):
     got = [r.e.input_ids for r in out.collect()]
     assert got == [[0, *[3] * 8, 1], [0, 3, *[4] * 7, 1], [0, 5, 1], [0, 1]]
     assert df.select(bert.encode(F.col("t"), v, max_length=104)).collect()[1][0].input_ids == [0, 3, *[4] * 99, 2, 5, 1]
+
+
+def test_a_search_cuts_texts_once(spark, monkeypatch):
+    asked = []
+    real = search.lexical.search
+    monkeypatch.setattr(search.lexical, "search", lambda *a, **k: asked.append(k["held"]) or real(*a, **k))
+    docs = spark.createDataFrame([(i, f"title {i}", "the and" if i == 3 else "none") for i in range(40)], "id long, title string, description string")
+    pieces = docs.select("id", F.col("id").alias("parent_id"), F.when(F.col("id") < 5, "the cat and dog").otherwise("a bird").alias("text_content"))
+    vectors = pieces.select(F.col("id").alias("piece_id"), "parent_id", embed_column(F.col("text_content"), HashingProvider(8)).alias("embedding"))
+    found = search.search(docs, pieces, vectors, "the and", HashingProvider(8).embed_query("the and"), 3, 0.9, stemmed=False)
+    assert len(asked) == 2 and asked[0] is asked[1] and len(asked[0]) == 2 and not any(h.is_cached for h in asked[0])
+    assert [(r.document_id, r.title, r.piece_id, r.text_content) for r in found.collect()] == [(3, "title 3", 3, "the cat and dog"), (0, "title 0", 0, "the cat and dog"), (1, "title 1", 1, "the cat and dog")]
+    assert "INSET" in found._jdf.queryExecution().optimizedPlan().toString() or " IN (" in found._jdf.queryExecution().optimizedPlan().toString()
