@@ -74,6 +74,8 @@ def check_query(query, dimension: int) -> None:
 
 
 BLOCK_ROWS = 20_000
+#: Queries whose similarities to a block are held at once, twice: 10 MB with the largest block.
+QUERY_ROWS = 64
 
 
 def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,8 +87,11 @@ def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     if not len(some):
         return some, np.empty((0, 0))
     m = lists.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(some), -1)
-    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return some, np.divide(m, n, out=m, where=n > 0)
+    for at in range(0, len(m), 1024):
+        part = m[at : at + 1024]
+        n = np.sqrt((part * part).sum(axis=1, keepdims=True))
+        np.divide(part, n, out=part, where=n > 0)
+    return some, m
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, blocks: int | None = None, key: str = "piece_id", vector: str = "embedding") -> DataFrame:
@@ -110,8 +115,8 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, blocks: int | None = Non
         a, b = np.flatnonzero(ask[rows]), np.flatnonzero(~ask[rows])
         if len(a) and len(b):
             a_ids, b_ids, y = ids[rows[a]], ids[rows[b]], units[b].T
-            for at in range(0, len(a), 256):
-                s = units[a[at : at + 256]] @ y
+            for at in range(0, len(a), QUERY_ROWS):
+                s = units[a[at : at + QUERY_ROWS]] @ y
                 least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
                 for i, row in enumerate(s):
                     some = np.flatnonzero(row >= least[i])

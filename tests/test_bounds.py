@@ -1,11 +1,15 @@
 """What a Python worker is given at once doesn't grow with the tables."""
 
+import tracemalloc
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom.functions import bert
 from corpusloom.functions.text import fold_query, slices
 from corpusloom.operators.embedding import HashingProvider, Provider, embed_column
+from corpusloom.operators import vectors
 from corpusloom.plans import search
 
 
@@ -66,3 +70,22 @@ def test_a_search_cuts_texts_once(spark, monkeypatch):
     assert len(asked) == 2 and asked[0] is asked[1] and len(asked[0]) == 2 and not any(h.is_cached for h in asked[0])
     assert [(r.document_id, r.title, r.piece_id, r.text_content) for r in found.collect()] == [(3, "title 3", 3, "the cat and dog"), (0, "title 0", 0, "the cat and dog"), (1, "title 1", 1, "the cat and dog")]
     assert "INSET" in found._jdf.queryExecution().optimizedPlan().toString() or " IN (" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vectors_are_normalised_in_place():
+    m = np.random.default_rng(1).normal(size=(20_000, 64)).astype(np.float32)
+    column = pa.chunked_array([pa.array(m.tolist(), pa.list_(pa.float32()))])
+    tracemalloc.start()
+    some, units = vectors._matrix(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    d = m.astype(float)
+    assert len(some) == 20_000 and np.array_equal(units, d / np.sqrt((d * d).sum(axis=1, keepdims=True))) and peak < 1.5 * d.nbytes
+
+
+def test_neighbours_of_more_queries_than_are_held_at_once(spark):
+    x = np.random.default_rng(2).normal(size=(150, 5)).astype(np.float32).astype(float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "piece_id long, embedding array<float>")
+    got = vectors.knn(df, df, 3).orderBy("query", "rank0").collect()
+    assert vectors.QUERY_ROWS < 150 and [r.neighbour for r in got] == [j for i in range(150) for j in np.lexsort((np.arange(150), -(u[i] @ u.T)))[:3]]
